@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_lines, secret_ledger
+from . import byte_bpe, language_id, packing, quality_lines, secret_ledger, transport_stream
 
 QUERIES = {
+    "op1_transport_stream": transport_stream.query,
+    "op3_best_fit_packing": packing.query,
+    "op5_language_id": language_id.query,
     "op7_secret_ledger": secret_ledger.query,
     "op8_quality_lines": quality_lines.query,
+    "op9_byte_bpe": byte_bpe.query,
 }
 
 ORACLE: dict[str, str] = {}
