@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, packing, quality_lines, secret_ledger, toxicity, transport_stream
+from . import byte_bpe, language_id, ngram_join, packing, quality_lines, secret_ledger, toxicity, transport_stream
 
 QUERIES = {
     "op1_transport_stream": transport_stream.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_secret_ledger": secret_ledger.query,
     "op8_quality_lines": quality_lines.query,
     "op9_byte_bpe": byte_bpe.query,
+    "op10_ngram_join": ngram_join.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_ngram_join": ngram_join.SQL}
