@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, ngram_join, packing, quality_lines, secret_ledger, suffix_dedup, toxicity, transport_stream
+from . import byte_bpe, language_id, ngram_join, packing, pii, quality_lines, secret_ledger, suffix_dedup, toxicity, transport_stream
 
 QUERIES = {
     "op1_transport_stream": transport_stream.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_language_id": language_id.query,
+    "op6_pii": pii.query,
     "op7_secret_ledger": secret_ledger.query,
     "op8_quality_lines": quality_lines.query,
     "op9_byte_bpe": byte_bpe.query,
