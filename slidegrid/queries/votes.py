@@ -82,10 +82,6 @@ def _(spark, d):
     e = X.table(spark, d, "events")
     p = e.filter("user_id % 4 > 0").select(F.col("user_id").alias("region"), F.col("event_type").alias("cls"))
     meta = e.select(F.col("user_id").alias("region")).distinct().withColumn("total", F.when(F.col("region") % 8 != 0, F.col("region")))
-    return V_point(p, meta)
-
-
-def V_point(p, meta):
     return C.point_summary(p, meta, ["region"], "cls")
 
 
@@ -133,7 +129,7 @@ def catalog(spark, d):
     return X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_partkey") % 3).alias("region"), F.concat(F.lit("a"), F.col("l_linenumber") % 4).alias("name"))
 
 
-@_add("c5_run_completeness", f"WITH {_CAT}, m AS (SELECT run, region, n, name FROM (SELECT DISTINCT run, region FROM cat), (SELECT unnest([0, 1, 2]) AS n, unnest(['a0', 'a1', 'a2']) AS name) WHERE NOT EXISTS (SELECT 1 FROM cat x WHERE x.run = cat.run AND x.region = cat.region AND x.name = name)) SELECT 1".replace("cat x", "cat x") if False else f"WITH {_CAT}, need AS (SELECT run, region, n, name FROM (SELECT DISTINCT run, region FROM cat), (SELECT unnest([0, 1, 2]) AS n, unnest(['a0', 'a1', 'a2']) AS name)), lack AS (SELECT need.* FROM need ANTI JOIN cat ON cat.run = need.run AND cat.region = need.region AND cat.name = need.name), f AS (SELECT run, arg_min(concat(region, ':', name), (region, n)) AS first_missing FROM lack GROUP BY 1) SELECT r.run, first_missing, first_missing IS NULL AS complete FROM (SELECT DISTINCT run FROM cat) r LEFT JOIN f ON f.run = r.run")
+@_add("c5_run_completeness", f"WITH {_CAT}, need AS (SELECT run, region, n, name FROM (SELECT DISTINCT run, region FROM cat), (SELECT unnest([0, 1, 2]) AS n, unnest(['a0', 'a1', 'a2']) AS name)), lack AS (SELECT need.* FROM need ANTI JOIN cat ON cat.run = need.run AND cat.region = need.region AND cat.name = need.name), f AS (SELECT run, arg_min(concat(region, ':', name), (region, n)) AS first_missing FROM lack GROUP BY 1) SELECT r.run, first_missing, first_missing IS NULL AS complete FROM (SELECT DISTINCT run FROM cat) r LEFT JOIN f ON f.run = r.run")
 def _(spark, d):
     c = catalog(spark, d)
     return C.run_completeness(c.select("run", "region").distinct(), c, ["a0", "a1", "a2"], "run", "region", "name")
@@ -206,7 +202,7 @@ def _(spark, d):
     return C.select_cases(o.select("o_orderkey", "o_orderpriority"), "o_orderpriority", allow, ["1-*", "*LOW"])
 
 
-@_add("g4_fill_missing", "SELECT s_suppkey, CAST(q AS BIGINT) AS q, q IS NULL OR false AS synthetic FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_linenumber) AS q FROM lineitem WHERE l_quantity > 48 GROUP BY 1) ON l_suppkey = s_suppkey".replace("CAST(q AS BIGINT) AS q", "coalesce(CAST(q AS BIGINT), -1) AS q"))
+@_add("g4_fill_missing", "SELECT s_suppkey, coalesce(CAST(q AS BIGINT), -1) AS q, q IS NULL AS synthetic FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_linenumber) AS q FROM lineitem WHERE l_quantity > 48 GROUP BY 1) ON l_suppkey = s_suppkey")
 def _(spark, d):
     q = X.table(spark, d, "lineitem").filter("l_quantity > 48").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_linenumber").alias("q"))
     return C.fill_missing(X.table(spark, d, "supplier"), q, ["s_suppkey"], {"q": F.lit(-1).cast("long")})

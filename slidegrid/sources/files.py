@@ -20,7 +20,7 @@ _REQUIRED = ("patch_id", "row", "col")
 
 def read_worklist(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(item, list_name, line_no) of one path a line; comments and blanks go; empty lists are an error."""
-    df = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("list_name"), F.posexplode(F.split("value", r"\r?\n")).alias("_n", "item"))
+    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("list_name"), F.posexplode(F.split("value", r"\r?\n")).alias("_n", "item"))
     df = df.select(F.trim("item").alias("item"), "list_name", (F.col("_n") + 1).alias("line_no")).filter("item <> '' AND item NOT LIKE '#%'")
     if df.isEmpty():
         raise ValueError("the worklists name no item")
@@ -33,7 +33,7 @@ def worklist_counts(df: DataFrame) -> DataFrame:
 
 def read_pair_worklist(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows (item, annotation) and the rejected ones; a header is known by its names."""
-    df = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("list_name"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("list_name"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     df = df.filter("trim(line) <> '' AND NOT trim(line) LIKE '#%'")
     df = df.withColumn("_c", F.from_csv("line", "item string, annotation string"))
     df = df.select("list_name", "line_no", F.trim("_c.item").alias("item"), F.trim("_c.annotation").alias("annotation"))
@@ -71,7 +71,7 @@ def regions_from_json(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return regions_from_json(files.select(F.col("_metadata.file_path").alias("path"), "value"), ["path"], "value")
 
 
@@ -89,7 +89,7 @@ def read_points(spark: SparkSession, path: str, region: str = "region") -> DataF
     """Points of each region's files with their source; the root file wins over per-rotation files."""
     from .paths import with_path_keys
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     files = with_path_keys(files.select(F.col("_metadata.file_path").alias("path"), "value"), "path")
     rank = F.when(F.col("path").rlike(r"rot_?\d+"), 1).otherwise(0)
     files = files.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(Window.partitionBy("case_id", "run_id", region)))
@@ -112,7 +112,7 @@ def typed_patch_results(raw: DataFrame, order: str) -> tuple[DataFrame, DataFram
 
 
 def read_patch_results(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
     raw = raw.withColumn("_order", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     good, bad = typed_patch_results(raw, "_order")
     return good, bad.count()
