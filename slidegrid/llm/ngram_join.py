@@ -7,14 +7,16 @@ distinct 5-word shingles. The plan:
 2. Shingles in many documents are counted over the whole corpus and ordered
    last; each class posts the first n - ceil(0.75 n) + 1 shingles of its set in
    that order. Linked classes share at least one posted shingle.
-3. Every class tries the least class that it shares most posted shingles with;
-   the exact links found so join most groups of near copies at once.
+3. In each posting the class whose shingles are the commonest stands for the
+   middle of a group of copies; every class tries the middle that it meets
+   most. The exact links found so join most groups of near copies at once.
 4. The classes that post a shingle and still lie in different groups are
-   compared in size-banded tiles: hashed bitmaps bound the overlap of two sets
-   from above, and only pairs above the threshold go on to the exact
-   intersection of sorted arrays. The best pair of two groups goes first, then
-   all pairs that are still in different groups, so no link is lost. Large
-   postings are dealt over pairs of blocks.
+   compared in size-banded tiles, which count the posted shingles of a pair.
+   That count and then hashed bitmaps bound the overlap from above, and only
+   pairs above the threshold go on to the exact intersection of sorted arrays.
+   The best partner of each class goes first, twice; then all pairs that are
+   still in different groups, so no link is lost. Large postings are dealt over
+   pairs of blocks.
 
 Edge cases: a text with fewer than five words has its word sequence as its only
 shingle; without words or text the set is empty and links with nothing; a
@@ -37,7 +39,9 @@ from .text import byte_column, chunks, materialize, mix, shingle_sets
 WORDS, PERCENT = 5, 75
 #: A shingle in as many documents is ordered last; at most so many are ordered so.
 OFTEN, MOST_OFTEN = 50, 200_000
-BITS, BLOCK, FLUSH = 512, 1500, 1_000_000
+BLOCK, FLUSH = 1500, 1_000_000
+#: At most so many ids of texts are broadcast.
+FEW = 20_000
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -133,11 +137,8 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, per
                         at = np.minimum(np.searchsorted(often, key), len(often) - 1)
                         last = often[at] == key
                         order = np.concatenate((s[~last], s[last]))
-                    bits = np.zeros(BITS, dtype=bool)
-                    bits[(s >> np.uint64(20)) % np.uint64(BITS)] = True
-                    node = np.bitwise_xor.reduce(mix(s + np.uint64(len(s))))
                     check = np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-                    rows.append((len(s), node.astype(np.int64), check.astype(np.int64), order[: prefix_length(len(s), percent)].tobytes(), np.packbits(bits).tobytes()))
+                    rows.append((len(s), _node(s), check.astype(np.int64), order[: prefix_length(len(s), percent)].tobytes(), bitmap(s)))
                 yield pa.record_batch([b.column(0).slice(a, z - a), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]], ["doc_id", "n", "node", "check", "prefix", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long, prefix binary, bits binary")
@@ -202,14 +203,27 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link, by exact intersection of sorted arrays.
 
-    Sets meet at b; a node b with many partners is dealt over several keys, and
-    each of those gets its set once.
+    The texts of the classes in ``pairs`` give their sets, which meet at b. A
+    class b with many partners is dealt over several keys, and each of those
+    gets its set once. Few texts are found by a broadcast of their ids, whose
+    number is checked; many by a shuffle.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_column(batch.column(0))
+            rows = list(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True))
+            for i, z in chunks(texts, 1 << 20):
+                out = []
+                for (node, a, b, salt), s in zip(rows[i:z], shingle_sets(texts[i:z], words), strict=True):
+                    if len(s) and _node(s) == node:  # else another text under the same doc_id
+                        out.append((b, salt, a, s.tobytes()))
+                yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["b", "salt", "a", "tokens"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -222,92 +236,156 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                         out.append((a, b))
                 yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / 500).alias("parts"))
-    dealt = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    left = dealt.join(sets.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "tokens")
-    right = many.select("b", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("salt"))
-    right = right.join(sets.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "tokens")
-    met = left.unionByName(right).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return met.mapInArrow(run, "a long, b long")
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
+    left = pairs.join(many, "b").select(F.col("a").alias("node"), "a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"))
+    right = many.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    wanted = materialize(left.unionByName(right).join(classes.select("node", "rep"), "node"), "wanted")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("text", "node", "a", "b", "salt")
+    met = texts.mapInArrow(sets, "b long, salt int, a long, tokens binary").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    return met.mapInArrow(meet, "a long, b long").distinct()
+
+
+def _node(s: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).astype(np.int64))
 
 
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
-def _tile(n, root, bits, part, percent, best_only):
-    """Index pairs of one posting that may link, lie in different groups and were dealt to this tile."""
-    order = np.argsort(n, kind="stable")
-    n, root, bits, part = n[order], root[order], bits[order], part[order]
-    ones = _POP[bits].sum(axis=1, dtype=np.int64)
-    found = []
-    end = np.searchsorted(n, n * 100 // percent, side="right")  # the size band of each row
-    for i in range(len(n) - 1):
-        j = np.arange(i + 1, end[i])
-        j = j[(root[j] != root[i]) & (part[j] != part[i])] if part.min() != part.max() else j[root[j] != root[i]]
-        if not len(j):
-            continue
-        both = _POP[bits[j] & bits[i]].sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[i] - (ones[i] - both), n[j] - (ones[j] - both))  # a bit that is unset rules an element out
-        fit = (100 + percent) * most >= percent * (n[i] + n[j])
-        found += [(order[i], order[k], m, min(root[i], root[k]), max(root[i], root[k])) for k, m in zip(j[fit].tolist(), most[fit].tolist(), strict=True)]
-    if best_only:
-        best = {}
-        for f in found:
-            if f[3:] not in best or f[2] > best[f[3:]][2]:
-                best[f[3:]] = f
-        found = list(best.values())
-    return [(a, b) for a, b, *_ in found]
+def bitmap(s: np.ndarray) -> bytes:
+    """Hashed bits of a set, in a power of two that is one and a half to three times its size."""
+    size = 1 << max(6, (3 * len(s) // 2).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(s >> np.uint64(20)) & np.uint64(size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _ones(bits: np.ndarray) -> np.ndarray:
+    return _POP[bits].sum(axis=-1, dtype=np.int64)
+
+
+def _fold(bits: bytes, width: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(bits, dtype=np.uint8).reshape(-1, width))
+
+
+def may_link(n1: int, bits1: bytes, n2: int, bits2: bytes, percent: int = PERCENT) -> bool:
+    """Whether the bitmaps allow a link: each bit that the other set lacks rules an element out."""
+    width = min(len(bits1), len(bits2))
+    x, y = _fold(bits1, width), _fold(bits2, width)
+    both = int(_POP[x & y].sum())
+    most = min(n1 - (int(_POP[x].sum()) - both), n2 - (int(_POP[y].sum()) - both))
+    return (100 + percent) * most >= percent * (n1 + n2)
+
+
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("an", "<i4"), ("bn", "<i4"), ("c", "<i4")])
+
+
+def _tile_pairs(h, n, node, root, part, percent) -> Iterator[np.ndarray]:
+    """Pairs of neighbours 1, 2, ... apart in postings sorted by size, within the size band and of different groups.
+
+    ``part`` differs in a tile of two blocks, whose pairs go across.
+    """
+    at, d = np.arange(len(h)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(h)]
+        j = at + d
+        near = (h[at] == h[j]) & (100 * n[at].astype(np.int64) >= percent * n[j].astype(np.int64))
+        at = at[near]  # sizes rise, so a row past its band is done
+        j = at + d
+        fit = root[at] != root[j]
+        i, j = at[fit], j[fit]
+        cross = part[i] >= 0
+        ok = ~cross | (part[i] != part[j])
+        i, j = i[ok], j[ok]
+        if len(i):
+            out = np.empty(len(i), dtype=_PAIR)
+            swap = node[i] < node[j]
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            out["a"], out["b"], out["an"], out["bn"], out["c"] = node[a], node[b], n[a], n[b], 1
+            yield out
+
+
+def _summed(held: list[np.ndarray]) -> np.ndarray:
+    x = np.concatenate(held)
+    x = x[np.lexsort((x["b"], x["a"]))]
+    edge = np.flatnonzero((np.diff(x["a"], prepend=x["a"][:1] ^ 1) != 0) | (np.diff(x["b"], prepend=x["b"][:1] ^ 1) != 0))
+    out = x[edge]
+    out["c"] = np.add.reduceat(x["c"], edge)
+    return out
 
 
 def tile_candidates(posts: DataFrame, roots: DataFrame, bits: DataFrame, best_only: bool, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes in different groups that pass the bitmap bound."""
+    """Pairs (a, b) of classes in different groups that may link.
+
+    Postings are cut into size-banded tiles, which count for each pair the
+    posted shingles that it shares. The rest of either set bounds the overlap
+    from above, then the bitmaps do. ``best_only`` keeps the partner of each
+    class that shares most.
+    """
     x = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = x.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
     mixed = mixed.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    x = x.join(mixed, "h").join(bits, "node")
-    x = x.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    x = x.join(mixed, "h").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    x = x.select("h", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "node", "root", "bits", "part")
+    x = x.select("h", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "node", "root", "part")
+    x = x.withColumn("part", F.when(F.col("p") == F.col("q"), F.lit(-1)).otherwise(F.col("part")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        s = _summed(held)
+        return pa.record_batch([pa.array(s[c]) for c in _PAIR.names], list(_PAIR.names))
 
-        def close():
-            n = np.array([r[0] for r in rows], dtype=np.int64)
-            node = [r[1] for r in rows]
-            pairs = _tile(n, np.array([r[2] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1), np.array([r[4] for r in rows]), percent, best_only)
-            ab = [(max(node[i], node[j]), min(node[i], node[j])) for i, j in pairs]
-            return pa.record_batch([pa.array([o[k] for o in ab], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, rest = [], 0, None
+        for batch in _with_end(batches):
+            if batch is not None:
+                rest = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+                if rest.num_rows < 20_000:
+                    continue
+            if rest is None or not rest.num_rows:
+                continue
+            h, pp, q, n, node, root, part = (c.to_numpy() for c in rest.columns)
+            cut = len(h)
+            if batch is not None:  # the last tile may go on in the next batch
+                same = (h == h[-1]) & (pp == pp[-1]) & (q == q[-1])
+                cut = int(np.argmax(same))
+            if cut:
+                key = np.cumsum((np.diff(h[:cut], prepend=h[0]) != 0) | (np.diff(pp[:cut], prepend=pp[0]) != 0) | (np.diff(q[:cut], prepend=q[0]) != 0))
+                for out in _tile_pairs(key, n[:cut], node[:cut], root[:cut], part[:cut], percent):
+                    held.append(out)
+                    size += len(out)
+                    if size > FLUSH:
+                        yield send(held)
+                        held, size = [], 0
+            rest = rest.slice(cut)
+        if size:
+            yield send(held)
 
+    pairs = x.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "n", "node").mapInArrow(count, "a long, b long, an int, bn int, c int")
+    pairs = pairs.groupBy("a", "b", "an", "bn").agg(F.sum("c").alias("c"))
+    rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+    need = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
+    pairs = pairs.filter(F.col("c") + F.greatest(rest("an"), rest("bn")) >= need)
+    if best_only:
+        share = F.col("c") / F.least("an", "bn")
+        both = pairs.select(F.col("a").alias("i"), F.struct(share, "a", "b", "an", "bn").alias("s")).unionByName(pairs.select(F.col("b").alias("i"), F.struct(share, "a", "b", "an", "bn").alias("s")))
+        pairs = both.groupBy("i").agg(F.max("s").alias("s")).select("s.a", "s.b", "s.an", "s.bn").distinct()
+    pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, p, q, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != (h, p, q):
-                    if len(rows) > 1:
-                        yield close()
-                    key, rows = (h, p, q), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield close()
+            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            keep = [(a, b) for a, b, an, x, bn, y in rows if may_link(an, x, bn, y, percent)]
+            yield pa.record_batch([pa.array([k[i] for k in keep], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    pairs = x.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "n", "node").mapInArrow(run, "a long, b long")
-    return pairs.distinct()
+    return pairs.select("a", "b", "an", "x", "bn", "y").mapInArrow(bound, "a long, b long")
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, tokens) of the classes in ``wanted`` (node, rep), from their documents' texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, nodes = byte_column(b.column(1)), b.column(0).to_pylist()
-            for a, z in chunks(texts, 1 << 20):
-                keep = []
-                for node, s in zip(nodes[a:z], shingle_sets(texts[a:z], words), strict=True):
-                    if len(s) and np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).astype(np.int64) == node:
-                        keep.append((node, s.tobytes()))
-                yield pa.record_batch([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.binary())], ["node", "tokens"])
-
-    text = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("node", "text")
-    return text.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: int = OFTEN) -> DataFrame:
@@ -317,19 +395,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = materialize(classes, "classes")
     posts = materialize(shared_postings(classes, percent), "posts")
-    # what each class posts in common with the least class beside it
-    first = posts.groupBy("h").agg(F.min("node").alias("b"), F.min_by("n", "node").alias("bn"))
-    star = posts.join(first, "h").filter("node <> b").filter(100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
-    star = star.groupBy("node", "b").agg(F.count("*").alias("m"))
-    star = star.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"))
-    wanted = posts.select("node").distinct().join(classes.select("node", "rep"), "node")
-    tokens = materialize(_token_sets(docs, wanted, words), "tokens")
-    links = materialize(verify(star, tokens, percent), "links")
     bits = classes.select("node", "bits")
-    for best_only in (True, False):
+    # the class whose posted shingles are the commonest in a posting is nearest to the middle of its copies
+    size = posts.groupBy("h").agg(F.count("*").alias("m"))
+    middle = posts.join(size, "h").groupBy("node").agg(F.avg("m").alias("common"))
+    first = posts.join(middle, "node").groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("b"), F.col("n").alias("bn")), F.struct("common", F.col("node"))).alias("s")).select("h", "s.*")
+    star = posts.join(first, "h").filter("node <> b").filter(100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
+    star = star.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("m"), F.first("n").alias("an"), F.first("bn").alias("bn"))
+    star = star.groupBy("a").agg(F.max_by(F.struct("b", "an", "bn", "m"), F.struct("m", -F.col("b"))).alias("s")).select("a", "s.*")
+    # a first guess only, so classes that share few postings for their size wait for the tiles
+    star = materialize(star.filter("40 * m >= least(an, bn)").select("a", "b"), "star")
+    links = materialize(verify(star, docs, classes, words, percent), "links")
+    for best_only in (True, True, False):
         roots = materialize(components(links), "roots")
-        pairs = tile_candidates(posts, roots, bits, best_only, percent)
-        links = materialize(links.unionByName(verify(materialize(pairs, "pairs"), tokens, percent)), "links")
+        pairs = materialize(tile_candidates(posts, roots, bits, best_only, percent), "pairs")
+        if not pairs.isEmpty():
+            links = materialize(links.unionByName(verify(pairs, docs, classes, words, percent)), "links")
     roots = components(links)
     named = classes.select("node", "check", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "named")
@@ -339,6 +420,17 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """All columns of the row with the smallest doc_id of each group, and of rows without a doc_id.
+
+    Rows that repeat a kept doc_id stay once.
+    """
+    gone = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    unnamed = left.filter("doc_id IS NULL")
+    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(unnamed)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -6,8 +6,9 @@ its size), so memory follows the longest single text and never the partition.
 
 from __future__ import annotations
 
-import uuid
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer held.
+
+    The cleaner acts when the driver collects garbage, which a driver with
+    little to do puts off until long after an iterative job has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -144,6 +144,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of the rows that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                texts = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+                yield b.filter(pa.array(score_texts(texts, shared.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(fold: int, of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == fold, F.lit(True))
 
