@@ -97,3 +97,19 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows as DuckDB SQL.
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY 1),
+l AS (SELECT doc_id, source, s, array_to_string(v, ' ') AS k, len(v) AS n FROM (SELECT *, regexp_extract_all(lower(s), '[^\x20\x09-\x0D]+') AS v FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS s FROM d)) WHERE len(v) > 0),
+f AS (SELECT source, k FROM l GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > {MAX_DOCS_PER_HOST}),
+z AS (SELECT l.doc_id, count(*) AS removed_lines, sum(n) AS removed_words FROM l JOIN f ON f.k = l.k AND f.source IS NOT DISTINCT FROM l.source GROUP BY 1),
+u AS (SELECT doc_id, count(*) - count(DISTINCT s) AS n_dup_lines FROM l GROUP BY 1),
+o AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN u USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed_words) >= {MIN_LEFT_PERCENT} * n_words AS kept FROM o
+"""

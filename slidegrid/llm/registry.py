@@ -17,4 +17,4 @@ QUERIES = {
     "op10_ngram_join": ngram_join.query,
 }
 
-ORACLE: dict[str, str] = {"op10_ngram_join": ngram_join.SQL}
+ORACLE: dict[str, str] = {"op7_secret_ledger": secret_ledger.SQL, "op8_quality_lines": quality_lines.SQL, "op10_ngram_join": ngram_join.SQL}

@@ -114,3 +114,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ledger = materialize(scan(docs), "secret-ledger")
     return digest(findings_by_path(docs, ledger))
+
+
+def _rule_sql(rule: Rule, rank: int) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"SELECT doc_id, {rank} AS o, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {rule.group}) AS g, string_split_regex(t, '{p}') AS p FROM d"
+
+
+#: The same rows as DuckDB SQL.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({" UNION ALL ".join(_rule_sql(r, k) for k, r in enumerate(RULES))}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r),
+s AS (SELECT doc_id, o, kind, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM i WHERE length(g[i]) >= least),
+f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(concat(kind, ':', a, ':', a + n), ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(concat(kind, ':', a, ':', a + n), ',' ORDER BY a, o) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)
+"""
