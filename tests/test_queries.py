@@ -8,7 +8,6 @@ import pytest
 from slidegrid.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"h2_merge_boxes", "h3_merge_boxes_any", "h8_clean_mask", "l3_slide_quality", "h15_auto_k", "h14_segment_background"}
 
 
 def norm(v):
