@@ -8,15 +8,16 @@ distinct 5-word shingles. The plan:
    last; each class posts the first n - ceil(0.75 n) + 1 shingles of its set in
    that order. Linked classes share at least one posted shingle.
 3. In each posting the class whose shingles are the commonest stands for the
-   middle of a group of copies; every class tries the middle that it meets
-   most. The exact links found so join most groups of near copies at once.
+   middle of a group of copies, and after that ``GUESSES`` classes drawn by
+   hash; every class tries the middle that it meets most. The exact links found
+   so join most groups of near copies before any two of their members are
+   paired.
 4. The classes that post a shingle and still lie in different groups are
-   compared in size-banded tiles, which count the posted shingles of a pair.
-   That count and then hashed bitmaps bound the overlap from above, and only
-   pairs above the threshold go on to the exact intersection of sorted arrays.
-   The best partner of each class goes first, twice; then all pairs that are
-   still in different groups, so no link is lost. Large postings are dealt over
-   pairs of blocks.
+   compared in size-banded tiles: the places of a shared shingle in both sets
+   and then hashed bitmaps bound the overlap from above, and only pairs above
+   the threshold go on to the exact intersection of sorted arrays, so no link
+   between different groups is lost. Large postings are dealt over pairs of
+   blocks.
 
 Edge cases: a text with fewer than five words has its word sequence as its only
 shingle; without words or text the set is empty and links with nothing; a
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import byte_column, chunks, materialize, mix, shingle_sets
+from .text import byte_column, chunks, materialize, mix, scratch, shingle_sets
 
 WORDS, PERCENT = 5, 75
 #: A shingle in as many documents is ordered last; at most so many are ordered so.
@@ -42,6 +43,8 @@ OFTEN, MOST_OFTEN = 50, 200_000
 BLOCK, FLUSH = 1500, 1_000_000
 #: At most so many ids of texts are broadcast.
 FEW = 20_000
+#: Rounds of guesses before all pairs of different groups are tried.
+GUESSES = 3
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -144,11 +147,11 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, per
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long, prefix binary, bits binary")
 
 
-_POST = np.dtype([("h", "<i8"), ("node", "<i8"), ("n", "<i4")])
+_POST = np.dtype([("h", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def shared_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(h, node, n): posted shingles of two or more classes of fitting sizes."""
+    """(h, node, n, pos): posted shingles of two or more classes of fitting sizes, and their place in the set's order."""
     n_buckets = _buckets(classes.sparkSession)
 
     def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def shared_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             for node, n, prefix in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 h = np.frombuffer(prefix, dtype="<i8")
                 rows = np.empty(len(h), dtype=_POST)
-                rows["h"], rows["node"], rows["n"] = h, node, n
+                rows["h"], rows["node"], rows["n"], rows["pos"] = h, node, n, np.arange(len(h))
                 held.append(rows)
                 size += len(h)
                 if size > FLUSH:
@@ -176,7 +179,7 @@ def shared_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         x = x[np.lexsort((x["node"], x["n"], x["h"]))]
         near = (x["h"][1:] == x["h"][:-1]) & (100 * x["n"][:-1].astype(np.int64) >= percent * x["n"][1:].astype(np.int64))
         keep = np.concatenate((near, [False])) | np.concatenate(([False], near))
-        return pa.record_batch([pa.array(x[c][keep]) for c in ("h", "node", "n")], ["h", "node", "n"])
+        return pa.record_batch([pa.array(x[c][keep]) for c in _POST.names], list(_POST.names))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -191,7 +194,7 @@ def shared_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield close(parts)
 
     sent = classes.select("node", "n", "prefix").mapInArrow(post, "bucket int, posts binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(match, "h long, node long, n int")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(match, "h long, node long, n int, pos int")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -279,12 +282,15 @@ def may_link(n1: int, bits1: bytes, n2: int, bits2: bytes, percent: int = PERCEN
     return (100 + percent) * most >= percent * (n1 + n2)
 
 
-_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("an", "<i4"), ("bn", "<i4"), ("c", "<i4")])
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("an", "<i4"), ("bn", "<i4")])
 
 
-def _tile_pairs(h, n, node, root, part, percent) -> Iterator[np.ndarray]:
+def _tile_pairs(h, n, node, pos, root, part, percent) -> Iterator[np.ndarray]:
     """Pairs of neighbours 1, 2, ... apart in postings sorted by size, within the size band and of different groups.
 
+    A pair is passed over where what follows a shared shingle in either set is
+    too little for a link: the first shingle that the pair shares, if it may
+    link, is never such a place.
     ``part`` differs in a tile of two blocks, whose pairs go across.
     """
     at, d = np.arange(len(h)), 0
@@ -295,7 +301,8 @@ def _tile_pairs(h, n, node, root, part, percent) -> Iterator[np.ndarray]:
         near = (h[at] == h[j]) & (100 * n[at].astype(np.int64) >= percent * n[j].astype(np.int64))
         at = at[near]  # sizes rise, so a row past its band is done
         j = at + d
-        fit = root[at] != root[j]
+        least = np.minimum(n[at] - pos[at], n[j] - pos[j]).astype(np.int64)
+        fit = (root[at] != root[j]) & ((100 + percent) * least >= percent * (n[at].astype(np.int64) + n[j]))
         i, j = at[fit], j[fit]
         cross = part[i] >= 0
         ok = ~cross | (part[i] != part[j])
@@ -304,37 +311,32 @@ def _tile_pairs(h, n, node, root, part, percent) -> Iterator[np.ndarray]:
             out = np.empty(len(i), dtype=_PAIR)
             swap = node[i] < node[j]
             a, b = np.where(swap, j, i), np.where(swap, i, j)
-            out["a"], out["b"], out["an"], out["bn"], out["c"] = node[a], node[b], n[a], n[b], 1
+            out["a"], out["b"], out["an"], out["bn"] = node[a], node[b], n[a], n[b]
             yield out
 
 
-def _summed(held: list[np.ndarray]) -> np.ndarray:
+def _distinct(held: list[np.ndarray]) -> np.ndarray:
     x = np.concatenate(held)
     x = x[np.lexsort((x["b"], x["a"]))]
-    edge = np.flatnonzero((np.diff(x["a"], prepend=x["a"][:1] ^ 1) != 0) | (np.diff(x["b"], prepend=x["b"][:1] ^ 1) != 0))
-    out = x[edge]
-    out["c"] = np.add.reduceat(x["c"], edge)
-    return out
+    return x[(np.diff(x["a"], prepend=x["a"][:1] ^ 1) != 0) | (np.diff(x["b"], prepend=x["b"][:1] ^ 1) != 0)]
 
 
-def tile_candidates(posts: DataFrame, roots: DataFrame, bits: DataFrame, best_only: bool, percent: int = PERCENT) -> DataFrame:
+def tile_candidates(posts: DataFrame, roots: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes in different groups that may link.
 
-    Postings are cut into size-banded tiles, which count for each pair the
-    posted shingles that it shares. The rest of either set bounds the overlap
-    from above, then the bitmaps do. ``best_only`` keeps the partner of each
-    class that shares most.
+    Postings are cut into size-banded tiles. What follows a shared shingle in
+    the order of either set bounds the overlap from above, then the bitmaps do.
     """
     x = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = x.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
     mixed = mixed.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     x = x.join(mixed, "h").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    x = x.select("h", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "node", "root", "part")
+    x = x.select("h", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "node", "pos", "root", "part")
     x = x.withColumn("part", F.when(F.col("p") == F.col("q"), F.lit(-1)).otherwise(F.col("part")))
 
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
-        s = _summed(held)
+        s = _distinct(held)
         return pa.record_batch([pa.array(s[c]) for c in _PAIR.names], list(_PAIR.names))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,14 +348,14 @@ def tile_candidates(posts: DataFrame, roots: DataFrame, bits: DataFrame, best_on
                     continue
             if rest is None or not rest.num_rows:
                 continue
-            h, pp, q, n, node, root, part = (c.to_numpy() for c in rest.columns)
+            h, pp, q, n, node, pos, root, part = (c.to_numpy() for c in rest.columns)
             cut = len(h)
             if batch is not None:  # the last tile may go on in the next batch
                 same = (h == h[-1]) & (pp == pp[-1]) & (q == q[-1])
                 cut = int(np.argmax(same))
             if cut:
                 key = np.cumsum((np.diff(h[:cut], prepend=h[0]) != 0) | (np.diff(pp[:cut], prepend=pp[0]) != 0) | (np.diff(q[:cut], prepend=q[0]) != 0))
-                for out in _tile_pairs(key, n[:cut], node[:cut], root[:cut], part[:cut], percent):
+                for out in _tile_pairs(key, n[:cut], node[:cut], pos[:cut], root[:cut], part[:cut], percent):
                     held.append(out)
                     size += len(out)
                     if size > FLUSH:
@@ -363,15 +365,7 @@ def tile_candidates(posts: DataFrame, roots: DataFrame, bits: DataFrame, best_on
         if size:
             yield send(held)
 
-    pairs = x.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "n", "node").mapInArrow(count, "a long, b long, an int, bn int, c int")
-    pairs = pairs.groupBy("a", "b", "an", "bn").agg(F.sum("c").alias("c"))
-    rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
-    need = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
-    pairs = pairs.filter(F.col("c") + F.greatest(rest("an"), rest("bn")) >= need)
-    if best_only:
-        share = F.col("c") / F.least("an", "bn")
-        both = pairs.select(F.col("a").alias("i"), F.struct(share, "a", "b", "an", "bn").alias("s")).unionByName(pairs.select(F.col("b").alias("i"), F.struct(share, "a", "b", "an", "bn").alias("s")))
-        pairs = both.groupBy("i").agg(F.max("s").alias("s")).select("s.a", "s.b", "s.an", "s.bn").distinct()
+    pairs = x.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "n", "node").mapInArrow(count, "a long, b long, an int, bn int").distinct()
     pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,36 +382,61 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: int = OFTEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    docs = docs.select("doc_id", "text")
-    sets = materialize(document_sets(docs, frequent_keys(docs, words, often), words, percent), "sets")
-    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = materialize(classes, "classes")
-    posts = materialize(shared_postings(classes, percent), "posts")
-    bits = classes.select("node", "bits")
-    # the class whose posted shingles are the commonest in a posting is nearest to the middle of its copies
-    size = posts.groupBy("h").agg(F.count("*").alias("m"))
-    middle = posts.join(size, "h").groupBy("node").agg(F.avg("m").alias("common"))
-    first = posts.join(middle, "node").groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("b"), F.col("n").alias("bn")), F.struct("common", F.col("node"))).alias("s")).select("h", "s.*")
-    star = posts.join(first, "h").filter("node <> b").filter(100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
+def _stars(posts: DataFrame, middle: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each class the middle (h, b, bn, broot) that it meets most, if it is of another group and shares enough for its size."""
+    star = posts.join(middle, "h").filter("root <> broot").filter(100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
     star = star.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("m"), F.first("n").alias("an"), F.first("bn").alias("bn"))
     star = star.groupBy("a").agg(F.max_by(F.struct("b", "an", "bn", "m"), F.struct("m", -F.col("b"))).alias("s")).select("a", "s.*")
-    # a first guess only, so classes that share few postings for their size wait for the tiles
-    star = materialize(star.filter("40 * m >= least(an, bn)").select("a", "b"), "star")
-    links = materialize(verify(star, docs, classes, words, percent), "links")
-    for best_only in (True, True, False):
+    # a guess only: classes that share few postings for their size wait for the tiles
+    return star.filter("40 * m >= least(an, bn)").select("a", "b")
+
+
+def first_guess(posts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every class with the middle of its copies: in a posting, the class whose shingles are the commonest."""
+    size = posts.groupBy("h").agg(F.count("*").alias("m"))
+    common = posts.join(size, "h").groupBy("node").agg(F.avg("m").alias("common"))
+    pick = F.max_by(F.struct(F.col("node").alias("b"), F.col("n").alias("bn")), F.struct("common", "node"))
+    middle = posts.join(common, "node").groupBy("h").agg(pick.alias("s")).select("h", "s.*", F.col("s.b").alias("broot"))
+    return materialize(_stars(posts.withColumn("root", F.col("node")), middle, percent), "star")
+
+
+def next_guess(posts: DataFrame, roots: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """The same with a middle drawn by hash, in postings that hold several groups."""
+    x = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    draw = F.xxhash64("node", F.lit(turn))
+    pick = F.max_by(F.struct(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot")), draw)
+    middle = x.groupBy("h").agg(pick.alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    return _stars(x, middle.select("h", "s.*"), percent)
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: int = OFTEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    with scratch(docs.sparkSession):
+        docs = docs.select("doc_id", "text")
+        sets = materialize(document_sets(docs, frequent_keys(docs, words, often), words, percent), "sets")
+        classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        classes = materialize(classes, "classes")
+        posts = materialize(shared_postings(classes, percent), "posts")
+        bits = classes.select("node", "bits")
+        links = materialize(verify(first_guess(posts, percent), docs, classes, words, percent), "links")
+        for turn in range(GUESSES):
+            roots = materialize(components(links), "roots")
+            guess = materialize(next_guess(posts, roots, turn, percent), "guess")
+            if guess.isEmpty():
+                break
+            links = materialize(links.unionByName(verify(guess, docs, classes, words, percent)), "links")
         roots = materialize(components(links), "roots")
-        pairs = materialize(tile_candidates(posts, roots, bits, best_only, percent), "pairs")
+        pairs = materialize(tile_candidates(posts, roots, bits, percent), "pairs")
         if not pairs.isEmpty():
             links = materialize(links.unionByName(verify(pairs, docs, classes, words, percent)), "links")
-    roots = components(links)
-    named = classes.select("node", "check", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(named, "named")
-    name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(name, "root").select("node", "check", "component_id")
-    out = sets.select("doc_id", "n", "node", "check").join(named, ["node", "check"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        roots = components(links)
+        named = classes.select("node", "check", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = materialize(named, "named")
+        name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = named.join(name, "root").select("node", "check", "component_id")
+        out = sets.select("doc_id", "n", "node", "check").join(named, ["node", "check"], "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return materialize(out, "components", keep=True)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import byte_column, chunks, materialize, window_hashes, word_hashes
+from .text import byte_column, chunks, materialize, scratch, window_hashes, word_hashes
 
 MIN_WORDS, K, FLUSH = 50, 16, 400_000
 SIDE = MIN_WORDS - K
@@ -287,25 +287,27 @@ def copied_spans(docs: DataFrame) -> DataFrame:
     Spans of one document are merged where they touch, those that copy a
     smaller document apart from those that others copy.
     """
-    sampled = materialize(_sampled(docs), "sampled")
-    repeated = materialize(repeated_keys(sampled), "repeated")
-    marked = _exploded(sampled).join(repeated, "key")
-    marked = marked.select("doc_id", "pos", "key", ((F.col("doc_id") == F.col("leader_doc")) & (F.col("pos") == F.col("leader_pos"))).alias("leads"))
-    contexts = materialize(_contexts(docs, marked), "contexts")
-    led = materialize(_with_leader(contexts), "led")
-    rest = contexts.join(led.filter("short").select("key").distinct(), "key", "left_semi")
-    rest = materialize(rest, "rest")
-    spans = led.filter("NOT short").unionByName(_neighbours(rest, "right")).unionByName(_neighbours(rest, "left"))
-    copy = F.col("other") < F.col("doc_id")
-    # spans at one position all hold its gram, so their union is one span
-    spans = spans.groupBy("doc_id", "pos", copy.alias("copy")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other"))
-    by_doc = spans.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("s"))
-    merged = F.expr("""aggregate(s, CAST(array() AS array<struct<start:int,end:int,other:bigint>>), (a, x) ->
-        CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
-             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'other', least(element_at(a, -1).other, x.other))))
-             ELSE concat(a, array(x)) END)""")
-    out = by_doc.select("doc_id", "copy", F.explode(merged).alias("m"))
-    return out.select("doc_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.end").cast("long").alias("end_word"), "copy", F.col("m.other").alias("first_doc_id"))
+    with scratch(docs.sparkSession):
+        sampled = materialize(_sampled(docs), "sampled")
+        repeated = materialize(repeated_keys(sampled), "repeated")
+        marked = _exploded(sampled).join(repeated, "key")
+        marked = marked.select("doc_id", "pos", "key", ((F.col("doc_id") == F.col("leader_doc")) & (F.col("pos") == F.col("leader_pos"))).alias("leads"))
+        contexts = materialize(_contexts(docs, marked), "contexts")
+        led = materialize(_with_leader(contexts), "led")
+        rest = contexts.join(led.filter("short").select("key").distinct(), "key", "left_semi")
+        rest = materialize(rest, "rest")
+        spans = led.filter("NOT short").unionByName(_neighbours(rest, "right")).unionByName(_neighbours(rest, "left"))
+        copy = F.col("other") < F.col("doc_id")
+        # spans at one position all hold its gram, so their union is one span
+        spans = spans.groupBy("doc_id", "pos", copy.alias("copy")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other"))
+        by_doc = spans.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("s"))
+        merged = F.expr("""aggregate(s, CAST(array() AS array<struct<start:int,end:int,other:bigint>>), (a, x) ->
+            CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
+                 THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'other', least(element_at(a, -1).other, x.other))))
+                 ELSE concat(a, array(x)) END)""")
+        out = by_doc.select("doc_id", "copy", F.explode(merged).alias("m"))
+        out = out.select("doc_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.end").cast("long").alias("end_word"), "copy", F.col("m.other").alias("first_doc_id"))
+        return materialize(out, "spans", keep=True)
 
 
 def cut_copies(docs: DataFrame, least_words: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ its size), so memory follows the longest single text and never the partition.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -47,10 +48,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+_scratch: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A folder for the tables of one operator, dropped with them when its result is written."""
+    path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        release(spark)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    Within ``scratch`` the table goes with the operator's other tables unless ``keep``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    around = _scratch[:-1] if keep else _scratch
+    base = around[-1] if around else shared_dir(spark).rstrip("/")
+    path = f"{base}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
