@@ -9,7 +9,10 @@ The remaining suffixes carry the words beside them and are
 1. compared with the least suffix of their key, the leader;
 2. where a suffix of a key matches its leader too little, all suffixes of that
    key are sorted over the whole cluster, once by the words to the right and
-   once by those to the left, and neighbours from different documents compared.
+   once by those to the left, and neighbours from different documents compared;
+3. of such a key all windows of ``MIN_WORDS`` words that hold its gram are
+   hashed, and the two smallest documents of each hash are its holders, so that
+   no order of the suffixes hides a smaller document.
 
 A match is extended left and right; it counts from ``MIN_WORDS`` words on. A
 word is a copy if a match ties it to a document with a smaller id, so the
@@ -30,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import byte_column, chunks, materialize, scratch, window_hashes, word_hashes
+from .text import byte_column, chunks, materialize, mix, scratch, window_hashes, word_hashes
 
 MIN_WORDS, K, FLUSH = 50, 16, 400_000
+#: Keys with more suffixes than this are spread over the cluster by window.
+LARGE = 2000
 SIDE = MIN_WORDS - K
 _KEY = np.dtype([("key", "<i8"), ("doc", "<i8"), ("last", "<i8"), ("pos", "<i4")])
+_HOLD = np.dtype([("window", "<i8"), ("doc", "<i8")])
 
 
 def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,6 +287,145 @@ def materialize_sorted(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _windows(key: np.ndarray, right: list[bytes], left: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, words left of the gram, hash) of the windows of MIN_WORDS words that hold the gram of each suffix."""
+    words = np.empty((len(key), 2 * SIDE), dtype=np.uint64)
+    for part, side in ((words[:, SIDE - 1 :: -1], left), (words[:, SIDE:], right)):
+        part[:] = np.frombuffer(b"".join(x.ljust(4 * SIDE, b"\0") for x in side), ">u4").reshape(-1, SIDE)
+    h, at = np.zeros((len(key), SIDE + 1), dtype=np.uint64), np.arange(SIDE + 1)
+    for k in range(SIDE):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += words[:, k : k + SIDE + 1]
+    h = mix(h + mix(key.view(np.uint64)[:, None] + at.astype(np.uint64)))
+    size = [np.fromiter((len(x) // 4 for x in side), np.int64, len(key))[:, None] for side in (left, right)]
+    row, j = np.nonzero((SIDE - at <= size[0]) & (at <= size[1]))
+    return row, SIDE - j, h[row, j].view(np.int64)
+
+
+def _two_holders(x: np.ndarray) -> np.ndarray:
+    """The rows of the two smallest documents of each window."""
+    x = x[np.lexsort((x["doc"], x["window"]))]
+    other = np.diff(x["window"], prepend=x["window"][:1] ^ 1) != 0
+    keep = other | (np.diff(x["doc"], prepend=x["doc"][:1]) != 0)
+    x, other = x[keep], other[keep]
+    return x[other | np.append(False, other[:-1])]
+
+
+def _window_parts(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...]) -> Iterator[tuple]:
+    """For some thousand suffixes at a time: (words left of the gram, hash, values of ``columns``) of their windows."""
+    for b in batches:
+        for a in range(0, b.num_rows, 4096):
+            c = b.slice(a, 4096)
+            row, words, h = _windows(c.column(0).to_numpy(zero_copy_only=False), c.column(1).to_pylist(), c.column(2).to_pylist())
+            yield words, h, *(c.column(k).to_numpy(zero_copy_only=False)[row] for k in columns)
+
+
+def repeated_windows(suffixes: DataFrame) -> DataFrame:
+    """(window, first, second): the two smallest documents of windows in two or more."""
+    n = 4 * int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def emit(held):
+        x = _two_holders(np.concatenate(held))
+        bucket = (x["window"].view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        edge = np.searchsorted(bucket[order := np.argsort(bucket, kind="stable")], np.arange(n + 1))
+        some = np.flatnonzero(np.diff(edge)).tolist()
+        return pa.record_batch([pa.array(some, pa.int32()), pa.array([x[order[edge[b] : edge[b + 1]]].tobytes() for b in some], pa.binary())], ["bucket", "rows"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, h, doc in _window_parts(batches, (3,)):
+            x = np.empty(len(h), dtype=_HOLD)
+            x["window"], x["doc"] = h, doc
+            held.append(x)
+            size += len(x)
+            if size > 2 * FLUSH:
+                yield emit(held)
+                held, size = [], 0
+        if size:
+            yield emit(held)
+
+    def close(parts):
+        x = _two_holders(np.frombuffer(b"".join(parts), dtype=_HOLD))
+        at = np.flatnonzero(x["window"][1:] == x["window"][:-1])
+        return pa.record_batch([pa.array(x["window"][at]), pa.array(x["doc"][at]), pa.array(x["doc"][at + 1])], ["window", "first", "second"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for bucket, rows in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if bucket != now and parts:
+                    yield close(parts)
+                    parts = []
+                now = bucket
+                parts.append(rows)
+        if parts:
+            yield close(parts)
+
+    sent = suffixes.select("key", "right", "left", "doc_id").mapInArrow(send, "bucket int, rows binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "window long, first long, second long")
+
+
+def _spread_windows(suffixes: DataFrame) -> DataFrame:
+    """(doc_id, pos, start, end, other) of the windows of suffixes that lie in another document too, whatever the size of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, h, doc, pos in _window_parts(batches, (3, 4)):
+            yield pa.record_batch([pa.array(h), pa.array(doc), pa.array(pos.astype(np.int64) << 6 | words)], ["window", "doc_id", "at"])
+
+    repeated = materialize(repeated_windows(suffixes), "windows")
+    # the leader is the smallest document and was compared with all
+    held = suffixes.filter("NOT leads").select("key", "right", "left", "doc_id", "pos")
+    held = held.mapInArrow(run, "window long, doc_id long, at long").join(repeated, "window")
+    pos = F.shiftright("at", 6).cast("int")
+    start = (pos - F.col("at").bitwiseAND(63)).cast("int")
+    other = F.when(F.col("first") == F.col("doc_id"), F.col("second")).otherwise(F.col("first"))
+    return held.select("doc_id", pos.alias("pos"), start.alias("start"), (start + MIN_WORDS).alias("end"), other.alias("other"))
+
+
+def _windows_of_keys(suffixes: DataFrame) -> DataFrame:
+    """The same for keys of bounded size, each met as a whole in one task."""
+    names = ["doc_id", "pos", "start", "end", "other"]
+
+    def spans(t: pa.Table) -> pa.RecordBatch:
+        doc, pos = (t.column(k).to_numpy() for k in (3, 4))
+        row, words, h = _windows(t.column(0).to_numpy(), t.column(1).to_pylist(), t.column(2).to_pylist())
+        x = np.empty(len(h), dtype=_HOLD)
+        x["window"], x["doc"] = h, doc[row]
+        two = _two_holders(x)
+        two = two[np.flatnonzero(two["window"][1:] == two["window"][:-1])[:, None] + np.arange(2)]  # (first, second)
+        if not len(two):
+            return pa.record_batch([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())], names)
+        at = np.minimum(np.searchsorted(two["window"][:, 0], h), len(two) - 1)
+        hit = two["window"][at, 0] == h
+        row, start, first, second = row[hit], pos[row[hit]] - words[hit], two["doc"][at[hit], 0], two["doc"][at[hit], 1]
+        copy = first < doc[row]
+        order = np.lexsort((copy, row))
+        row, start, copy, other = row[order], start[order], copy[order], np.where(copy, first, second)[order]
+        # the windows of one suffix all hold its gram, so their union is one span
+        edge = np.flatnonzero(np.diff(2 * row + copy, prepend=-1))
+        row, end = row[edge], np.maximum.reduceat(start, edge) + MIN_WORDS
+        columns = doc[row], pos[row].astype(np.int32), np.minimum.reduceat(start, edge).astype(np.int32), end.astype(np.int32), np.minimum.reduceat(other, edge)
+        return pa.record_batch([pa.array(c) for c in columns], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            part = pa.Table.from_batches([b])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows < 4096:
+                continue
+            key = held.column(0).to_numpy()
+            z = int(np.searchsorted(key, key[-1]))  # its last key may go on
+            if z:
+                yield spans(held.slice(0, z))
+                held = held.slice(z)
+        if held is not None and held.num_rows:
+            yield spans(held)
+
+    met = suffixes.select("key", "right", "left", "doc_id", "pos").repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(run, "doc_id long, pos int, start int, end int, other long")
+
+
 def copied_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, copy, first_doc_id): repeated passages of each document.
 
@@ -294,9 +439,13 @@ def copied_spans(docs: DataFrame) -> DataFrame:
         marked = marked.select("doc_id", "pos", "key", ((F.col("doc_id") == F.col("leader_doc")) & (F.col("pos") == F.col("leader_pos"))).alias("leads"))
         contexts = materialize(_contexts(docs, marked), "contexts")
         led = materialize(_with_leader(contexts), "led")
-        rest = contexts.join(led.filter("short").select("key").distinct(), "key", "left_semi")
+        sizes = led.groupBy("key").agg(F.max("short").alias("short"), F.count("*").alias("n"))
+        rest = contexts.join(sizes.filter("short"), "key")
         rest = materialize(rest, "rest")
+        windows = _windows_of_keys(rest.filter(F.col("n") <= LARGE)).unionByName(_spread_windows(rest.filter(F.col("n") > LARGE)))
+        windows = materialize(windows, "held")
         spans = led.filter("NOT short").unionByName(_neighbours(rest, "right")).unionByName(_neighbours(rest, "left"))
+        spans = spans.select(windows.columns).unionByName(windows)
         copy = F.col("other") < F.col("doc_id")
         # spans at one position all hold its gram, so their union is one span
         spans = spans.groupBy("doc_id", "pos", copy.alias("copy")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other"))

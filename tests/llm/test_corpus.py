@@ -176,6 +176,37 @@ def test_op4_keeps_one_copy(spark):
     assert out[0].text == rows[0][1] and out[3].text.endswith("end3") and out[3].n_chars == len(out[3].text)
 
 
+def copied(texts, n=50):
+    """The words of each text in a passage of n words that a smaller id holds too."""
+    least, cover = {}, {d: set() for d in texts}
+    for d in sorted(texts):
+        x = WORDS.findall(texts[d])
+        for i in range(len(x) - n + 1):
+            if least.setdefault(tuple(x[i : i + n]), d) < d:
+                cover[d] |= set(range(i, i + n))
+    return cover
+
+
+def marked_copies(spark, rows):
+    got = {d: set() for d, _ in rows}
+    for r in suffix_dedup.copied_spans(make(spark, rows)).filter("copy").collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    return got
+
+
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 3])
+def test_op4_finds_the_smaller_holder(spark, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    # passages whose suffix order, between unique texts, has nothing to do with doc_id; doc 0 quotes too little of them
+    rows = [(i, "") for i in range(14)]
+    for q in range(12):
+        p = [f"p{q}_{k}" for k in range(56)]
+        for i in range(14):
+            beside = [hashlib.md5(f"{q} {i} {k}".encode()).hexdigest() for k in range(80)]
+            rows[i] = (i, " ".join([rows[i][1], *beside[:40], *(p[13:43] if i == 0 else p), *beside[40:]]))
+    assert marked_copies(spark, rows) == copied(dict(rows))
+
+
 def test_op5_held_out(docs, texts):
     out = language_id.predict(docs, *language_id.train(docs.filter(~language_id.held_out(0, 5)).select("text", "lang")))
     got = out.join(docs.select("doc_id", "lang"), "doc_id").filter(language_id.held_out(0, 5)).collect()
