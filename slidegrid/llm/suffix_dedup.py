@@ -10,9 +10,10 @@ The remaining suffixes carry the words beside them and are
 2. where a suffix of a key matches its leader too little, all suffixes of that
    key are sorted over the whole cluster, once by the words to the right and
    once by those to the left, and neighbours from different documents compared;
-3. of such a key all windows of ``MIN_WORDS`` words that hold its gram are
+3. of such a key, and of any other with two suffixes whose contexts leave that
+   of the leader, all windows of ``MIN_WORDS`` words that hold its gram are
    hashed, and the two smallest documents of each hash are its holders, so that
-   no order of the suffixes hides a smaller document.
+   neither an order of the suffixes nor the leader hides a smaller document.
 
 A match is extended left and right; it counts from ``MIN_WORDS`` words on. A
 word is a copy if a match ties it to a document with a smaller id, so the
@@ -182,8 +183,8 @@ def _common(x: bytes, y: bytes) -> int:
     return int((a != b).argmax())
 
 
-_SPAN = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64()), ("key", pa.int64()), ("short", pa.bool_())])
-_SPAN_SQL = "doc_id long, pos int, start int, end int, other long, key long, short boolean"
+_SPAN = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64()), ("key", pa.int64()), ("short", pa.bool_()), ("apart", pa.bool_())])
+_SPAN_SQL = "doc_id long, pos int, start int, end int, other long, key long, short boolean, apart boolean"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -197,11 +198,15 @@ def _match(doc, pos, right, left, doc2, pos2, right2, left2, key) -> list[tuple]
     r, el = _common(right, right2), _common(left, left2)
     if r + el + K < MIN_WORDS:
         return []
-    return [(doc, pos, pos - el, pos + K + r, doc2, key, False), (doc2, pos2, pos2 - el, pos2 + K + r, doc, key, False)]
+    return [(doc, pos, pos - el, pos + K + r, doc2, key, False, False), (doc2, pos2, pos2 - el, pos2 + K + r, doc, key, False, False)]
 
 
 def _with_leader(contexts: DataFrame) -> DataFrame:
-    """Matches with the leader of each key; ``short`` rows name suffixes without one."""
+    """Matches with the leader of each key.
+
+    ``apart`` rows name suffixes whose context leaves that of the leader, or
+    that lie in its document; those without a match are ``short`` too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,15 +214,17 @@ def _with_leader(contexts: DataFrame) -> DataFrame:
             for key, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 spans = _match(*row, key)
                 if not spans:
-                    out.append((row[0], row[1], 0, 0, row[4], key, True))
+                    out.append((row[0], row[1], 0, 0, row[4], key, True, True))
                     continue
                 out.append(spans[0])
                 d, p, s, e, o, *_ = spans[1]
+                if 4 * (e - s - K) < len(row[2]) + len(row[3]):
+                    out.append((row[0], row[1], 0, 0, row[4], key, False, True))
                 if (at := lead.get((d, p))) is None:
                     lead[d, p] = [s, e, o, key]
                 else:  # a leader's spans all hold its gram, so their union is one span
                     at[:3] = min(at[0], s), max(at[1], e), min(at[2], o)
-            yield _batch([*out, *((d, p, s, e, o, k, False) for (d, p), (s, e, o, k) in lead.items())])
+            yield _batch([*out, *((d, p, s, e, o, k, False, False) for (d, p), (s, e, o, k) in lead.items())])
 
     lead = contexts.filter("leads").select("key", *[F.col(c).alias(f"l_{c}") for c in ("doc_id", "pos", "right", "left")])
     met = contexts.filter("NOT leads").join(lead, "key")
@@ -439,12 +446,14 @@ def copied_spans(docs: DataFrame) -> DataFrame:
         marked = marked.select("doc_id", "pos", "key", ((F.col("doc_id") == F.col("leader_doc")) & (F.col("pos") == F.col("leader_pos"))).alias("leads"))
         contexts = materialize(_contexts(docs, marked), "contexts")
         led = materialize(_with_leader(contexts), "led")
-        sizes = led.groupBy("key").agg(F.max("short").alias("short"), F.count("*").alias("n"))
-        rest = contexts.join(sizes.filter("short"), "key")
+        sizes = led.groupBy("key").agg(F.max("short").alias("short"), F.count("*").alias("n"), F.count_if("apart").alias("apart"), F.max(F.col("apart") & (F.col("other") == F.col("doc_id"))).alias("within"))
+        # one suffix apart has no partner that the leader does not stand for
+        rest = contexts.join(sizes.filter("apart > 1 OR short OR within").select("key", "short", "n"), "key")
         rest = materialize(rest, "rest")
         windows = _windows_of_keys(rest.filter(F.col("n") <= LARGE)).unionByName(_spread_windows(rest.filter(F.col("n") > LARGE)))
         windows = materialize(windows, "held")
-        spans = led.filter("NOT short").unionByName(_neighbours(rest, "right")).unionByName(_neighbours(rest, "left"))
+        short = rest.filter("short")
+        spans = led.filter("NOT apart").unionByName(_neighbours(short, "right")).unionByName(_neighbours(short, "left"))
         spans = spans.select(windows.columns).unionByName(windows)
         copy = F.col("other") < F.col("doc_id")
         # spans at one position all hold its gram, so their union is one span

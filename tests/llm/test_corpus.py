@@ -207,6 +207,16 @@ def test_op4_finds_the_smaller_holder(spark, monkeypatch, large):
     assert marked_copies(spark, rows) == copied(dict(rows))
 
 
+def test_op4_goes_past_the_leader(spark):
+    # doc 0 holds the first 50 words of each passage, the others go on together
+    rows = [(i, "") for i in range(12)]
+    for q in range(40):
+        p = [f"q{q}_{k}" for k in range(84)]
+        for i in range(12):
+            rows[i] = (i, " ".join([rows[i][1], *[f"u{q}_{i}_{k}" for k in range(50)], *(p[:50] if i == 0 else p)]))
+    assert marked_copies(spark, rows) == copied(dict(rows))
+
+
 def test_op5_held_out(docs, texts):
     out = language_id.predict(docs, *language_id.train(docs.filter(~language_id.held_out(0, 5)).select("text", "lang")))
     got = out.join(docs.select("doc_id", "lang"), "doc_id").filter(language_id.held_out(0, 5)).collect()
