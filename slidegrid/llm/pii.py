@@ -334,12 +334,14 @@ def labelled_windows(text: str) -> list[tuple[bytes, bytes]]:
 
 def train(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> Model | None:
     """Fit on at most ``limit`` distinct labelled windows, those that hash lowest."""
+    most = {True: 2 * limit // 3, False: limit // 3}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = {r for t in b.column(0).to_pylist() if t for r in labelled_windows(t)}
-            # no task needs to send more than could be chosen
-            rows = sorted((hashlib.blake2b(c, digest_size=7).digest(), c, t) for c, t in rows)[: 2 * limit]
+            rows = sorted((hashlib.blake2b(c, digest_size=7).digest(), c, t) for c, t in rows)
+            # no task needs to send more of a class than could be chosen
+            rows = [r for has in (True, False) for r in [r for r in rows if any(r[2]) == has][: most[has]]]
             yield pa.record_batch([pa.array([int.from_bytes(r[0], "big") for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([any(r[2]) for r in rows], pa.bool_())], ["rank", "codes", "tags", "labelled"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,8 +352,7 @@ def train(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> Model | None:
 
     some = docs.filter("text RLIKE '[0-9@]'").select("text").mapInArrow(run, "rank long, codes binary, tags binary, labelled boolean")
     best = Window.partitionBy("labelled").orderBy("rank", "codes", "tags")
-    most = F.when(F.col("labelled"), 2 * limit // 3).otherwise(limit // 3)
-    chosen = some.distinct().withColumn("at", F.row_number().over(best)).filter(F.col("at") <= most).select("codes", "tags")
+    chosen = some.distinct().withColumn("at", F.row_number().over(best)).filter(F.col("at") <= F.when(F.col("labelled"), most[True]).otherwise(most[False])).select("codes", "tags")
     # a bounded number of windows, so one task fits the model
     got = chosen.repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(got[0].model) if got else None

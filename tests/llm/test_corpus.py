@@ -264,6 +264,14 @@ def test_op6_redacts(spark):
     assert out[0].text == "mail <email>, <ip>" and out[0].n_chars == len(out[0].text) and out[1].text is None
 
 
+def test_op6_trains_on_rare_labels(spark, monkeypatch):
+    # among many unlabelled windows of one batch, all of the labelled ones are met
+    monkeypatch.setattr(pii, "fit", lambda win, tags: int((tags > 0).any(axis=1).sum()))
+    rows = [(i, f"in {i} of " + hashlib.md5(str(i).encode()).hexdigest()) for i in range(2000)] + [(9000 + i, f"write to user{i}@host{i}.org now") for i in range(5)]
+    want = {r for _, t in rows for r in pii.labelled_windows(t) if any(r[1])}
+    assert pii.train(make(spark, rows).coalesce(1), limit=60) == len(want)
+
+
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
