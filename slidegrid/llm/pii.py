@@ -6,8 +6,8 @@ labelled spans: base spans found in at most ``TRAIN_WINDOWS`` windows of the
 corpus, together with copies of those windows in which the same data are
 written in ways that the patterns miss ("name at host dot org", numbers without
 a plus sign, dots in brackets). Every span the model may report holds a digit,
-an ``@`` or a bracketed or spelled-out "at", so only the surroundings of such
-triggers are cut into windows; elsewhere nothing could be found. Windows overlap
+an ``@`` or an "at" (``sound``), so only the surroundings of such triggers are
+cut into windows; elsewhere nothing could be found. Windows overlap
 by half; each character takes its label from the window in whose middle it lies
 deepest, and the spans of the whole text are then reconciled: base spans stay,
 model spans that meet one go, model spans must pass a check of their kind.
@@ -41,7 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
-_TRIGGER = re.compile(r"[0-9@]+|[\[({<]\s?(?:at|AT)\s?[\])}>]|(?<= )(?:at|AT)(?= [A-Za-z0-9-]{1,40} (?:dot|DOT) )")
+#: Every value that ``sound`` accepts holds one: a digit, an @ or an "at" of any case, in a word or between any signs.
+_TRIGGER = re.compile(r"[0-9@]+|[aA][tT]")
 
 
 def luhn(digits: str) -> bool:
@@ -350,7 +351,7 @@ def train(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> Model | None:
             win, tags = (np.frombuffer(b"".join(r[k] for r in rows), dtype=np.uint8).reshape(-1, WINDOW) for k in (0, 1))
             yield pa.record_batch([pa.array([pickle.dumps(fit(win, tags.astype(np.int64)))], pa.binary())], ["model"])
 
-    some = docs.filter("text RLIKE '[0-9@]'").select("text").mapInArrow(run, "rank long, codes binary, tags binary, labelled boolean")
+    some = docs.filter("text RLIKE '[0-9@]|[aA][tT]'").select("text").mapInArrow(run, "rank long, codes binary, tags binary, labelled boolean")
     best = Window.partitionBy("labelled").orderBy("rank", "codes", "tags")
     chosen = some.distinct().withColumn("at", F.row_number().over(best)).filter(F.col("at") <= F.when(F.col("labelled"), most[True]).otherwise(most[False])).select("codes", "tags")
     # a bounded number of windows, so one task fits the model

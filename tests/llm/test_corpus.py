@@ -264,6 +264,17 @@ def test_op6_redacts(spark):
     assert out[0].text == "mail <email>, <ip>" and out[0].n_chars == len(out[0].text) and out[1].text is None
 
 
+def test_op6_windows_cover_what_may_be_reported():
+    random.seed(16)
+    values = ["jane at acme.org", "Jane At Acme Dot org", "jane_at_acme_dot_org", "jane at mail.acme dot org", "jane AT acme dot(org)"]
+    values += ["".join(random.choices(["at", "At", "aT", "dot", "DOT", ".", "@", "ab", "xyz", "_", " ", "(", "1", "22"], k=8)) for _ in range(3000)]
+    for v in values:
+        if any(pii.sound(k, v) for k in range(len(pii.KINDS))):
+            t = f"{'qu ' * 60}{v}{' qu' * 60}"
+            covered = {x for s in pii.window_starts(t) for x in range(s, s + pii.WINDOW)}
+            assert covered & set(range(180, 180 + len(v))), v
+
+
 def test_op6_trains_on_rare_labels(spark, monkeypatch):
     # among many unlabelled windows of one batch, all of the labelled ones are met
     monkeypatch.setattr(pii, "fit", lambda win, tags: int((tags > 0).any(axis=1).sum()))
