@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import materialize
+from .text import Scratch
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, tables: Scratch, rounds: int = 40) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b: long) with the least node it reaches.
 
     Each round links every node's larger neighbours, then its smaller ones, to
@@ -21,7 +21,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     neighbours are ever held together.
     """
     now = edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a <> b").distinct()
-    now = materialize(now, "stars")
+    now = tables.put(now, "stars")
     mark = _mark(now)
     for _ in range(rounds):
         if not mark[0]:
@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = materialize(small.filter("a <> b").distinct(), "stars")
+        now = tables.put(small.filter("a <> b").distinct(), "stars")
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import byte_column, chunks, materialize, mix, scratch, window_hashes, word_hashes
+from .text import Scratch, byte_column, chunks, column, materialize, mix, shared_dir, split_by_ids, tidy, trimmed, window_hashes, with_text, word_hashes
 
 MIN_WORDS, K, FLUSH = 50, 16, 400_000
 #: Keys with more suffixes than this are spread over the cluster by window.
@@ -72,7 +72,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
                     rows.append((keys[i], at.astype("<i4").tobytes(), key.tobytes()))
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "pos", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, pos binary, keys binary")
 
 
 def _least_of_key(x: np.ndarray) -> np.ndarray:
@@ -127,8 +127,8 @@ def repeated_keys(sampled: DataFrame) -> DataFrame:
         if parts:
             yield close(parts)
 
-    sent = sampled.mapInArrow(send, "bucket int, rows binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "key long, leader_doc long, leader_pos int")
+    sent = sampled.mapInArrow(tidy(send), "bucket int, rows binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), "key long, leader_doc long, leader_pos int")
 
 
 def _exploded(sampled: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _exploded(sampled: DataFrame) -> DataFrame:
                 doc = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(p) for p in pos])
                 yield pa.record_batch([pa.array(doc), pa.array(np.concatenate(pos)), pa.array(np.concatenate(keys))], ["doc_id", "pos", "key"])
 
-    return sampled.mapInArrow(run, "doc_id long, pos int, key long")
+    return sampled.mapInArrow(tidy(run), "doc_id long, pos int, key long")
 
 
 _CONTEXT = "key long, doc_id long, pos int, right binary, left binary, leads boolean"
@@ -171,7 +171,7 @@ def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
     by_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "leads")).alias("marks"))
     met = docs.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "marks")
-    return met.mapInArrow(run, _CONTEXT).dropDuplicates(["key", "doc_id", "pos"])
+    return met.mapInArrow(tidy(run), _CONTEXT).dropDuplicates(["key", "doc_id", "pos"])
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -228,7 +228,7 @@ def _with_leader(contexts: DataFrame) -> DataFrame:
 
     lead = contexts.filter("leads").select("key", *[F.col(c).alias(f"l_{c}") for c in ("doc_id", "pos", "right", "left")])
     met = contexts.filter("NOT leads").join(lead, "key")
-    return met.select("key", "doc_id", "pos", "right", "left", "l_doc_id", "l_pos", "l_right", "l_left").mapInArrow(run, _SPAN_SQL)
+    return met.select("key", "doc_id", "pos", "right", "left", "l_doc_id", "l_pos", "l_right", "l_left").mapInArrow(tidy(run), _SPAN_SQL)
 
 
 def _neighbours(contexts: DataFrame, side: str) -> DataFrame:
@@ -280,16 +280,14 @@ def _neighbours(contexts: DataFrame, side: str) -> DataFrame:
 
     ranged = contexts.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = materialize_sorted(ranged)
-    inner = ranged.mapInArrow(walk, _SPAN_SQL)
+    inner = ranged.mapInArrow(tidy(walk), _SPAN_SQL)
     # two rows of each partition: the neighbours across its borders
-    border = ranged.mapInArrow(ends, edge_schema).repartition(1).sortWithinPartitions(*order)
-    return inner.unionByName(border.mapInArrow(walk, _SPAN_SQL))
+    border = ranged.mapInArrow(tidy(ends), edge_schema).repartition(1).sortWithinPartitions(*order)
+    return inner.unionByName(border.mapInArrow(tidy(walk), _SPAN_SQL))
 
 
 def materialize_sorted(df: DataFrame) -> DataFrame:
     """Cut into reliable files, one for each partition, in the same order."""
-    from .text import shared_dir
-
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -368,21 +366,21 @@ def repeated_windows(suffixes: DataFrame) -> DataFrame:
         if parts:
             yield close(parts)
 
-    sent = suffixes.select("key", "right", "left", "doc_id").mapInArrow(send, "bucket int, rows binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "window long, first long, second long")
+    sent = suffixes.select("key", "right", "left", "doc_id").mapInArrow(tidy(send), "bucket int, rows binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), "window long, first long, second long")
 
 
-def _spread_windows(suffixes: DataFrame) -> DataFrame:
+def _spread_windows(suffixes: DataFrame, tables: Scratch) -> DataFrame:
     """(doc_id, pos, start, end, other) of the windows of suffixes that lie in another document too, whatever the size of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, h, doc, pos in _window_parts(batches, (3, 4)):
             yield pa.record_batch([pa.array(h), pa.array(doc), pa.array(pos.astype(np.int64) << 6 | words)], ["window", "doc_id", "at"])
 
-    repeated = materialize(repeated_windows(suffixes), "windows")
+    repeated = tables.put(repeated_windows(suffixes), "windows")
     # the leader is the smallest document and was compared with all
     held = suffixes.filter("NOT leads").select("key", "right", "left", "doc_id", "pos")
-    held = held.mapInArrow(run, "window long, doc_id long, at long").join(repeated, "window")
+    held = held.mapInArrow(tidy(run), "window long, doc_id long, at long").join(repeated, "window")
     pos = F.shiftright("at", 6).cast("int")
     start = (pos - F.col("at").bitwiseAND(63)).cast("int")
     other = F.when(F.col("first") == F.col("doc_id"), F.col("second")).otherwise(F.col("first"))
@@ -430,7 +428,7 @@ def _windows_of_keys(suffixes: DataFrame) -> DataFrame:
             yield spans(held)
 
     met = suffixes.select("key", "right", "left", "doc_id", "pos").repartition("key").sortWithinPartitions("key")
-    return met.mapInArrow(run, "doc_id long, pos int, start int, end int, other long")
+    return met.mapInArrow(tidy(run), "doc_id long, pos int, start int, end int, other long")
 
 
 def copied_spans(docs: DataFrame) -> DataFrame:
@@ -439,19 +437,19 @@ def copied_spans(docs: DataFrame) -> DataFrame:
     Spans of one document are merged where they touch, those that copy a
     smaller document apart from those that others copy.
     """
-    with scratch(docs.sparkSession):
-        sampled = materialize(_sampled(docs), "sampled")
-        repeated = materialize(repeated_keys(sampled), "repeated")
+    with Scratch(docs.sparkSession) as tables:
+        sampled = tables.put(_sampled(docs), "sampled")
+        repeated = tables.put(repeated_keys(sampled), "repeated")
         marked = _exploded(sampled).join(repeated, "key")
         marked = marked.select("doc_id", "pos", "key", ((F.col("doc_id") == F.col("leader_doc")) & (F.col("pos") == F.col("leader_pos"))).alias("leads"))
-        contexts = materialize(_contexts(docs, marked), "contexts")
-        led = materialize(_with_leader(contexts), "led")
+        contexts = tables.put(_contexts(docs, marked), "contexts")
+        led = tables.put(_with_leader(contexts), "led")
         sizes = led.groupBy("key").agg(F.max("short").alias("short"), F.count("*").alias("n"), F.count_if("apart").alias("apart"), F.max(F.col("apart") & (F.col("other") == F.col("doc_id"))).alias("within"))
         # one suffix apart has no partner that the leader does not stand for
         rest = contexts.join(sizes.filter("apart > 1 OR short OR within").select("key", "short", "n"), "key")
-        rest = materialize(rest, "rest")
-        windows = _windows_of_keys(rest.filter(F.col("n") <= LARGE)).unionByName(_spread_windows(rest.filter(F.col("n") > LARGE)))
-        windows = materialize(windows, "held")
+        rest = tables.put(rest, "rest")
+        windows = _windows_of_keys(rest.filter(F.col("n") <= LARGE)).unionByName(_spread_windows(rest.filter(F.col("n") > LARGE), tables))
+        windows = tables.put(windows, "held")
         short = rest.filter("short")
         spans = led.filter("NOT apart").unionByName(_neighbours(short, "right")).unionByName(_neighbours(short, "left"))
         spans = spans.select(windows.columns).unionByName(windows)
@@ -465,43 +463,50 @@ def copied_spans(docs: DataFrame) -> DataFrame:
                  ELSE concat(a, array(x)) END)""")
         out = by_doc.select("doc_id", "copy", F.explode(merged).alias("m"))
         out = out.select("doc_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.end").cast("long").alias("end_word"), "copy", F.col("m.other").alias("first_doc_id"))
-        return materialize(out, "spans", keep=True)
+        return materialize(out, "spans")
 
 
 def cut_copies(docs: DataFrame, least_words: int = 10) -> DataFrame:
     """Documents without the passages that copy a smaller document.
 
     A document that loses words and keeps fewer than ``least_words`` is left
-    out. All columns stay; ``n_chars`` follows the text where it exists.
+    out. All columns stay, whatever their names; ``n_chars`` follows the text
+    where it exists. Rows that share a doc_id with another text, and rows with a
+    null id, a null or an empty text, stay as they are; repeated rows are cut
+    alike; an empty table gives no rows.
     """
-    spans = copied_spans(docs).filter("copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cut"))
-    names = docs.columns
+    keys = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    spans = copied_spans(docs).filter("copy").join(keys.filter("lo <> hi"), "doc_id", "left_anti")
+    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cut")), "cuts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, cuts = byte_column(b.column(0)), b.column(1).to_pylist()
-            out = []
-            for t, cut in zip(texts, cuts, strict=True):
-                _, first, start, end = word_hashes([t], lower=False)
-                keep = np.ones(len(start), dtype=bool)
-                for c in cut:
-                    keep[c["start_word"] : c["end_word"]] = False
-                if not keep.any() or int(keep.sum()) < least_words:
-                    out.append(None)
-                    continue
-                begin = np.append(start[1:], len(t))  # a cut word goes with the space behind it
-                at = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=0, append=0))
-                parts = [t[start[a] : begin[z - 1] if z < len(start) else len(t)] for a, z in zip(at[0::2].tolist(), at[1::2].tolist(), strict=True)]
-                out.append((t[: start[0]] if keep[0] else b"") + b"".join(parts))
-            yield pa.record_batch([pa.array([None if o is None else o.decode() for o in out], pa.string()), b.column(2)], ["text", "_row"])
-
-    joined = docs.join(spans, "doc_id", "left")
-    whole = joined.filter("_cut IS NULL").select(*names)
-    rest = [c for c in names if c != "text"]
-    part = joined.filter("_cut IS NOT NULL").select("text", "_cut", F.struct(*rest).alias("_row"))
-    part = part.mapInArrow(run, f"text string, _row {part.schema['_row'].dataType.simpleString()}").filter("text IS NOT NULL")
-    part = part.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names])
-    return whole.unionByName(part)
+    @F.arrow_udf("string")
+    @trimmed
+    def without(text: pa.Array, cut: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(text), 500):
+            for t, spans in zip(byte_column(text.slice(at, 500)), cut.slice(at, 500).to_pylist(), strict=True):
+                out.append(_cut_text(t, [(c["start_word"], c["end_word"]) for c in spans or []], least_words))
+        return pa.array(out, pa.string())
+
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("_row")).withColumn("doc_id", F.col("_row.doc_id"))
+    near, clear = split_by_ids(rows, "doc_id", spans)
+    near = near.join(spans, "doc_id", "left")
+    part = near.filter("cut IS NOT NULL").withColumn("_new", without(F.col("_row.text"), F.col("cut"))).filter("_new IS NOT NULL")
+    return clear.select("_row.*").unionByName(near.filter("cut IS NULL").select("_row.*")).unionByName(part.select(*with_text(docs, F.col("_new"))))
+
+
+def _cut_text(t: bytes, spans: list[tuple[int, int]], least_words: int) -> str | None:
+    """A text without the given runs of words, or nothing if too few are left."""
+    _, _, start, _ = word_hashes([t], lower=False)
+    keep = np.ones(len(start), dtype=bool)
+    for a, z in spans:
+        keep[a:z] = False
+    if int(keep.sum()) < max(1, least_words):
+        return None
+    begin = np.append(start[1:], len(t))  # a cut word goes with the space behind it
+    at = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=0, append=0))
+    parts = [t[start[a] : begin[z - 1] if z < len(start) else len(t)] for a, z in zip(at[0::2].tolist(), at[1::2].tolist(), strict=True)]
+    return ((t[: start[0]] if keep[0] else b"") + b"".join(parts)).decode()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

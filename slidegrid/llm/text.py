@@ -6,16 +6,18 @@ its size), so memory follows the longest single text and never the partition.
 
 from __future__ import annotations
 
-import contextlib
-import gc
+import ctypes
+import functools
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
@@ -27,56 +29,121 @@ _powers: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only in local mode where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="slidegrid-")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return base
+    return base.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer held.
+#: While a table is written: shuffle files go once it is complete, and batches for Python stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
-    The cleaner acts when the driver collects garbage, which a driver with
-    little to do puts off until long after an iterative job has filled the disks.
+
+def _store(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    The table stays for those who read the result, as files of ``checkpoint`` do.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return _store(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
 
 
-_scratch: list[str] = []
+class Scratch:
+    """The tables of one run of an operator, in a folder that goes when its result is written."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """A folder for the tables of one operator, dropped with them when its result is written."""
-    path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    _scratch.append(path)
-    try:
-        yield
-    finally:
-        _scratch.pop()
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        release(spark)
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        return _store(df, f"{self.path}/{label}-{uuid.uuid4().hex}")
 
+    def __enter__(self) -> Scratch:
+        return self
 
-def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+    def __exit__(self, *_) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function of Arrow batches, that ends with ``trim``."""
 
-    Within ``scratch`` the table goes with the operator's other tables unless ``keep``.
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run``, a function of Arrow arrays, with ``trim`` after each batch."""
+
+    @functools.wraps(run)
+    def wrapped(*columns: pa.Array) -> pa.Array:
+        try:
+            return run(*columns)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def column(name: str) -> Column:
+    """A column by its plain name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: Ids are looked up by so many slots of their hash at most.
+SLOTS = 1 << 20
+
+
+def split_by_ids(rows: DataFrame, name: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``name`` may be one of ``ids.doc_id``, and the others, which so need no shuffle.
+
+    Ids meet by slot, so what is broadcast is bounded; false hits stay on the
+    first side.
     """
-    spark = df.sparkSession
-    around = _scratch[:-1] if keep else _scratch
-    base = around[-1] if around else shared_dir(spark).rstrip("/")
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(ids.select(slot("doc_id").alias("_slot")).distinct())
+    rows = rows.withColumn("_slot", slot(name))
+    return rows.join(slots, "_slot", "left_semi").drop("_slot"), rows.join(slots, "_slot", "left_anti").drop("_slot")
+
+
+def with_text(docs: DataFrame, new: Column) -> list[Column]:
+    """The columns of ``docs`` out of the struct ``_row``, with another text; ``n_chars`` follows it where it exists."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    put = {"text": new, "n_chars": F.length(new)}
+    return [put[c].cast(kinds[c]).alias(c) if c in put else F.col("_row").getField(c).alias(c) for c in docs.columns]
 
 
 def byte_column(column: pa.Array) -> list[bytes]:
