@@ -13,7 +13,6 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import materialize
+from .text import materialize, tidy
 
 WINDOW, END_ID, GROUP = 2048, 1, 100_000
 CACHE, KEEP = 600_000, 64
@@ -88,7 +87,7 @@ class Tokens:
     before are tokenised together. Any other text is tokenised as a whole.
     """
 
-    _odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0]|[^\x00-\xff]")
+    _plain = bytes(x for x in range(256) if x in (9, 10, 13) or 0x20 <= x < 0x7F or x > 0xA0)
     _word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
@@ -100,6 +99,13 @@ class Tokens:
         self.ends = np.array([(self.base.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
 
+    def odd(self, text: str) -> bool:
+        """Whether a text holds a control character or one outside Latin-1."""
+        try:
+            return bool(text.encode("latin-1").translate(None, self._plain))
+        except UnicodeEncodeError:
+            return True
+
     def whole(self, text: str) -> bytes:
         return np.array(self.base.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -107,7 +113,7 @@ class Tokens:
         """Ids of each word; they are tokenised as one text and cut at word ends."""
         if not words:
             return []
-        ids = np.array(self.base.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.base.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         end = np.flatnonzero(self.ends[ids]) + 1
         if len(end) != len(words):
             return [self.whole(w) for w in words]
@@ -118,7 +124,7 @@ class Tokens:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        parts = [None if self._odd.search(t) else t.lower().split() for t in texts]
+        parts = [None if self.odd(t) else t.lower().split() for t in texts]
         new = list(set().union(*[p for p in parts if p]) - known.keys())
         if new:
             words = list(map(self._word.findall, new))
@@ -153,7 +159,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, deal = tokens(path), 0
-        for b in batches:
+        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             keys, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
             at = 0
             while at < len(texts):
@@ -170,8 +176,9 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = E
                         deal += 1
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
                 at = to
+        t.known.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long")
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
