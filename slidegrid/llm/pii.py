@@ -6,8 +6,9 @@ labelled spans: base spans found in at most ``TRAIN_WINDOWS`` windows of the
 corpus, together with copies of those windows in which the same data are
 written in ways that the patterns miss ("name at host dot org", numbers without
 a plus sign, dots in brackets). Every span the model may report holds a digit,
-an ``@`` or an "at" (``sound``), so only the surroundings of such triggers are
-cut into windows; elsewhere nothing could be found. Windows overlap
+an ``@``, or an "at" between signs that a dot follows within ``SPOKEN``
+characters (``sound``), so only the surroundings of such triggers are cut into
+windows; elsewhere nothing could be reported. Windows overlap
 by half; each character takes its label from the window in whose middle it lies
 deepest, and the spans of the whole text are then reconciled: base spans stay,
 model spans that meet one go, model spans must pass a check of their kind.
@@ -27,9 +28,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import Scratch, column, tidy, trimmed, with_text
+
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, REACH = 96, 48, 24
 TRAIN_WINDOWS, EPOCHS, BATCH, HIDDEN, EMBED, RATE = 1500, 6, 48, 20, 12, 0.02
@@ -41,8 +44,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
-#: Every value that ``sound`` accepts holds one: a digit, an @ or an "at" of any case, in a word or between any signs.
-_TRIGGER = re.compile(r"[0-9@]+|[aA][tT]")
+#: An "at" between signs and, within so many characters, a dot or its name.
+SPOKEN = 40
+_AT = rf"(?<=[^A-Za-z])[aA][tT](?=[^A-Za-z])(?=.{{0,{SPOKEN}}}?(?:\.|[dD][oO][tT]))"
+_SPOKEN = re.compile(_AT, re.DOTALL)
+#: Every value that ``sound`` accepts holds one of these.
+_TRIGGER = re.compile(rf"[0-9@]+|{_AT}", re.DOTALL)
 
 
 def luhn(digits: str) -> bool:
@@ -93,8 +100,8 @@ def sound(kind: int, value: str) -> bool:
     """What a model span of a kind must hold."""
     digits = _NOT_DIGIT.sub("", value)
     if kind == 0:
-        low = value.lower()
-        return ("@" in value or "at" in low) and ("." in value or "dot" in low) and sum(c.isalnum() for c in value) >= 6
+        dotted = "." in value or "dot" in value.lower()
+        return (bool(_SPOKEN.search(value)) or "@" in value and dotted) and sum(c.isalnum() for c in value) >= 6
     if kind == 1:
         parts = [p for p in _NOT_DIGIT.split(value) if p]
         return len(parts) == 4 and all(map(_small, parts))
@@ -334,16 +341,23 @@ def labelled_windows(text: str) -> list[tuple[bytes, bytes]]:
 
 
 def train(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> Model | None:
-    """Fit on at most ``limit`` distinct labelled windows, those that hash lowest."""
+    """Fit on at most ``limit`` distinct labelled windows, those that hash lowest.
+
+    Every task keeps no more of either class than could be chosen, so the
+    choice is that of the whole corpus however it is partitioned.
+    """
     most = {True: 2 * limit // 3, False: limit // 3}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list] = {True: [], False: []}
         for b in batches:
-            rows = {r for t in b.column(0).to_pylist() if t for r in labelled_windows(t)}
-            rows = sorted((hashlib.blake2b(c, digest_size=7).digest(), c, t) for c, t in rows)
-            # no task needs to send more of a class than could be chosen
-            rows = [r for has in (True, False) for r in [r for r in rows if any(r[2]) == has][: most[has]]]
-            yield pa.record_batch([pa.array([int.from_bytes(r[0], "big") for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([any(r[2]) for r in rows], pa.bool_())], ["rank", "codes", "tags", "labelled"])
+            for at in range(0, b.num_rows, 1000):
+                rows = {r for t in b.column(0).slice(at, 1000).to_pylist() if t for r in labelled_windows(t)}
+                for c, t in rows:
+                    held[any(t)].append((int.from_bytes(hashlib.blake2b(c, digest_size=7).digest(), "big"), c, t))
+                held = {has: sorted(set(x))[: most[has]] for has, x in held.items()}
+        rows = [(*r, has) for has, x in held.items() for r in x]
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], ["rank", "codes", "tags", "labelled"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((c, t) for b in batches for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -351,11 +365,12 @@ def train(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> Model | None:
             win, tags = (np.frombuffer(b"".join(r[k] for r in rows), dtype=np.uint8).reshape(-1, WINDOW) for k in (0, 1))
             yield pa.record_batch([pa.array([pickle.dumps(fit(win, tags.astype(np.int64)))], pa.binary())], ["model"])
 
-    some = docs.filter("text RLIKE '[0-9@]|[aA][tT]'").select("text").mapInArrow(run, "rank long, codes binary, tags binary, labelled boolean")
-    best = Window.partitionBy("labelled").orderBy("rank", "codes", "tags")
-    chosen = some.distinct().withColumn("at", F.row_number().over(best)).filter(F.col("at") <= F.when(F.col("labelled"), most[True]).otherwise(most[False])).select("codes", "tags")
-    # a bounded number of windows, so one task fits the model
-    got = chosen.repartition(1).mapInArrow(learn, "model binary").collect()
+    with Scratch(docs.sparkSession) as tables:
+        some = docs.filter("text RLIKE '[0-9@]|[aA][tT]'").select("text").mapInArrow(tidy(run), "rank long, codes binary, tags binary, labelled boolean")
+        some = tables.put(some.distinct(), "windows")
+        best = [some.filter(F.col("labelled") == has).orderBy("rank", "codes", "tags").limit(n) for has, n in most.items()]
+        # a bounded number of windows, so one task fits the model
+        got = best[0].unionByName(best[1]).select("codes", "tags").repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(got[0].model) if got else None
 
 
@@ -430,7 +445,7 @@ def personal_data(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             texts = [x or "" for x in b.column(1).to_pylist()]
             for a, z in _blocks(texts):
                 found = find_spans(texts[a:z], shared.value)
@@ -438,7 +453,7 @@ def personal_data(docs: DataFrame, model: Model | None) -> DataFrame:
                 sha = pa.array([hashlib.sha256(_text(base).encode()).hexdigest() for base, _ in found], pa.string())
                 yield pa.record_batch([b.column(0).slice(a, z - a), *counts, sha, pa.array([_text(sorted(base + more)) for base, more in found], pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -452,21 +467,28 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All rows and columns, with personal data in ``text`` replaced; null texts stay null."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    rest = [c for c in names if c != "text"]
+    """All rows and columns, with personal data in ``text`` replaced.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for a, z in _blocks([t or "" for t in texts]):
-                some = texts[a:z]
-                new = [t if t is None or not (base or more) else redacted(t, base + more) for t, (base, more) in zip(some, find_spans([t or "" for t in some], shared.value), strict=True)]
-                yield pa.record_batch([pa.array(new, pa.string()), b.column(1).slice(a, z - a)], ["text", "_row"])
-
-    packed = docs.select("text", F.struct(*rest).alias("_row"))
-    out = packed.mapInArrow(run, f"text string, _row {packed.schema['_row'].dataType.simpleString()}")
-    return out.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names])
+    Null texts stay null and empty ones empty; of spans that overlap the first
+    names both; repeated rows are changed alike; extra columns are kept
+    whatever their names; an empty table gives no rows. Without a model only
+    base spans are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    @trimmed
+    def clean(text: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(text), 500):
+            some = text.slice(at, 500).to_pylist()
+            for a, z in _blocks([t or "" for t in some]):
+                found = find_spans([t or "" for t in some[a:z]], shared.value)
+                out += [t if t is None or not (base or more) else redacted(t, base + more) for t, (base, more) in zip(some[a:z], found, strict=True)]
+        return pa.array(out, pa.string())
+
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("_row")).withColumn("_new", clean(F.col("_row.text")))
+    return rows.select(*with_text(docs, F.col("_new")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
