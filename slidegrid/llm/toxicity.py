@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import chunks
+from .text import chunks, tidy, trimmed
 
 TRAIN_ROWS, TRAIN_CHARS = 6_000, 20_000
 BUCKET_BITS, ORDERS = 20, (4, 5, 7)
@@ -42,11 +42,15 @@ class Model(NamedTuple):
     bias: float
 
 
-def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each byte n-gram of the lower-cased texts and the index of its text."""
-    raw = [b" " + t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
-    code = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint32)
-    size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+def grams(texts: list[str], order: int, pad: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each character n-gram of the lower-cased texts, framed by spaces, and where each text ends."""
+    low = [f" {t.lower()} " if pad else t for t in texts]
+    raw = "".join(low)
+    if raw.isascii():
+        code = np.frombuffer(raw.encode(), dtype=np.uint8).astype(np.uint32)
+    else:
+        code = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
     if len(code) < order:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     n = len(code) - order + 1
@@ -141,20 +145,25 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             if texts:
                 yield pa.record_batch([b.column(0), pa.array(score_texts(texts, shared.value), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the rows that score below ``threshold``."""
+    """All columns of the rows that score below ``threshold``.
+
+    A null or empty text scores the model's bias, a score equal to the
+    threshold is rejected, repeated rows get one verdict, extra columns are
+    kept whatever their names, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                texts = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
-                yield b.filter(pa.array(score_texts(texts, shared.value) < threshold))
+    @F.arrow_udf("double")
+    @trimmed
+    def score(text: pa.Array) -> pa.Array:
+        some = (text.slice(at, 500) for at in range(0, len(text), 500))
+        return pa.array(np.concatenate([np.zeros(0), *(score_texts([x or "" for x in t.to_pylist()], shared.value) for t in some)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score(F.col("text")) < threshold)
 
 
 def held_out(fold: int, of: int) -> Column:
