@@ -91,7 +91,8 @@ class MergeReplay:
         at = np.flatnonzero(start >= 0)
         order = at[np.argsort(start[at], kind="stable")]
         cut = np.flatnonzero(np.diff(start[order], prepend=-1))
-        index = {int(start[order[a]]): order[a:b].tolist() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True)}
+        edge = [*cut.tolist(), len(order)]  # without any mergeable pair the index is empty
+        index = {int(start[order[a]]): order[a:b].tolist() for a, b in zip(edge, edge[1:])}
         nxt, prv, get, again = nxt.tolist(), prv.tolist(), self.pairs.get, set()
         heap = sorted(index)
         while heap:
