@@ -10,8 +10,10 @@ random-access points. ``elementary_packets`` gives them one row a unit.
 
 Edge cases: a null or empty text stores 64 zero bytes; equal texts give equal
 streams; bytes that are no transport stream read as no payload with ``ok``
-false; a null stream reads as null; repeated rows are kept; an empty table
-gives no rows; extra columns are ignored.
+false, and so do empty or torn tables; a packet sent twice counts once; after
+lost packets the payload holds what arrived and ``ok`` is false; a null stream
+reads as null; repeated rows are kept; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import byte_column
+from .text import byte_column, chunks
 
 PACKET, PAT_PID, PMT_PID, STREAM_PID, PROGRAM = 188, 0, 0x100, 0x101, 1
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD
@@ -121,19 +123,28 @@ def demux(media: bytes) -> dict:
     pid = (a[:, 1].astype(np.int32) & 0x1F) << 8 | a[:, 2]
     control = a[:, 3] >> 4 & 3
     out |= {"packets": len(a), "pids": np.unique(pid).tolist()}
+    # a packet may be sent a second time with the same counter; its copy is passed over
+    twice = np.zeros(len(a), dtype=bool)
     for x in out["pids"]:
-        cc = a[(pid == x) & (control & 1 == 1), 3] & 15
-        out["cc_errors"] += int(((np.diff(cc.astype(np.int16)) & 15) != 1).sum())
-    pat = _table(a[pid == PAT_PID][:64], 0)
-    if pat is None:
+        at = np.flatnonzero((pid == x) & (control & 1 == 1))
+        step = (np.diff((a[at, 3] & 15).astype(np.int16)) & 15) if len(at) > 1 else np.zeros(0, dtype=np.int16)
+        same = np.flatnonzero(step == 0)
+        same = same[(a[at[same]] == a[at[same + 1]]).all(axis=1)] if len(same) else same
+        twice[at[same + 1]] = True
+        at = at[~twice[at]]
+        out["cc_errors"] += int(((np.diff((a[at, 3] & 15).astype(np.int16)) & 15) != 1).sum())
+    pat = _table(a[pid == PAT_PID][:64], 0) or b""
+    # program 0 names the network table, no program
+    programs = [x for x in struct.iter_unpack(">HH", pat[: len(pat) // 4 * 4]) if x[0]]
+    if not programs:
         return out
-    program, at = struct.unpack(">HH", pat[:4])
-    pmt = _table(a[pid == at & 0x1FFF][:64], 2)
-    if pmt is None:
+    program, at = programs[0]
+    pmt = _table(a[pid == at & 0x1FFF][:64], 2) or b""
+    skip = 4 + (int.from_bytes(pmt[2:4], "big") & 0x0FFF)
+    if len(pmt) < skip + 5:
         return out
-    skip = 4 + (struct.unpack(">H", pmt[2:4])[0] & 0x0FFF)
     kind, stream = struct.unpack(">BH", pmt[skip : skip + 3])
-    where = np.flatnonzero((pid == stream & 0x1FFF) & (control & 1 == 1))
+    where = np.flatnonzero((pid == stream & 0x1FFF) & (control & 1 == 1) & ~twice)
     e, c = a[where], control[where]
     start = np.where(c & 2, 5 + e[:, 4].astype(np.int64), 4).clip(max=PACKET)
     access = (c & 2 > 0) & (e[:, 4] > 0) & (e[:, 5] & 0x40 > 0)
@@ -141,19 +152,20 @@ def demux(media: bytes) -> dict:
     offset = np.concatenate(([0], np.cumsum(PACKET - start)))
     first = np.flatnonzero(e[:, 1] & 0x40)
     ends = np.append(offset[first[1:]], len(data))
-    bodies = []
+    bodies, torn = [], False
     for k, end in zip(first.tolist(), ends.tolist(), strict=True):
         unit = data[int(offset[k]) : end]
         if len(unit) < 14 or unit[:3] != b"\0\0\1":
-            out["cc_errors"] += 1
+            torn = True
             continue
         t = unit[9:14] if unit[7] & 0x80 else None
         pts = None if t is None else (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1
         size = struct.unpack(">H", unit[4:6])[0]
         body = unit[9 + unit[8] : 6 + size if size else len(unit)]
+        torn |= bool(size) and len(body) != 6 + size - 9 - unit[8]
         bodies.append(body)
         out["units"].append((pts, bool(access[k]), int(where[k]), len(body)))
-    return out | {"ok": True, "payload": b"".join(bodies), "program": program, "stream_type": kind}
+    return out | {"ok": not torn and not out["cc_errors"], "payload": b"".join(bodies), "program": program, "stream_type": kind}
 
 
 def padded(text: bytes) -> bytes:
@@ -163,10 +175,10 @@ def padded(text: bytes) -> bytes:
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            s = b.slice(at, 256)
-            texts = byte_column(s.column(1))
-            yield pa.record_batch([s.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+        texts = byte_column(b.column(1))
+        for at, to in chunks(texts, 1 << 22):
+            some = texts[at:to]
+            yield pa.record_batch([b.column(0).slice(at, to - at), pa.array([len(t) for t in some], pa.int64()), pa.array([mux(padded(t)) for t in some], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store_streams(docs: DataFrame) -> DataFrame:
