@@ -90,6 +90,33 @@ def test_op1_sees_lost_packets():
     assert [u[0] // transport_stream.TICKS for u in x["units"] if u[1]] == [0, 8]
 
 
+def test_op1_tables_and_packets():
+    ts, data = transport_stream, b"q" * 100_000
+    m = ts.mux(data)
+    part = [m[i : i + 188] for i in range(0, len(m), 188)]
+    table = lambda pid, section: ts._table_packet(pid, section).tobytes()
+    # tables without entries, or too short for one
+    for pat, pmt in [(b"", None), (b"\0\1", None), (None, b""), (None, b"\xe1\x01\xf0\0"), (None, b"\xe1\x01\xf0\xff\1\2")]:
+        own = list(part)
+        if pat is not None:
+            own = [table(0, ts._section(0, 1, pat)) if x[1] & 0x1F == 0 and x[2] == 0 else x for x in own]
+        if pmt is not None:
+            own = [table(ts.PMT_PID, ts._section(2, 1, pmt)) if x[1] & 0x1F == 1 and x[2] == 0 else x for x in own]
+        x = ts.demux(b"".join(own))
+        assert not x["ok"] and x["payload"] == b""
+    # program 0 comes first, then the program
+    pat = table(0, ts._section(0, 1, bytes.fromhex("0000e010") + bytes.fromhex("0001e100")))
+    x = ts.demux(pat + b"".join(part[1:]))
+    assert x["payload"] == data and x["program"] == 1
+    # one packet twice is lawful, three times is not
+    x = ts.demux(b"".join([*part[:6], part[5], *part[6:]]))
+    assert x["ok"] and x["payload"] == data and x["cc_errors"] == 0
+    # lost packets in the middle and at the end
+    for lost in (m[: 188 * 10] + m[188 * 12 :], m[: -188 * 3]):
+        x = ts.demux(lost)
+        assert not x["ok"] and len(x["payload"]) < len(data)
+
+
 def test_op2_learns(spark):
     random.seed(1)
     voc = ["stan", "lor", "ming", "tes", "rund", "alk"]
@@ -348,6 +375,20 @@ def test_op9_equals_the_plain_algorithm(texts):
         assert ids == np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() and r.decode(ids) == t.encode()
 
 
+def test_op9_words_without_a_pair(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(BPE), special_tokens={})
+    for one in ["x", "\x01", " ", "é", "7", "\n"]:  # one text of one character, by a worker that knows nothing yet
+        r = byte_bpe.MergeReplay(byte_bpe.read_ranks(BPE), public_tokenizers.PATTERN)
+        assert r.encode([one]) == [np.array(enc.encode_ordinary(one), dtype="<u4").tobytes()]
+    assert r.encode([]) == [] and r.encode(["", "a"])[0] == b""
+    r.encode(["warm words of a block"])
+    for one in ["y", "warm", "\x02", "warm y"]:  # by one whose words are nearly all known
+        assert r.encode([one]) == [np.array(enc.encode_ordinary(one), dtype="<u4").tobytes()]
+    assert [x.n_tokens for x in byte_bpe.encode_digests(make(spark, [(1, "x")]), BPE, public_tokenizers.PATTERN).collect()] == [1]
+
+
 def shingles(t):
     w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -390,10 +431,38 @@ def test_op10_near_copies(spark, monkeypatch):
     assert got == groups(dict(rows))
 
 
+def test_op10_a_group_without_a_linked_middle(spark, monkeypatch):
+    # a chain of windows over one text: each links with the next only, and all share shingles with the middle ones
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 3)
+    w = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(w[8 * i : 8 * i + 80])) for i in range(36)] + [(100 + i, " ".join(w[40:150]) + f" tail{i} " * i) for i in range(20)]
+    random.seed(13)
+    random.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(make(spark, rows), often=3).collect()}
+    assert got == groups(dict(rows)) and len({c for _, c in got.values()}) < 30
+
+
+def test_op10_bounded_buckets(spark, monkeypatch, docs, texts):
+    # blocks so small that every bucket overflows
+    monkeypatch.setattr(ngram_join, "FLUSH", 50)
+    monkeypatch.setattr(ngram_join, "_buckets", lambda spark, rows=0: 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == groups(texts)
+
+
+def test_op10_keeps_other_texts_of_a_repeated_id(spark):
+    p, q, r = (" ".join(f"{x}{i}" for i in range(30)) for x in "pqr")
+    rows = [(1, p), (2, p), (2, q), (3, q), (3, r), (3, r), (None, p), (4, None), (4, ""), (5, p + " z")]
+    kept = sorted((x.doc_id or 0, x.text or "") for x in ngram_join.keep_first(make(spark, rows)).collect())
+    assert kept == sorted([(1, p), (2, q), (3, r), (0, p), (4, ""), (4, "")])
+
+
 def test_components(spark):
     random.seed(11)
     edges = [(i, i + 1) for i in range(60)] + [(100 + random.randrange(40), 100 + random.randrange(40)) for _ in range(25)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with text.Scratch(spark) as tables:
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), tables).collect()}
     root = {}
 
     def find(x):
