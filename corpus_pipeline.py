@@ -17,29 +17,39 @@ from slidegrid.llm import ngram_join, packing, pii, suffix_dedup, toxicity
 from slidegrid.llm.text import materialize
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of few megabytes, so that long ones do not add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; those that it reaches go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out(1, 3))
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    small_batches(spark)
     return ngram_join.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the long passages that they copy from a smaller id."""
+    small_batches(spark)
     return suffix_dedup.cut_copies(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by the name of its kind."""
+    small_batches(spark)
     return pii.redact(docs, pii.train(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens as pieces of packed sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -51,7 +61,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the trained stages; tests hold each stage against a brute-force version.
+#: SQL cannot express the trained stages; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
