@@ -16,13 +16,13 @@ from slidegrid.llm.text import materialize
 
 DATA = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-EXTRA = {"a b": F.lit(1), "x.y:z`q": F.lit("k"), "_cut": F.lit(2), "_row": F.lit(3), "_new": F.lit(4), "root": F.lit(5)}
+EXTRA = {"a b": 1, "x.y:z`q": "k", "_cut": 2, "_row": 3, "_new": 4, "root": 5}
 
 
 @pytest.fixture(scope="module")
 def stages(spark):
     """(name, rows of the input, rows of the output) of each stage; the input has columns of odd names."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns(EXTRA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({k: F.lit(v) for k, v in EXTRA.items()})
     # rows that share an id, repeated rows, null and empty texts, no id
     more = docs.limit(3).withColumn("text", F.lit("other words under an id that is taken"))
     null = docs.limit(2).withColumns({"text": F.lit(None).cast("string"), "doc_id": F.lit(9001).cast("long")})
