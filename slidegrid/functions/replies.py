@@ -187,9 +187,18 @@ def repair(df: DataFrame, parsed: str, scorer: Callable[[dict], str], parse: Cal
 
 
 def score_batches(df: DataFrame, keys: list[str], ident: str, batch_scorer: Callable[[pd.DataFrame], dict], scorer: Callable[[dict], str]) -> DataFrame:
-    """One call for each batch; rows of a batch whose reply does not fit its ids are scored one by one."""
+    """One call for each batch; rows of a batch whose reply does not fit its ids are scored one by one.
+
+    A row whose own call fails has no reply; a failure never ends the job.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("mode", T.StringType())])
 
+    def alone(row: dict) -> str | None:
+        try:
+            return scorer(row)
+        except Exception:  # a row that fails is a result
+            return None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             got = batch_scorer(pdf)
@@ -198,6 +207,6 @@ def score_batches(df: DataFrame, keys: list[str], ident: str, batch_scorer: Call
         ids = pdf[ident].tolist()
         if set(got) == set(ids) and len(got) == len(ids):
             return pdf.assign(reply=[got[i] for i in ids], mode="batch")
-        return pdf.assign(reply=[scorer(r) for r in pdf.to_dict("records")], mode="single")
+        return pdf.assign(reply=[alone(r) for r in pdf.to_dict("records")], mode="single")
 
     return df.groupBy(*keys).applyInPandas(run, schema)

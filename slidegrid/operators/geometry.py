@@ -131,12 +131,16 @@ def point_windows(df: DataFrame, size: int, mode: str = "central", x: str = "x",
 
 
 def best_level(regions: DataFrame, levels: DataFrame, target: int, slide: str = "slide") -> DataFrame:
-    """The pyramid level at which a region's longer side is nearest ``target``; the first wins a tie."""
+    """The pyramid level at which a region's longer side is nearest ``target``; the first wins a tie.
+
+    The few levels of a slide meet each region as one array, so equal regions
+    all stay. Regions of slides without levels go.
+    """
+    down = F.coalesce("downsample", F.pow(F.lit(2.0), F.col("level")))
+    few = levels.groupBy(slide).agg(F.collect_list(F.struct("level", down.alias("down"))).alias("_levels"))
     side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    met = regions.join(levels.select(slide, "level", F.coalesce("downsample", F.pow(F.lit(2.0), F.col("level"))).alias("downsample")), slide)
-    keys = regions.columns
-    diff = F.abs(side / F.col("downsample") - target)
-    return met.groupBy(*keys).agg(F.min_by("level", F.struct(diff, F.col("level"))).alias("level"))
+    best = F.array_min(F.transform("_levels", lambda v: F.struct(F.abs(side / v["down"] - target).alias("d"), v["level"].alias("level"))))
+    return regions.join(few, slide).select(*[F.col(c) for c in regions.columns], best["level"].alias("level"))
 
 
 def hull(df: DataFrame, by: list[str]) -> DataFrame:

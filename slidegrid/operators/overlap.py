@@ -7,10 +7,11 @@ holds the larger of both low corners.
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.fixpoint import cut
 from .geometry import hull
@@ -28,7 +29,7 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], size: int) ->
     b = right.withColumn("bx", F.explode(F.sequence(F.floor(F.col("r_x1") / size), F.floor(F.col("r_x2") / size))))
     b = b.withColumn("by", F.explode(F.sequence(F.floor(F.col("r_y1") / size), F.floor(F.col("r_y2") / size))))
     met = a.join(b, [*keys, "bx", "by"])
-    met = met.filter("x1 < r_x2 AND r_x1 < x2 AND y1 < r_y2 AND r_y1 < y2")
+    met = met.filter("least(x2, r_x2) > greatest(x1, r_x1) AND least(y2, r_y2) > greatest(y1, r_y1)")
     once = (F.col("bx") == F.floor(F.greatest("x1", "r_x1") / size)) & (F.col("by") == F.floor(F.greatest("y1", "r_y1") / size))
     return met.filter(once).drop("bx", "by")
 
@@ -39,65 +40,83 @@ def overlap_pairs(boxes: DataFrame, min_ratio: float = 0.0, key: str = "slide",
     w = F.least("x2", "r_x2") - F.greatest("x1", "r_x1")
     h = F.least("y2", "r_y2") - F.greatest("y1", "r_y1")
     area = F.least((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), (F.col("r_x2") - F.col("r_x1")) * (F.col("r_y2") - F.col("r_y1")))
-    out = pairs.select(key, F.col(ident).alias("a"), F.col(f"r_{ident}").alias("b"), (w * h / area).alias("score"))
+    out = pairs.select(key, F.col(ident).alias("a"), F.col(f"r_{ident}").alias("b"), F.try_divide(w * h, area).alias("score"))
     return out.filter(F.col("score") >= min_ratio)
 
 
-def merge_boxes_any(boxes: DataFrame, key: str = "slide", ident: str = "idx", rounds: int = 50) -> DataFrame:
-    """Hulls of boxes that overlap directly or through others, until no two hulls overlap."""
-    now = cut(boxes.select(key, ident, "x1", "y1", "x2", "y2"))
+def _in_hulls(boxes: DataFrame, key: str, ident: str, rounds: int) -> DataFrame:
+    """(box columns, root): boxes that overlap directly or through the hulls of others share a root, the least row number among them.
+
+    Rows are numbered here, so that neither repeated idents nor boxes without
+    area are lost or mixed up.
+    """
+    box = cut(boxes.withColumn("root", F.monotonically_increasing_id()))
     for _ in range(rounds):
-        pairs = overlap_pairs(now, 0.0, key, ident)
-        if pairs.isEmpty():
-            return now
-        # each box goes to the least box that it meets, and on to the one which that goes to
-        root = pairs.groupBy(key, F.col("b").alias(ident)).agg(F.min("a").alias("root"))
-        jump = root.select(key, F.col(ident).alias("root"), F.col("root").alias("far"))
-        named = now.join(root.join(jump, [key, "root"], "left"), [key, ident], "left")
-        now = cut(hull(named.withColumn(ident, F.coalesce("far", "root", ident)), [key, ident]))
+        pairs = overlap_pairs(hull(box, [key, "root"]), 0.0, key, "root")
+        least = pairs.groupBy(key, F.col("b").alias("root")).agg(F.min("a").alias("to"))
+        if least.isEmpty():
+            return box
+        # a hull goes to the least hull that it meets, and on to the one which that goes to
+        further = least.select(key, F.col("root").alias("to"), F.col("to").alias("on"))
+        moved = least.join(further, [key, "to"], "left").select(key, "root", F.coalesce("on", "to").alias("to"))
+        box = cut(box.join(moved, [key, "root"], "left").withColumn("root", F.coalesce("to", "root")).drop("to").select(*boxes.columns, "root"))
     raise RuntimeError(f"boxes did not settle in {rounds} rounds")
 
 
-def hull_of_each(boxes: DataFrame, merged: DataFrame, key: str = "slide", ident: str = "idx") -> DataFrame:
-    """(box columns, root): the merged hull that holds each box."""
-    return range_join(boxes, merged.withColumnRenamed(ident, "root"), [key], 128).select(*boxes.columns, F.col("r_root").alias("root"))
+def merge_boxes_any(boxes: DataFrame, key: str = "slide", ident: str = "idx", rounds: int = 50) -> DataFrame:
+    """(key, ident, x1..y2): hulls of boxes that overlap directly or through others, until no two hulls overlap.
 
+    A hull has the least ident of its boxes.
+    """
+    return _in_hulls(boxes.select(key, ident, "x1", "y1", "x2", "y2"), key, ident, rounds).groupBy(key, "root").agg(
+        F.min(ident).alias(ident), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
+    ).drop("root")
 
-def _score(a: list, b: list) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    small = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
-    return w * h / small if small > 0 else 0.0
+
+def _share(box: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Overlap of a box with each of the others as a share of the smaller of both areas."""
+    side = np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2])
+    common = np.where((side > 0).all(axis=1), side.prod(axis=1), 0.0)
+    area = np.minimum((box[2:] - box[:2]).prod(), (others[:, 2:] - others[:, :2]).prod(axis=1))
+    return np.divide(common, area, out=np.zeros(len(others)), where=area > 0)
+
+
+def _absorb(seed: np.ndarray, later: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The seed's hull with the later boxes that it takes in, one after the other, and the boxes left over."""
+    left = []
+    while len(later):
+        share = _share(seed, later)
+        hit = int(((share > 0) & (share >= threshold)).argmax())
+        if not (share[hit] > 0 and share[hit] >= threshold):
+            break
+        seed = np.concatenate((np.minimum(seed[:2], later[hit, :2]), np.maximum(seed[2:], later[hit, 2:])))
+        left.append(later[:hit])  # what the smaller hull passed over stays out in this turn
+        later = later[hit + 1 :]
+    return seed, np.concatenate([*left, later])
 
 
 def merge_in_order(boxes: list[list], threshold: float) -> list[list]:
-    """Hulls grow as they meet later boxes; passes repeat until none meets another."""
+    """Hulls of boxes in their order: each takes in later boxes that it overlaps enough, until a turn changes nothing."""
+    now = np.asarray(boxes, dtype=np.float64).reshape(-1, 4)
     while True:
-        out, used = [], set()
-        for i, box in enumerate(boxes):
-            if i in used:
-                continue
-            grown = list(box)
-            for j in range(i + 1, len(boxes)):
-                s = 0.0 if j in used else _score(grown, boxes[j])
-                if s > 0 and s >= threshold:
-                    used.add(j)
-                    b = boxes[j]
-                    grown = [min(grown[0], b[0]), min(grown[1], b[1]), max(grown[2], b[2]), max(grown[3], b[3])]
-            out.append(grown)
-        if len(out) == len(boxes):
-            return out
-        boxes = out
-
-
-def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", order: tuple[str, ...] = ("rot", "idx"), ident: str = "idx") -> DataFrame:
+        hulls, rest = [], now
+        while len(rest):
+            grown, rest = _absorb(rest[0], rest[1:], threshold)
+            hulls.append(grown)
+        if len(hulls) == len(now):
+            return now.tolist()
+        now = np.stack(hulls)
+
+
+def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", order: tuple[str, ...] = ("rot", "idx"), ident: str = "idx", rounds: int = 50) -> DataFrame:
     """Hulls by the threshold rule, in pinned order.
 
     The rule never joins boxes of different any-overlap hulls, so each such
-    hull is merged on its own.
+    hull is merged on its own, in one task: it is bound to the order of its
+    boxes.
     """
-    parts = hull_of_each(boxes, merge_boxes_any(boxes, key, ident), key, ident)
+    parts = _in_hulls(boxes, key, ident, rounds)
+    kind = {f.name: f.dataType for f in boxes.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
@@ -106,9 +125,8 @@ def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", or
         out.insert(0, key, pdf[key].iloc[0])
         return out
 
-    kind = {f.name: f.dataType.simpleString() for f in boxes.schema}
-    schema = ", ".join(f"{c} {kind[c]}" for c in (key, "x1", "y1", "x2", "y2"))
-    return parts.groupBy(key, "root").applyInPandas(run, schema)
+    out = parts.groupBy(key, "root").applyInPandas(run, StructType([StructField(key, kind[key]), *[StructField(c, DoubleType()) for c in ("x1", "y1", "x2", "y2")]]))
+    return out.select(key, *[F.col(c).cast(kind[c]).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def crop_pixels(pixels: DataFrame, boxes: DataFrame, key: str = "img", ident: str = "box", size: int = 64) -> DataFrame:
@@ -128,10 +146,13 @@ def foreground_ratio(patches: DataFrame, mask: DataFrame, scale: float, keys: li
     low = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), (F.col(c) * scale).cast("long")))
     high = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), F.ceil(F.col(c) * scale)))
     p = patches.withColumns({"_r1": low("py1", rows), "_r2": high("py2", rows), "_c1": low("px1", cols), "_c2": high("px2", cols)})
+    area = ["_r1", "_r2", "_c1", "_c2"]
     cells = (F.col("_r2") - F.col("_r1")) * (F.col("_c2") - F.col("_c1"))
-    covered = p.filter("_r2 > _r1 AND _c2 > _c1").withColumn("r", F.explode(F.expr("sequence(_r1, _r2 - 1)"))).withColumn("c", F.explode(F.expr("sequence(_c1, _c2 - 1)")))
-    hit = covered.join(mask.select(*keys, "r", "c"), [*keys, "r", "c"], "left_semi").groupBy(*keys, "patch_id").agg(F.count("*").alias("_hit"))
-    out = p.join(hit, [*keys, "patch_id"], "left")
+    # equal areas are looked up once, whatever the patches are called
+    covered = p.filter("_r2 > _r1 AND _c2 > _c1").select(*keys, *area).distinct()
+    covered = covered.withColumn("r", F.explode(F.expr("sequence(_r1, _r2 - 1)"))).withColumn("c", F.explode(F.expr("sequence(_c1, _c2 - 1)")))
+    hit = covered.join(mask.select(*keys, "r", "c"), [*keys, "r", "c"], "left_semi").groupBy(*keys, *area).agg(F.count("*").alias("_hit"))
+    out = p.join(hit, [*keys, *area], "left")
     ratio = F.when((F.col("_r2") > F.col("_r1")) & (F.col("_c2") > F.col("_c1")), F.coalesce("_hit", F.lit(0)) / cells).otherwise(F.lit(0.0))
     return out.select(*patches.columns, ratio.alias("fg_ratio"))
 

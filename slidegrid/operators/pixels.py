@@ -81,7 +81,7 @@ def laplace(pixels: DataFrame, key: str, width: int, height: int, value: str = "
     return want.join(src, [key, "_x", "_y"]).groupBy(key, "x", "y").agg(F.sum(F.col("o.k") * F.col("_v")).alias(value))
 
 
-def blur_scores(pixels: DataFrame, key: str, width: int, height: int, sigma: float = 1.0, pixel_t: float = 0.1, patch_t: float = 0.5) -> DataFrame:
+def blur_scores(pixels: DataFrame, key: str, width: int, height: int, sigma: float = 2.0, pixel_t: float = 0.05, patch_t: float = 0.5) -> DataFrame:
     """Share of pixels with little smoothed edge strength, its mean, and whether the patch passes."""
     edge = laplace(pixels, key, width, height).withColumn("gray", F.abs("gray"))
     soft = gaussian_blur(edge, key, sigma, width, height)

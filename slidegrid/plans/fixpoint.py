@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``; sets a folder of its own only where none is set."""
+    """A reliable checkpoint of ``df``; sets a folder of its own only in local mode where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slidegrid-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="slidegrid-"))
     out = df.checkpoint(eager=True)
     gc.collect()
     return out

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Boxes, normalised 0-1000; about 30 to a slide.
+#: Boxes, normalised 0-1000; about 30 to a slide. Rows that share order and line are numbered, so that idx is a key.
 BOXES = """
 SELECT slide, rot, idx, x1, y1, x1 + 10 + (q * 7) % 50 AS x2, y1 + 10 + q AS y2
 FROM (SELECT CAST(floor(l_orderkey / 32.0) AS BIGINT) AS slide, 90 * (l_linenumber % 4) AS rot,
-        CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS idx,
+        CAST((l_orderkey * 8 + l_linenumber) * 64 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity) AS BIGINT) AS idx,
         (l_partkey * 37 + l_orderkey * 11) % 900 AS y1, (l_partkey * 53 + l_orderkey * 7) % 900 AS x1,
         CAST(l_quantity AS BIGINT) AS q FROM lineitem) t
 """

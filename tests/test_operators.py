@@ -142,3 +142,35 @@ def test_streams(spark, tmp_path):
         rows.write.mode("append").parquet(p)
         stream_patch_results(spark, p, rows.schema, str(tmp_path / "o"), str(tmp_path / "k"), ["patch"], "ts").awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 5
+
+
+def test_hulls_with_repeated_idents(spark):
+    rng = random.Random(4)
+    rows = [(i % 3, 0, i % 7, x, y, x + rng.randrange(0, 60), y + rng.randrange(0, 60)) for i in range(150) for x, y in [(rng.randrange(900), rng.randrange(900))]]
+    want = []
+    for slide in range(3):
+        left = [(i, *b) for s, _, i, *b in rows if s == slide]
+        while True:  # any two hulls that overlap become one
+            pair = next(((p, q) for k, p in enumerate(left) for q in left[k + 1 :] if min(p[3], q[3]) > max(p[1], q[1]) and min(p[4], q[4]) > max(p[2], q[2])), None)
+            if pair is None:
+                break
+            p, q = pair
+            left.remove(p)
+            left.remove(q)
+            left.append((min(p[0], q[0]), min(p[1], q[1]), min(p[2], q[2]), max(p[3], q[3]), max(p[4], q[4])))
+        want += [(slide, *x) for x in left]
+    df = spark.createDataFrame(rows, "slide long, rot int, idx long, x1 long, y1 long, x2 long, y2 long")
+    got = [(r.slide, r.idx, r.x1, r.y1, r.x2, r.y2) for r in overlap.merge_boxes_any(df).collect()]
+    assert sorted(got) == sorted(want)
+    # boxes without area stay where they are, and no box is lost or counted twice
+    merged = overlap.merge_boxes(df, 1.1)
+    assert merged.count() == len(rows) and merged.schema["x1"].dataType == df.schema["x1"].dataType
+
+
+def test_equal_regions_and_patches_stay(spark):
+    regions = spark.createDataFrame([(1, 0, 0, 100, 100)] * 3, "slide long, x1 long, y1 long, x2 long, y2 long")
+    levels = spark.createDataFrame([(1, 0, 1.0), (1, 1, 4.0)], "slide long, level int, downsample double")
+    assert [r.level for r in geometry.best_level(regions, levels, 25).collect()] == [1, 1, 1]
+    patches = spark.createDataFrame([(1, "p", 0, 0, 2, 2), (1, "p", 0, 0, 2, 2), (1, "p", 2, 2, 4, 4)], "slide long, patch_id string, px1 long, py1 long, px2 long, py2 long")
+    cells = spark.createDataFrame([(1, 0, 0), (1, 3, 3), (1, 3, 2)], "slide long, r int, c int")
+    assert sorted(r.fg_ratio for r in overlap.foreground_ratio(patches, cells, 1.0, ["slide"], 4, 4).collect()) == [0.25, 0.25, 0.5]
