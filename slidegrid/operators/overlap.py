@@ -44,33 +44,44 @@ def overlap_pairs(boxes: DataFrame, min_ratio: float = 0.0, key: str = "slide",
     return out.filter(F.col("score") >= min_ratio)
 
 
-def _in_hulls(boxes: DataFrame, key: str, ident: str, rounds: int) -> DataFrame:
-    """(box columns, root): boxes that overlap directly or through the hulls of others share a root, the least row number among them.
+def _moves(hulls: DataFrame, key: str, ident: str) -> DataFrame:
+    """(key, ident, to): where hulls that meet smaller ones go, the least of them or the one which that goes to."""
+    least = overlap_pairs(hulls, 0.0, key, ident).groupBy(key, F.col("b").alias(ident)).agg(F.min("a").alias("to"))
+    least = cut(least)
+    further = least.select(key, F.col(ident).alias("to"), F.col("to").alias("on"))
+    return least.join(further, [key, "to"], "left").select(key, ident, F.coalesce("on", "to").alias("to"))
+
+
+def _in_hulls(boxes: DataFrame, key: str, rounds: int) -> DataFrame:
+    """(box columns, root): boxes that overlap directly or through the hulls of others share a root.
 
     Rows are numbered here, so that neither repeated idents nor boxes without
     area are lost or mixed up.
     """
     box = cut(boxes.withColumn("root", F.monotonically_increasing_id()))
     for _ in range(rounds):
-        pairs = overlap_pairs(hull(box, [key, "root"]), 0.0, key, "root")
-        least = pairs.groupBy(key, F.col("b").alias("root")).agg(F.min("a").alias("to"))
-        if least.isEmpty():
+        moves = _moves(cut(hull(box, [key, "root"])), key, "root")
+        if moves.isEmpty():
             return box
-        # a hull goes to the least hull that it meets, and on to the one which that goes to
-        further = least.select(key, F.col("root").alias("to"), F.col("to").alias("on"))
-        moved = least.join(further, [key, "to"], "left").select(key, "root", F.coalesce("on", "to").alias("to"))
-        box = cut(box.join(moved, [key, "root"], "left").withColumn("root", F.coalesce("to", "root")).drop("to").select(*boxes.columns, "root"))
+        box = cut(box.join(moves, [key, "root"], "left").withColumn("root", F.coalesce("to", "root")).select(*boxes.columns, "root"))
     raise RuntimeError(f"boxes did not settle in {rounds} rounds")
 
 
 def merge_boxes_any(boxes: DataFrame, key: str = "slide", ident: str = "idx", rounds: int = 50) -> DataFrame:
     """(key, ident, x1..y2): hulls of boxes that overlap directly or through others, until no two hulls overlap.
 
-    A hull has the least ident of its boxes.
+    A hull has the least ident of its boxes; rows are numbered here, so that
+    idents may repeat.
     """
-    return _in_hulls(boxes.select(key, ident, "x1", "y1", "x2", "y2"), key, ident, rounds).groupBy(key, "root").agg(
-        F.min(ident).alias(ident), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
-    ).drop("root")
+    sides = ["x1", "y1", "x2", "y2"]
+    now = cut(boxes.select(key, F.col(ident).alias("_least"), *sides, F.monotonically_increasing_id().alias("_n")))
+    for _ in range(rounds):
+        moves = _moves(now, key, "_n")
+        if moves.isEmpty():
+            return now.select(key, F.col("_least").alias(ident), *sides)
+        named = now.join(moves, [key, "_n"], "left").withColumn("_n", F.coalesce("to", "_n"))
+        now = cut(named.groupBy(key, "_n").agg(F.min("_least").alias("_least"), *[(F.min if c[1] == "1" else F.max)(c).alias(c) for c in sides]))
+    raise RuntimeError(f"boxes did not settle in {rounds} rounds")
 
 
 def _share(box: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -108,14 +119,14 @@ def merge_in_order(boxes: list[list], threshold: float) -> list[list]:
         now = np.stack(hulls)
 
 
-def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", order: tuple[str, ...] = ("rot", "idx"), ident: str = "idx", rounds: int = 50) -> DataFrame:
+def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", order: tuple[str, ...] = ("rot", "idx"), rounds: int = 50) -> DataFrame:
     """Hulls by the threshold rule, in pinned order.
 
     The rule never joins boxes of different any-overlap hulls, so each such
     hull is merged on its own, in one task: it is bound to the order of its
     boxes.
     """
-    parts = _in_hulls(boxes, key, ident, rounds)
+    parts = _in_hulls(boxes, key, rounds)
     kind = {f.name: f.dataType for f in boxes.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
