@@ -5,29 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Other names of the classes and qualities.
-CLASS_ALIASES = {"fg": "tissue", "foreground": "tissue", "bg": "background", "glass": "background"}
-QUALITY_ALIASES = {"sharp": "sharp", "in_focus": "sharp", "blurry": "blurry", "blurred": "blurry", "out_of_focus": "blurry", "na": "NA", "n_a": "NA"}
+#: Other names of the classes, and the names of the qualities.
+CLASS_ALIASES = {
+    "foreground": "tissue",
+    "fg": "tissue",
+    "bg": "background",
+    "paraffin": "paraffin_mounting_medium",
+    "paraffin_mounting": "paraffin_mounting_medium",
+    "paraffin_mounting_medium": "paraffin_mounting_medium",
+    "pen": "pen_ink_marks",
+    "pen_ink": "pen_ink_marks",
+    "pen_ink_mark": "pen_ink_marks",
+    "pen_ink_marks": "pen_ink_marks",
+}
+QUALITY_NAMES = {
+    "sharp": "Sharp",
+    "somewhat_blurred": "Somewhat Blurred",
+    "blurred": "Somewhat Blurred",
+    "slightly_blurred": "Somewhat Blurred",
+    "out_of_focus": "Out of Focus",
+    "completely_out_of_focus": "Out of Focus",
+    "oof": "Out of Focus",
+    "na": "NA",
+}
 RATE_HINTS = ("429", "rate limit", "ratelimit", "too many requests", "quota", "resource exhausted")
 
 
-def _lookup(aliases: dict[str, str], c: Column) -> Column:
+def _lookup(aliases: dict[str, str], c: Column, other: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, c), c)
+    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(table, c), other))
 
 
 def slug(c: Column) -> Column:
-    """Lower case, separators as one underscore, other symbols gone."""
+    """Lower case, separators as one underscore, other symbols and underscores at the ends gone."""
     s = F.regexp_replace(F.lower(F.trim(c)), r"[\s\-/]+", "_")
-    return F.regexp_replace(F.regexp_replace(s, "[^a-z0-9_]", ""), "_+", "_")
+    return F.btrim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9_]", ""), "_+", "_"), F.lit("_"))
 
 
 def canonical_label(c: Column, aliases: dict[str, str] = CLASS_ALIASES) -> Column:
-    return _lookup(aliases, slug(c))
+    s = slug(c)
+    return _lookup(aliases, s, s)
 
 
 def canonical_quality(c: Column) -> Column:
-    return _lookup(QUALITY_ALIASES, slug(c))
+    """The name of a quality; blank where it is unknown, null of null."""
+    return _lookup(QUALITY_NAMES, slug(c), F.lit(""))
 
 
 def safe_name(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labels import slug
+from .labels import CLASS_ALIASES, canonical_label, canonical_quality
 
 _FENCE = r"(?s)(?:\A|\n)```[^\n]*\n(.*?)(?:\n?```|\z)"
 
@@ -49,23 +49,58 @@ def parse_relaxed_json(df: DataFrame, col: str = "text", out: str = "parsed") ->
     return fast.unionByName(rest.mapInPandas(scan, marked.schema))
 
 
-def _any_key(js: Column, *names: str) -> Column:
-    return F.coalesce(*[F.get_json_object(js, f"$.{n}") for n in names])
+_SPACE = " \t\n\r\f\x0b"
+
+
+def _said(text: Column, name: str) -> Column:
+    """What follows ``name:`` on its line, up to a comma, bar or semicolon."""
+    return F.regexp_extract(text, rf"(?i){name}\s*:\s*([^\n\r|,;]*)", 1)
+
+
+def _first(values: Column) -> Column:
+    """The first value that is neither null nor blank."""
+    return F.get(F.filter(values, lambda v: v != ""), F.lit(0))
 
 
 def parse_class_response(df: DataFrame, allowed: list[str], col: str = "text") -> DataFrame:
-    """label, quality and error of a reply: JSON, ``class:`` text, then the longest allowed name in it."""
-    js = strip_fence(F.col(col))
-    is_json = F.coalesce(F.try_parse_json(js).isNotNull() & js.startswith("{"), F.lit(False))
-    by_key = F.when(is_json, _any_key(js, "class", "label", "label_class", "class_name"))
-    by_text = F.nullif(F.regexp_extract(F.col(col), r"(?i)class\s*[:=]\s*([A-Za-z0-9_ -]+)", 1), F.lit(""))
-    names = sorted(allowed, key=lambda a: (-len(a), a))
-    by_name = F.coalesce(*[F.when(F.lower(col).contains(a.lower()), F.lit(a)) for a in names])
-    label = slug(F.coalesce(by_key, F.when(~is_json, F.coalesce(by_text, by_name))))
-    known = F.when(label.isin(*allowed), label)
-    quality = F.coalesce(F.when(is_json, _any_key(js, "quality")), F.nullif(F.regexp_extract(F.col(col), r"(?i)quality\s*[:=]\s*([A-Za-z0-9_ -]+)", 1), F.lit("")))
-    error = F.when(is_json & by_key.isNull(), "json_without_class")
-    return df.withColumns({"label": F.coalesce(known, F.lit("unknown")), "quality": slug(quality), "error": error})
+    """label, quality and error of a reply.
+
+    Of a JSON object, the first key that names a class or a quality counts,
+    then the first value that is one; an object without a class gives the
+    error ``json_without_class``. Of other text, ``class: ...`` counts, then
+    the longest allowed name in it, then "true" for tissue and "false" for
+    background. Labels that are not allowed are ``unknown``; the quality of
+    anything but tissue is ``NA``. Null and empty replies are unknown.
+    """
+    names = sorted(allowed, key=len, reverse=True)
+    known = F.array(*[canonical_label(F.lit(a)) for a in allowed]) if allowed else F.array(*map(F.lit, sorted(set(CLASS_ALIASES.values()))))
+    body = F.btrim(F.replace(F.replace(F.coalesce(F.col(col), F.lit("")), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")), F.lit(_SPACE))
+    out = df.withColumn("_body", body).withColumn("_low", F.lower("_body"))
+    is_json = F.coalesce(F.try_parse_json("_body").isNotNull() & F.col("_body").startswith("{"), F.lit(False))
+    entries = F.map_entries(F.when(is_json, F.from_json("_body", "map<string,string>")))
+    value = lambda e: F.coalesce(e.value, F.lit("None"))
+    read = F.transform(entries, lambda e, i: F.struct(i.alias("i"), F.lower(e.key).alias("key"), canonical_label(value(e)).alias("cls"), canonical_quality(value(e)).alias("quality")))
+    out = out.withColumns({"_json": is_json, "_e": read})
+    of_class = F.filter("_e", lambda e: e.key.contains("class") & (e.cls != ""))
+    out = out.withColumn("_at", F.get(of_class, F.lit(0)))
+    names_quality = lambda e: e.key.contains("quality") & (~e.key.contains("class") | F.coalesce(e.i > F.col("_at.i"), F.lit(False)))
+    by_key = F.col("_at.cls")
+    by_value = _first(F.transform("_e", lambda e: F.when(F.array_contains(known, e.cls), e.cls)))
+    in_json = F.coalesce(by_key, by_value)
+    quality = F.coalesce(_first(F.transform(F.filter("_e", names_quality), lambda e: e.quality)), _first(F.transform("_e", lambda e: e.quality)))
+    out = out.withColumns({"_cls": in_json, "_quality": quality})
+    spaced = F.replace(F.col("_low"), F.lit("_"), F.lit(" "))
+    by_name = [F.when(F.col("_low").contains(a.lower()) | spaced.contains(a.lower().replace("_", " ")), canonical_label(F.lit(a))) for a in names]
+    by_word = [F.when(F.col("_low").contains(w), F.lit(c)) for w, c in (("true", "tissue"), ("false", "background")) if c in allowed]
+    blank = F.lit("")
+    in_text = F.coalesce(F.nullif(canonical_label(_said(F.col("_body"), "class")), blank), *by_name, *by_word, F.lit("unknown"))
+    label = F.when(F.col("_json"), F.coalesce("_cls", F.lit("unknown"))).otherwise(F.when(F.col("_body") == "", F.lit("unknown")).otherwise(in_text))
+    if allowed:
+        label = F.when(F.array_contains(known, label), label).otherwise("unknown")
+    quality = F.coalesce("_quality", F.nullif(canonical_quality(_said(F.col("_body"), "quality")), blank), F.nullif(canonical_quality(F.col("_low")), blank), F.lit("NA"))
+    out = out.withColumns({"label": label, "error": F.when(F.col("_json") & F.col("_cls").isNull(), "json_without_class")})
+    out = out.withColumn("quality", F.when(F.col("label") == "tissue", quality).otherwise("NA"))
+    return out.drop("_body", "_low", "_json", "_e", "_at", "_cls", "_quality")
 
 
 _PREDICTIONS = "struct<predictions:array<struct<id:string,class:string,quality:string>>>"

@@ -5,18 +5,23 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own only in local mode where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return base or tempfile.mkdtemp(prefix="slidegrid-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``; sets a folder of its own only in local mode where none is set."""
+    """A reliable checkpoint of ``df``."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="slidegrid-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     gc.collect()
     return out

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import geometry, masks, pipeline, pixels, replies, reviews, selection, votes
+from . import files, geometry, masks, pipeline, pixels, replies, reviews, selection, votes
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _m in (geometry, masks, pipeline, pixels, replies, reviews, selection, votes):
+for _m in (files, geometry, masks, pipeline, pixels, replies, reviews, selection, votes):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)

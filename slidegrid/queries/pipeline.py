@@ -21,12 +21,5 @@ def _j3(spark, d):
     return stream_throughput(e).select(F.unix_timestamp("start").alias("start"), "n")
 
 
-def _j1(spark, d):
-    r = X.reviews(spark, d)
-    ok = F.trim("text") != ""
-    return r.groupBy("model").agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.count("error").alias("rate_limited"))
-
-
-QUERIES |= {"l3_slide_quality": _l3, "j3_throughput": _j3, "j1_review_summary": _j1}
+QUERIES |= {"l3_slide_quality": _l3, "j3_throughput": _j3}
 ORACLE["j3_throughput"] = "SELECT CAST(floor(epoch(ts) / 600.0) * 600 AS BIGINT) AS start, count(*) AS n FROM events GROUP BY 1"
-ORACLE["j1_review_summary"] = f"SELECT model, count(*) AS total, count(*) FILTER (trim(text) <> '') AS success, count(*) FILTER (trim(text) = '') AS failed, count(error) AS rate_limited FROM ({X.REVIEWS}) GROUP BY 1"

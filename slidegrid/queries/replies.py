@@ -25,9 +25,16 @@ def _add(name: str, sql: str | None = None):
     return put
 
 
-@_add("b13_canonical_label", f"SELECT p_partkey, {_SLUG('p_type')} AS label, CASE {_SLUG('p_brand')} WHEN 'x' THEN 'y' ELSE {_SLUG('p_brand')} END AS quality FROM part")
+_NAMES = {"Foreground": "tissue", " FG ": "tissue", "bg": "background", "Paraffin-Mounting": "paraffin_mounting_medium", "_pen / ink_": "pen_ink_marks", "Pen Ink Mark!": "pen_ink_marks", "Fold__": "fold"}
+_GRADES = {"Sharp": "Sharp", "somewhat blurred": "Somewhat Blurred", "Slightly-Blurred": "Somewhat Blurred", "BLURRED": "Somewhat Blurred", "out of  focus": "Out of Focus", "OOF": "Out of Focus", "na": "NA", "N/A": "", "dull": ""}
+_pick = lambda words, by: f"CASE {by} % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+
+
+@_add("b13_canonical_label", f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN trim({_SLUG('p_type')}, '_') ELSE {_pick(list(_NAMES.values()), 'p_partkey')} END AS label, {_pick(list(_GRADES.values()), 'p_partkey')} AS quality FROM part")
 def _(spark, d):
-    return X.table(spark, d, "part").select("p_partkey", L.canonical_label(F.col("p_type")).alias("label"), L.canonical_quality(F.col("p_brand")).alias("quality"))
+    label = F.expr(f"CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE {_pick(list(_NAMES), 'p_partkey')} END")
+    quality = F.expr(_pick(list(_GRADES), "p_partkey"))
+    return X.table(spark, d, "part").select("p_partkey", L.canonical_label(label).alias("label"), L.canonical_quality(quality).alias("quality"))
 
 
 @_add("b14_label_map", "WITH k AS (SELECT DISTINCT user_id, CASE event_type WHEN 'view' THEN 'background' WHEN 'click' THEN 'tissue' ELSE event_type END AS cls FROM events) SELECT user_id, cls, concat('CLASS_', row_number() OVER (PARTITION BY user_id ORDER BY CASE cls WHEN 'background' THEN 0 WHEN 'tissue' THEN 1 ELSE 2 END, cls) - 1) AS display FROM k")
@@ -56,12 +63,33 @@ def _(spark, d):
     return P.parse_relaxed_json(X.replies(spark, d)).select("event_id", "parsed")
 
 
-_ALLOW = ["click", "view", "purchase", "signup", "error"]
-
-
-@_add("i3_parse_class_response", _Q + f"SELECT event_id, CASE WHEN event_id % 6 < 4 AND event_type IN {tuple(_ALLOW)!r} THEN event_type ELSE 'unknown' END AS label, CASE event_id % 6 WHEN 0 THEN 'sharp' WHEN 2 THEN 'out_of_focus' END AS quality FROM q")
-def _(spark, d):
-    return P.parse_class_response(X.replies(spark, d), _ALLOW).select("event_id", "label", "quality")
+_ALLOW = ["tissue", "background", "pen_ink_marks"]
+#: Replies of every shape, with the class and quality that each must give; @ is the class it speaks of.
+_SHAPES = (
+    ('{"class":"@","quality":"Sharp"}', "@", "Sharp"),
+    ('```json~{"label_class":" @ ","Image Quality":"oof"}~```', "@", "Out of Focus"),
+    ("Class: @ | Quality: Out of focus", "@", "Out of Focus"),
+    ("I think this is @ here", "@", "NA"),
+    ("", "unknown", "NA"),
+    ('{"predictions": [', "unknown", "NA"),
+    ('{"answer":"@","note":"slightly blurred"}', "@", "Somewhat Blurred"),
+    ("The answer is TRUE", "tissue", "NA"),
+    ("false, none of it", "background", "NA"),
+    ("CLASS : @, surely; quality: sharp", "@", "Sharp"),
+    ('["@"]', "@", "NA"),
+    ('{"quality":"sharp","confidence":0.9}', "unknown", "NA"),
+    ('{"class":null,"quality":"sharp"}', "unknown", "NA"),
+)
+_CLS = "CASE event_type WHEN 'click' THEN 'tissue' WHEN 'view' THEN 'background' WHEN 'purchase' THEN 'pen_ink_marks' ELSE event_type END"
+_SHAPED_COLUMNS = ("event_id", f"{_CLS} AS cls", f"replace(replace({_pick([t for t, _, _ in _SHAPES], 'event_id')}, '@', {_CLS}), '~', chr(10)) AS text")
+_SHAPED = f"SELECT {', '.join(_SHAPED_COLUMNS)} FROM events"
+_I3 = f"SELECT event_id, cls, replace({_pick([c for _, c, _ in _SHAPES], 'event_id')}, '@', CASE WHEN cls IN {tuple(_ALLOW)!r} THEN cls ELSE 'unknown' END) AS label, {_pick([q for _, _, q in _SHAPES], 'event_id')} AS q FROM ({_SHAPED})"
+
+
+@_add("i3_parse_class_response", f"SELECT event_id, label, CASE WHEN label = 'tissue' THEN q ELSE 'NA' END AS quality, CASE WHEN event_id % {len(_SHAPES)} = 11 OR event_id % {len(_SHAPES)} = 6 AND label = 'unknown' THEN 'json_without_class' END AS error FROM ({_I3})")
+def _(spark, d):
+    shaped = X.table(spark, d, "events").selectExpr(*_SHAPED_COLUMNS)
+    return P.parse_class_response(shaped, _ALLOW).select("event_id", "label", "quality", "error")
 
 
 _IDS = "SELECT o_orderkey, concat('p', o_custkey % 5) AS a, concat('p', o_custkey % 3) AS b FROM orders"

@@ -55,8 +55,9 @@ def read_annotations(spark: SparkSession, path: str, group: str, include_non_rec
     df = spark.read.format("xml").option("rowTag", "Annotation").schema(_ANNOTATION).load(path).filter(F.col("_PartOfGroup") == group)
     if not include_non_rect:
         df = df.filter(F.lower("_Type") == "rectangle")
-    xy = lambda c: F.filter(F.transform("Coordinates.Coordinate", lambda p: p[c].try_cast("double")), lambda v: v.isNotNull())
-    df = df.select(F.col("_Name").alias("name"), F.col("_Type").alias("type"), xy("_X").alias("x"), xy("_Y").alias("y")).filter("size(x) >= 2 AND size(y) >= 2")
+    points = F.transform("Coordinates.Coordinate", lambda p: F.struct(p["_X"].try_cast("double").alias("x"), p["_Y"].try_cast("double").alias("y")))
+    df = df.select(F.col("_Name").alias("name"), F.col("_Type").alias("type"), F.filter(points, lambda p: p.x.isNotNull() & p.y.isNotNull()).alias("_p"))
+    df = df.filter("size(_p) >= 2").select("name", "type", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
     return df.select("name", "type", F.array_min("x").alias("x1"), F.array_min("y").alias("y1"), F.array_max("x").alias("x2"), F.array_max("y").alias("y2"), F.size("x").alias("n_points"))
 
 
@@ -133,7 +134,8 @@ def write_review_results(df: DataFrame, path: str) -> None:
 
 
 def write_cells(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("slide").parquet(path)
+    """Cells by slide; rows of a slide are gathered first, and a large slide is split, so files stay few."""
+    df.hint("rebalance", "slide").write.partitionBy("slide").parquet(path)
 
 
 def artifact_catalog(spark: SparkSession, root: str) -> DataFrame:
