@@ -47,13 +47,15 @@ def _(spark, d):
 @_add("a3_read_annotations", f"SELECT idx, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, 2 AS n_points FROM ({X.BOXES}) WHERE slide % 5 > 0 AND x1 % 3 > 0 AND y1 % 7 > 0")
 def _(spark, d):
     path = folder(spark)
-    point = lambda x, y: F.concat(F.lit('<Coordinate X="'), x, F.lit('" Y="'), y, F.lit('"/>'))
-    odd = F.when(F.col("idx") % 2 == 0, point(F.lit("far"), F.lit("-5"))).otherwise("")
-    second = F.when(F.col("y1") % 7 > 0, point(F.col("x2"), F.col("y2"))).otherwise("")
+    point = lambda x, y: F.array(F.struct(x.cast("string").alias("_X"), y.cast("string").alias("_Y")))
+    none = F.array().cast("array<struct<_X:string,_Y:string>>")
+    odd = F.when(F.col("idx") % 2 == 0, point(F.lit("far"), F.lit("-5"))).otherwise(none)
+    second = F.when(F.col("y1") % 7 > 0, point(F.col("x2"), F.col("y2"))).otherwise(none)
     kind = F.when(F.col("x1") % 3 > 0, "Rectangle").otherwise("Polygon")
     group = F.when(F.col("slide") % 5 > 0, "tissue").otherwise("other")
-    text = F.concat(F.lit('<Annotation Name="'), "idx", F.lit('" Type="'), kind, F.lit('" PartOfGroup="'), group, F.lit('"><Coordinates>'), point(F.col("x1"), F.col("y1")), odd, second, F.lit("</Coordinates></Annotation>"))
-    X.boxes(spark, d).select(text.alias("value")).write.text(path)
+    points = F.struct(F.concat(point(F.col("x1"), F.col("y1")), odd, second).alias("Coordinate"))
+    rows = X.boxes(spark, d).select(F.col("idx").alias("_Name"), kind.alias("_Type"), group.alias("_PartOfGroup"), points.alias("Coordinates"))
+    rows.write.format("xml").option("rowTag", "Annotation").option("rootTag", "Annotations").save(path)
     out = S.read_annotations(spark, path, "tissue")
     return out.select(F.col("name").cast("long").alias("idx"), "x1", "y1", "x2", "y2", "n_points")
 
