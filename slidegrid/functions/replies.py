@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -191,13 +192,14 @@ def build_prompts(items: DataFrame, examples: DataFrame, template: str, keys: li
 
 
 def score(df: DataFrame, scorer: Callable[[dict], str], out_type: str = "string", max_retries: int = 2) -> DataFrame:
-    """A Python scorer on every row: reply, attempts and error; a failure never ends the job."""
+    """A Python scorer on every row: reply, attempts, error and seconds over all attempts; a failure never ends the job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            replies, attempts, errors = [], [], []
+            replies, attempts, errors, seconds = [], [], [], []
             for row in b.to_dict("records"):
                 reply = error = None
+                began = time.monotonic()
                 for n in range(1, max_retries + 2):
                     try:
                         reply, error = scorer(row), None
@@ -207,9 +209,10 @@ def score(df: DataFrame, scorer: Callable[[dict], str], out_type: str = "string"
                 replies.append(reply)
                 attempts.append(n)
                 errors.append(error)
-            yield b.assign(reply=replies, attempts=attempts, score_error=errors)
+                seconds.append(time.monotonic() - began)
+            yield b.assign(reply=replies, attempts=attempts, score_error=errors, score_seconds=seconds)
 
-    schema = T.StructType([*df.schema.fields, T.StructField("reply", T._parse_datatype_string(out_type)), T.StructField("attempts", T.IntegerType()), T.StructField("score_error", T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("reply", T._parse_datatype_string(out_type)), T.StructField("attempts", T.IntegerType()), T.StructField("score_error", T.StringType()), T.StructField("score_seconds", T.DoubleType())])
     return df.mapInPandas(run, schema)
 
 
@@ -217,7 +220,7 @@ def repair(df: DataFrame, parsed: str, scorer: Callable[[dict], str], parse: Cal
     """Rows whose parse failed are scored and parsed again; the rest stays."""
     good, bad = df.filter(F.col(parsed).isNotNull()), df.filter(F.col(parsed).isNull())
     again = score(bad.drop(parsed), scorer)
-    again = parse(again.withColumn("text", F.col("reply")).drop("reply", "attempts", "score_error"))
+    again = parse(again.withColumn("text", F.col("reply")).drop("reply", "attempts", "score_error", "score_seconds"))
     return good.withColumn("repaired", F.lit(False)).unionByName(again.select(*df.columns).withColumn("repaired", F.lit(True)))
 
 

@@ -78,7 +78,7 @@ def sample_per_class(df: DataFrame, k: int, seed: int, keys: list[str], ident: s
 def cap_cases(df: DataFrame, max_cases: int, case: str, item: str, per_case: int) -> DataFrame:
     """Rows of the first cases by name, and the first items of each."""
     first = df.select(case).distinct().orderBy(case).limit(max_cases)
-    return cap_per_class(df.join(F.broadcast(first), case, "left_semi"), per_case, [case], [item])
+    return cap_per_class(df.join(first, case, "left_semi"), per_case, [case], [item])
 
 
 def order_group(df: DataFrame, keys: list[str], rank: str, ident: str) -> DataFrame:
@@ -89,7 +89,7 @@ def order_group(df: DataFrame, keys: list[str], rank: str, ident: str) -> DataFr
 
 def present_classes(df: DataFrame, classes: DataFrame, keys: list[str], cls: str) -> DataFrame:
     """Classes present in each group in canonical order (``ordinal``), as a comma list."""
-    seen = df.select(*keys, cls).distinct().join(F.broadcast(classes), cls)
+    seen = df.select(*keys, cls).distinct().join(classes, cls)
     names = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", cls))), lambda s: s[cls])
     return seen.groupBy(*keys).agg(F.array_join(names, ",").alias("classes"))
 
@@ -136,19 +136,24 @@ def resume_plan(cases: DataFrame, runs: DataFrame, case: str, run: str) -> DataF
     return cases.join(latest, case, "left").select(case, run, plan.alias("plan"))
 
 
-def status_rollup(events: DataFrame, keys: list[str], stages: list[str], stage: str = "stage") -> DataFrame:
-    """Done flags of each stage and the first failed stage."""
+def status_rollup(events: DataFrame, keys: list[str], stages: list[str], stage: str = "stage", error: str | None = None) -> DataFrame:
+    """Done flags of each stage, the first failed stage and, of its failures, the least error text."""
     done = [F.coalesce(F.bool_or(F.when(F.col(stage) == s, F.col("ok"))), F.lit(False)).alias(f"done_{s}") for s in stages]
     rank = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col(stage))
-    return events.groupBy(*keys).agg(*done, F.min_by(stage, F.when(~F.col("ok"), rank)).alias("first_failure"))
+    text = F.col(error) if error else F.lit(None).cast("string")
+    first = F.min(F.when(~F.col("ok"), F.struct(rank.alias("n"), F.col(stage).alias("stage"), text.alias("error"))))
+    names = [f"done_{s}" for s in stages]
+    return events.groupBy(*keys).agg(*done, first.alias("_f")).select(*keys, *names, F.col("_f.stage").alias("first_failure"), F.col("_f.error").alias("error"))
 
 
-def select_cases(df: DataFrame, item: str, allow: DataFrame | None = None, globs: list[str] = ()) -> DataFrame:
-    """Items in the allow list that match any glob."""
+def select_cases(df: DataFrame, item: str, allow: DataFrame | None = None, globs: list[str] = (), max_items: int | None = None) -> DataFrame:
+    """Rows of items in the allow list that match any glob; of many items, the first ``max_items`` by name."""
     out = df if allow is None else df.join(allow, item, "left_semi")
     if globs:
         rex = "|".join("".join({"*": ".*", "?": "."}.get(ch, "\\" + ch if not ch.isalnum() else ch) for ch in g) for g in globs)
         out = out.filter(F.col(item).rlike(f"^(?:{rex})$"))
+    if max_items is not None:
+        out = out.join(out.select(item).distinct().orderBy(item).limit(max_items), item, "left_semi")
     return out
 
 

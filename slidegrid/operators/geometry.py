@@ -6,6 +6,8 @@ All functions are column arithmetic and keep every other column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ def pad_boxes(df: DataFrame, fraction: float = 0.25) -> DataFrame:
     return _replace(df, {"x1": clamp01k(x1 - dx), "y1": clamp01k(y1 - dy), "x2": clamp01k(x2 + dx), "y2": clamp01k(y2 + dy)})
 
 
+def union_orientations(*views: DataFrame) -> DataFrame:
+    """The boxes of all views in upright coordinates and padded, in one frame; a frame may hold several views."""
+    upright = [pad_boxes(rotate_box_to_upright(v)) for v in views]
+    return reduce(DataFrame.unionByName, upright)
+
+
 def to_pixels(df: DataFrame, width: str = "width", height: str = "height", offset: tuple[str, str] | None = None) -> DataFrame:
     """Pixel columns px1..py2 of normalised boxes: truncated, corners in order, shifted by a parent's corner."""
     px = [(F.col(c) / 1000 * F.col(width if c[0] == "x" else height)).cast("long") for c in BOX]

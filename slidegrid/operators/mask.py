@@ -151,7 +151,7 @@ def apply_mask(maps: DataFrame, mask: DataFrame, keys: list[str], tissue: int, b
 def build_maps(results: DataFrame, classes: DataFrame, tissue: int, na: int) -> DataFrame:
     """Class ids by ordinal, unknown classes as one more id; quality only on tissue."""
     n = classes.count()
-    out = results.join(F.broadcast(classes), "label", "left").withColumn("class_id", F.coalesce("ordinal", F.lit(n)))
+    out = results.join(classes, "label", "left").withColumn("class_id", F.coalesce("ordinal", F.lit(n)))
     return out.drop("ordinal").withColumn("quality_id", F.when(F.col("class_id") == tissue, F.coalesce("quality_id", F.lit(na))).otherwise(F.lit(na)))
 
 

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import rate_limited
 
+#: The columns of a flat review result and of the retry queue, in order.
+REVIEW_COLUMNS = (
+    "case_id", "run_id", "bbox_id", "crop_path", "mask_path", "status", "failure_reason", "rate_limited", "json_parsed", "elapsed_seconds",
+    "prompt_tokens", "output_tokens", "thoughts_tokens", "total_tokens", "estimated_input_cost_usd", "estimated_output_cost_usd",
+    "estimated_total_cost_usd", "finish_reason", "error", "output_dir", "metadata_path",
+)
+RETRY_COLUMNS = (
+    "case_id", "run_id", "bbox_id", "crop_path", "mask_path", "failure_reason", "error", "rate_limited", "finish_reason",
+    "estimated_total_cost_usd", "metadata_path",
+)
+_NESTED = ("usage", "cost_estimate_usd")
+
 
 def review_status(df: DataFrame, text: str = "text", parsed: str = "parsed") -> DataFrame:
     """success where there is text; a text that does not parse is a success with a reason."""
@@ -20,14 +32,15 @@ def with_pricing(df: DataFrame, prices: DataFrame, model: str = "model", family:
     last = F.element_at(F.split(model, "/"), -1)
     short = prices.select(F.col("model").alias("_s"), F.col("price_in").alias("_i2"), F.col("price_out").alias("_o2"))
     full = prices.select(F.col("model").alias("_f"), F.col("price_in").alias("_i1"), F.col("price_out").alias("_o1"))
-    out = df.join(F.broadcast(full), F.col(model) == F.col("_f"), "left").join(F.broadcast(short), (last == F.col("_s")) & last.startswith(family), "left")
+    out = df.join(full, F.col(model) == F.col("_f"), "left").join(short, (last == F.col("_s")) & last.startswith(family), "left")
     return out.withColumns({"price_in": F.coalesce("_i1", "_i2"), "price_out": F.coalesce("_o1", "_o2")}).drop("_f", "_s", "_i1", "_i2", "_o1", "_o2")
 
 
 def with_cost(df: DataFrame) -> DataFrame:
-    """Cost in USD from prices per million tokens; thoughts are billed as output; null without prompt tokens or price."""
+    """Cost in USD, of input, output and both, from prices per million tokens; thoughts are billed as output; null without prompt tokens or price."""
     out = F.coalesce("output_tokens", F.lit(0)) + F.coalesce("thoughts_tokens", F.lit(0))
-    return df.withColumn("cost", (F.col("prompt_tokens") * F.col("price_in") + out * F.col("price_out")) / 1e6)
+    paid, made = F.col("prompt_tokens") * F.col("price_in"), out * F.col("price_out")
+    return df.withColumns({"cost_input": paid / 1e6, "cost_output": F.when(paid.isNotNull(), made) / 1e6, "cost": (paid + made) / 1e6})
 
 
 def latency_percentiles(df: DataFrame, col: str = "elapsed_s", at: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
@@ -35,10 +48,13 @@ def latency_percentiles(df: DataFrame, col: str = "elapsed_s", at: tuple[float,
     return df.agg(p.alias("p"), F.max(col).alias("m")).select(*[F.coalesce(F.col("p")[i], F.lit(0.0)).alias(f"p{int(x * 100)}") for i, x in enumerate(at)], F.coalesce("m", F.lit(0.0)).cast("double").alias("max"))
 
 
-def review_summary(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") != "success").alias("failed"),
+def review_summary(df: DataFrame, elapsed_total: float | None = None) -> DataFrame:
+    """Totals of a batch in one row; with the batch's wall seconds also its requests a second."""
+    failed = F.count_if(F.col("status") != "success")
+    out = df.agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("success"), failed.alias("failed"), failed.alias("retry"),
         F.count_if(rate_limited(F.col("error"))).alias("rate_limited"), F.count("parsed").alias("parsed"), F.count("cost").alias("costed"), F.sum("cost").alias("cost"))
+    return out if elapsed_total is None else out.withColumn("throughput", F.col("total") / max(elapsed_total, 1e-6))
 
 
 def review_scores(df: DataFrame, js: str = "parsed") -> DataFrame:
@@ -52,13 +68,24 @@ def review_scores(df: DataFrame, js: str = "parsed") -> DataFrame:
     return out
 
 
+def _fields(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """Columns of these names, out of the nested ones where they lie there; null where there is none."""
+    place = {c: F.col(c) for c in df.columns if c not in _NESTED}
+    place |= {c: F.col(f"{p}.{c}") for p in _NESTED if p in df.columns for c in df.schema[p].dataType.names}
+    if "elapsed_seconds" in place:
+        place["elapsed_seconds"] = F.round(F.coalesce(place["elapsed_seconds"], F.lit(0.0)), 3)
+    return [place.get(c, F.lit(None).cast("string")).alias(c) for c in names]
+
+
 def flat_results(df: DataFrame) -> DataFrame:
-    """Review rows with nested usage and cost as flat columns, times in milliseconds."""
-    return df.select("case_id", "item", "status", "failure_reason", F.round("elapsed_s", 3).alias("elapsed_s"), "error", "model", F.col("usage.prompt_tokens").alias("prompt_tokens"), F.col("usage.output_tokens").alias("output_tokens"), F.col("usage.thoughts_tokens").alias("thoughts_tokens"))
+    """Review rows in the column contract, usage and cost flat, times in milliseconds."""
+    return df.select(*_fields(df, REVIEW_COLUMNS))
 
 
 def retry_queue(df: DataFrame) -> DataFrame:
-    return df.filter("status <> 'success'").select("case_id", "item", "failure_reason", "error", "model")
+    """Rows without success, in the contract of the queue."""
+    failed = df.filter("status <> 'success'")
+    return failed.select(*_fields(failed, RETRY_COLUMNS))
 
 
 def run_manifest(df: DataFrame, config: dict[str, str]) -> DataFrame:

@@ -57,9 +57,13 @@ def include_classes(verdicts: DataFrame, text: str = "note", default: str = "no
     return verdicts.filter(F.col("verdict") == "INCLUDE").withColumn(text, F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(default)))
 
 
-def tta_counts(boxes: DataFrame, slide: str = "slide", rot: str = "rot") -> DataFrame:
-    """Boxes of each slide by view and in all."""
-    return boxes.groupBy(slide).agg(*[F.count_if(F.col(rot) == r).alias(f"n_{r}") for r in ROTATIONS], F.count("*").alias("n_all"))
+def tta_counts(boxes: DataFrame, merged: DataFrame | None = None, slide: str = "slide", rot: str = "rot") -> DataFrame:
+    """Boxes of each slide by view and in all, and how many are left of them in ``merged``."""
+    out = boxes.groupBy(slide).agg(*[F.count_if(F.col(rot) == r).alias(f"n_{r}") for r in ROTATIONS], F.count("*").alias("n_all"))
+    if merged is None:
+        return out
+    left = merged.groupBy(slide).agg(F.count("*").alias("n_merged"))
+    return out.join(left, slide, "left").fillna(0, ["n_merged"])
 
 
 def expand_variants(df: DataFrame, shuffles: int, rotations: tuple[int, ...], seed: int, ident: str) -> DataFrame:

@@ -145,11 +145,12 @@ def _(spark, d):
     return O.merge_boxes(X.boxes(spark, d), 0.2)
 
 
-@_add("d8_tta_counts", _B + "SELECT slide, count(*) FILTER (rot = 0) AS n_0, count(*) FILTER (rot = 90) AS n_90, count(*) FILTER (rot = 180) AS n_180, count(*) FILTER (rot = 270) AS n_270, count(*) AS n_all FROM b GROUP BY 1")
+@_add("d8_tta_counts", _B + "SELECT slide, count(*) FILTER (rot = 0) AS n_0, count(*) FILTER (rot = 90) AS n_90, count(*) FILTER (rot = 180) AS n_180, count(*) FILTER (rot = 270) AS n_270, count(*) AS n_all, count(DISTINCT CASE WHEN slide % 7 > 0 THEN concat(x1, ',', y1) END) AS n_merged FROM b GROUP BY 1")
 def _(spark, d):
     from ..operators.votes import tta_counts
 
-    return tta_counts(X.boxes(spark, d))
+    b = X.boxes(spark, d)
+    return tta_counts(b, b.filter("slide % 7 > 0").select("slide", "x1", "y1").distinct())
 
 
 @_add("d9_hull", _B + "SELECT slide, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM b GROUP BY 1")
@@ -173,11 +174,14 @@ def _(spark, d):
     return number_regions(b, ["rot", "idx"]).select("slide", "idx", "label")
 
 
-@_add("g1_union_orientations", _B.rstrip() + ", " + _UP + " SELECT slide, idx, CAST(floor(greatest(0, x1 - (x2 - x1) * 0.25) * 1e6 + 0.5) AS BIGINT) AS x1, CAST(floor(least(1000, x2 + (x2 - x1) * 0.25) * 1e6 + 0.5) AS BIGINT) AS x2 FROM u")
+_PADDED = ", ".join(f"CAST(floor({f} * 1e6 + 0.5) AS BIGINT) AS {n}" for v in "xy" for f, n in ((f"greatest(0, {v}1 - ({v}2 - {v}1) * 0.25)", f"{v}1"), (f"least(1000, {v}2 + ({v}2 - {v}1) * 0.25)", f"{v}2")))
+
+
+@_add("g1_union_orientations", _B.rstrip() + ", " + _UP + f" SELECT slide, idx, {_PADDED} FROM u")
 def _(spark, d):
     b = X.boxes(spark, d).withColumns({c: F.col(c).cast("double") for c in G.BOX})
-    out = G.pad_boxes(G.rotate_box_to_upright(b))
-    return out.select("slide", "idx", micro(F.col("x1")).alias("x1"), micro(F.col("x2")).alias("x2"))
+    out = G.union_orientations(*[b.filter(F.col("rot") == r) for r in (0, 90, 180, 270)])
+    return out.select("slide", "idx", *[micro(F.col(c)).alias(c) for c in G.BOX])
 
 
 @_add("h18_point_windows", _B + """SELECT slide, idx, w AS "window", greatest(0, least(900, x1 + CASE w WHEN 0 THEN -100 WHEN 1 THEN 0 WHEN 2 THEN -100 ELSE 0 END)) AS wx, greatest(0, least(900, y1 + CASE WHEN w < 2 THEN -100 ELSE 0 END)) AS wy FROM b, (SELECT unnest([0, 1, 2, 3]) AS w)""")

@@ -56,9 +56,9 @@ def _(spark, d):
     return p.select(*[micro(F.col(c)).alias(c) for c in p.columns])
 
 
-@_add("d16_review_summary", _R + "SELECT count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (error IS NOT NULL) AS rate_limited, count(*) FILTER (failure_reason IS NULL) AS parsed, count(cost) AS costed, CAST(floor(sum(cost) * 1e6 + 0.5) AS BIGINT) AS cost FROM c")
+@_add("d16_review_summary", _R + "SELECT count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status <> 'success') AS retry, count(*) * 1000 // 3600 AS throughput, count(*) FILTER (error IS NOT NULL) AS rate_limited, count(*) FILTER (failure_reason IS NULL) AS parsed, count(cost) AS costed, CAST(floor(sum(cost) * 1e6 + 0.5) AS BIGINT) AS cost FROM c")
 def _(spark, d):
-    return R.review_summary(costed(spark, d)).withColumn("cost", F.floor(F.col("cost") * 1e6 + 0.5))
+    return R.review_summary(costed(spark, d), 3600.0).withColumns({"cost": F.floor(F.col("cost") * 1e6 + 0.5), "throughput": F.floor(F.col("throughput") * 1e3 + 1e-9)})
 
 
 @_add("d17_with_cost", _R + "SELECT case_id, item, CAST(floor(cost * 1e9 + 0.5) AS BIGINT) AS cost FROM c")
@@ -66,15 +66,37 @@ def _(spark, d):
     return costed(spark, d).select("case_id", "item", F.floor(F.col("cost") * 1e9 + 0.5).alias("cost"))
 
 
-@_add("a8_flat_results", _R + "SELECT case_id, item, status, failure_reason, CAST(floor(elapsed_s * 1e3 + 0.5) AS BIGINT) AS elapsed_ms, error, model, prompt_tokens, output_tokens, thoughts_tokens FROM r")
+_NONE = ("run_id", "crop_path", "mask_path", "finish_reason", "output_dir", "metadata_path")
+_FLAT = {
+    "bbox_id": "item", "elapsed_seconds": "CAST(floor(elapsed_s * 1e3 + 0.5) AS BIGINT)", "json_parsed": "failure_reason IS NULL", "rate_limited": "error IS NOT NULL",
+    "total_tokens": "prompt_tokens + output_tokens", "estimated_input_cost_usd": "CAST(floor(prompt_tokens * pi * 1e3 + 0.5) AS BIGINT)",
+    "estimated_output_cost_usd": "CAST(floor((output_tokens + coalesce(thoughts_tokens, 0)) * po * 1e3 + 0.5) AS BIGINT)", "estimated_total_cost_usd": "CAST(floor(cost * 1e9 + 0.5) AS BIGINT)",
+} | {c: "NULL" for c in _NONE}
+_flat = lambda names: ", ".join(f"{_FLAT.get(c, c)} AS {c}" for c in names)
+_NANO = ("estimated_input_cost_usd", "estimated_output_cost_usd", "estimated_total_cost_usd")
+
+
+def nested(spark, d):
+    r = costed(spark, d).withColumnsRenamed({"item": "bbox_id", "elapsed_s": "elapsed_seconds"})
+    r = r.withColumns({"json_parsed": F.col("parsed").isNotNull(), "rate_limited": rate_limited(F.col("error"))})
+    usage = F.struct("prompt_tokens", "output_tokens", "thoughts_tokens", (F.col("prompt_tokens") + F.col("output_tokens")).alias("total_tokens"))
+    cost = F.struct(*[F.col(c).alias(n) for c, n in zip(("cost_input", "cost_output", "cost"), _NANO, strict=True)])
+    return r.select("case_id", "bbox_id", "status", "failure_reason", "error", "json_parsed", "rate_limited", "elapsed_seconds", usage.alias("usage"), cost.alias("cost_estimate_usd"))
+
+
+def whole(df):
+    """Costs as whole billionths of a dollar, times as milliseconds."""
+    return df.withColumns({c: F.floor(F.col(c) * (1e9 if c in _NANO else 1e3) + 0.5) for c in (*_NANO, "elapsed_seconds") if c in df.columns})
+
+
+@_add("a8_flat_results", _R + f"SELECT {_flat(R.REVIEW_COLUMNS)} FROM c")
 def _(spark, d):
-    r = reviewed(spark, d).withColumn("usage", F.struct("prompt_tokens", "output_tokens", "thoughts_tokens"))
-    return R.flat_results(r).withColumn("elapsed_ms", F.floor(F.col("elapsed_s") * 1e3 + 0.5)).drop("elapsed_s")
+    return whole(R.flat_results(nested(spark, d)))
 
 
-@_add("a9_retry_queue", _R + "SELECT case_id, item, failure_reason, error, model FROM r WHERE status <> 'success'")
+@_add("a9_retry_queue", _R + f"SELECT {_flat(R.RETRY_COLUMNS)} FROM c WHERE status <> 'success'")
 def _(spark, d):
-    return R.retry_queue(reviewed(spark, d))
+    return whole(R.retry_queue(nested(spark, d)))
 
 
 @_add("a10_run_manifest", _R + "SELECT count(*) AS n_rows, count(DISTINCT case_id) AS n_cases, count(DISTINCT model) AS n_models, 'v1' AS version FROM r")

@@ -189,10 +189,10 @@ def _(spark, d):
     return C.resume_plan(X.table(spark, d, "customer").select(F.col("c_custkey").alias("case_id")), runs, "case_id", "run")
 
 
-@_add("l2_status_rollup", "WITH v AS (SELECT user_id, event_type AS stage, value > 0.2 AS ok FROM events) SELECT user_id, coalesce(bool_or(CASE WHEN stage = 'click' THEN ok END), false) AS done_click, coalesce(bool_or(CASE WHEN stage = 'view' THEN ok END), false) AS done_view, CASE WHEN bool_or(NOT ok AND stage = 'click') THEN 'click' WHEN bool_or(NOT ok AND stage = 'view') THEN 'view' END AS first_failure FROM v WHERE stage IN ('click', 'view') GROUP BY 1")
+@_add("l2_status_rollup", "WITH v AS (SELECT user_id, event_type AS stage, value > 0.2 AS ok, concat('low ', event_id) AS why FROM events) SELECT user_id, coalesce(bool_or(CASE WHEN stage = 'click' THEN ok END), false) AS done_click, coalesce(bool_or(CASE WHEN stage = 'view' THEN ok END), false) AS done_view, CASE WHEN bool_or(NOT ok AND stage = 'click') THEN 'click' WHEN bool_or(NOT ok AND stage = 'view') THEN 'view' END AS first_failure, CASE WHEN bool_or(NOT ok AND stage = 'click') THEN min(CASE WHEN NOT ok AND stage = 'click' THEN why END) WHEN bool_or(NOT ok AND stage = 'view') THEN min(CASE WHEN NOT ok AND stage = 'view' THEN why END) END AS error FROM v WHERE stage IN ('click', 'view') GROUP BY 1")
 def _(spark, d):
-    e = X.table(spark, d, "events").filter("event_type IN ('click', 'view')").select("user_id", F.col("event_type").alias("stage"), (F.col("value") > 0.2).alias("ok"))
-    return C.status_rollup(e, ["user_id"], ["click", "view"])
+    e = X.table(spark, d, "events").filter("event_type IN ('click', 'view')").select("user_id", F.col("event_type").alias("stage"), (F.col("value") > 0.2).alias("ok"), F.concat(F.lit("low "), "event_id").alias("why"))
+    return C.status_rollup(e, ["user_id"], ["click", "view"], error="why")
 
 
 @_add("b10_select_cases", "SELECT o_orderkey, o_orderpriority FROM orders WHERE (o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '%LOW') AND o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus = 'F')")
@@ -202,6 +202,11 @@ def _(spark, d):
     return C.select_cases(o.select("o_orderkey", "o_orderpriority"), "o_orderpriority", allow, ["1-*", "*LOW"])
 
 
+@_add("b10_select_cases_capped", "SELECT c_custkey, c_name FROM customer WHERE c_name IN (SELECT DISTINCT c_name FROM customer WHERE c_name LIKE 'C%1' ORDER BY c_name LIMIT 5)")
+def _(spark, d):
+    return C.select_cases(X.table(spark, d, "customer").select("c_custkey", "c_name"), "c_name", globs=["C*1"], max_items=5)
+
+
 @_add("g4_fill_missing", "SELECT s_suppkey, coalesce(CAST(q AS BIGINT), -1) AS q, q IS NULL AS synthetic FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_linenumber) AS q FROM lineitem WHERE l_quantity > 48 GROUP BY 1) ON l_suppkey = s_suppkey")
 def _(spark, d):
     q = X.table(spark, d, "lineitem").filter("l_quantity > 48").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_linenumber").alias("q"))

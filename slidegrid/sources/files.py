@@ -133,6 +133,15 @@ def write_review_results(df: DataFrame, path: str) -> None:
     flat_results(df).write.option("header", True).csv(f"{path}/results_csv")
 
 
+def write_retry_queue(df: DataFrame, path: str) -> None:
+    """Rows to try again, as JSON lines and as CSV."""
+    from ..operators.reviews import retry_queue
+
+    rows = retry_queue(df)
+    rows.write.json(f"{path}/retry_jsonl")
+    rows.write.option("header", True).csv(f"{path}/retry_csv")
+
+
 def write_cells(df: DataFrame, path: str) -> None:
     """Cells by slide; rows of a slide are gathered first, and a large slide is split, so files stay few."""
     df.hint("rebalance", "slide").write.partitionBy("slide").parquet(path)
