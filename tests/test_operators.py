@@ -174,3 +174,29 @@ def test_equal_regions_and_patches_stay(spark):
     patches = spark.createDataFrame([(1, "p", 0, 0, 2, 2), (1, "p", 0, 0, 2, 2), (1, "p", 2, 2, 4, 4)], "slide long, patch_id string, px1 long, py1 long, px2 long, py2 long")
     cells = spark.createDataFrame([(1, 0, 0), (1, 3, 3), (1, 3, 2)], "slide long, r int, c int")
     assert sorted(r.fg_ratio for r in overlap.foreground_ratio(patches, cells, 1.0, ["slide"], 4, 4).collect()) == [0.25, 0.25, 0.5]
+
+
+def test_class_replies_of_odd_shapes(spark):
+    cases = [
+        (None, "unknown", "NA", None), ("  ", "unknown", "NA", None), ("[]", "unknown", "NA", None), ("{}", "unknown", "NA", "json_without_class"),
+        ('{"class quality":"Tissue","quality":"sharp"}', "tissue", "Sharp", None), ('{"my_class":"fg","quality class":"oof"}', "tissue", "Out of Focus", None),
+        ('{"class":"","x":"foreground"}', "tissue", "NA", None), ("class: tissue; quality: blurred, rather", "tissue", "Somewhat Blurred", None),
+        ("Tissue false", "tissue", "NA", None), ('{"class":"tissue"', "tissue", "NA", None), ('{"class":{"a":1}}', "unknown", "NA", None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, text string")
+    got = replies.parse_class_response(df, ["background", "tissue"]).orderBy("id").collect()
+    assert [(r.label, r.quality, r.error) for r in got] == [c[1:] for c in cases]
+
+
+def test_review_files_hold_all_contract_columns(spark, tmp_path):
+    from slidegrid.operators.reviews import RETRY_COLUMNS, REVIEW_COLUMNS
+
+    df = spark.createDataFrame([("a", "success", (5, 7), "x"), ("b", "failed", None, None)], "case_id string, status string, usage struct<prompt_tokens:int,total_tokens:int>, error string")
+    files.write_review_results(df, str(tmp_path))
+    files.write_retry_queue(df, str(tmp_path))
+    flat = spark.read.option("header", True).csv(str(tmp_path / "results_csv"))
+    retry = spark.read.option("header", True).csv(str(tmp_path / "retry_csv"))
+    assert tuple(flat.columns) == REVIEW_COLUMNS and len(REVIEW_COLUMNS) == 21
+    assert tuple(retry.columns) == RETRY_COLUMNS and len(RETRY_COLUMNS) == 11
+    assert sorted((r.case_id, r.total_tokens) for r in flat.collect()) == [("a", "7"), ("b", None)]
+    assert [r.case_id for r in retry.collect()] == ["b"]
