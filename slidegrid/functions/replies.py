@@ -178,11 +178,25 @@ def parse_claims(df: DataFrame, keys: list[str], col: str = "text") -> DataFrame
     return df.select(*keys, F.explode(F.from_json(body, kind).artifacts).alias("artifact", "_c")).select(*keys, "artifact", F.col("_c.present").alias("present"), F.col("_c.evidence").alias("evidence"))
 
 
-def build_prompts(items: DataFrame, examples: DataFrame, template: str, keys: list[str], order: str, text: str) -> DataFrame:
-    """Each group's examples as numbered lines in a template; ``{name}`` of a missing column is blank."""
-    rows = F.array_sort(F.collect_list(F.struct(order, text)))
-    block = F.array_join(F.transform(rows, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r[text])), "\n")
-    out = items.join(examples.groupBy(*keys).agg(block.alias("examples")), keys, "left").fillna("", ["examples"])
+def _numbered(rows: DataFrame, keys: list[str], order: str, line: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """One text a group: its rows in order, each as a line."""
+    kept = F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c not in (*keys, order)])))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(kept, line), "\n").alias(out))
+
+
+def class_definitions(classes: DataFrame, keys: list[str], order: str = "ordinal", label: str = "label", about: str = "description") -> DataFrame:
+    """(keys, class_definitions): classes in order, one a line, with what is said about them where there is something."""
+    said = F.nullif(F.trim(about), F.lit(""))
+    rows = classes.select(*keys, order, F.concat(F.lit("- "), label, F.coalesce(F.concat(F.lit(": "), said), F.lit(""))).alias("_line"))
+    return _numbered(rows, keys, order, lambda r, i: r["_line"], "class_definitions")
+
+
+def build_prompts(items: DataFrame, examples: DataFrame, template: str, keys: list[str], order: str, text: str, classes: DataFrame | None = None) -> DataFrame:
+    """Each group's examples as numbered lines and its class definitions in a template; ``{name}`` of a missing column is blank."""
+    block = _numbered(examples.select(*keys, order, text), keys, order, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r[text]), "examples")
+    out = items.join(block, keys, "left").fillna("", ["examples"])
+    if classes is not None:
+        out = out.join(class_definitions(classes, keys), keys, "left")
     parts, at = [], 0
     while (a := template.find("{", at)) >= 0 and (z := template.find("}", a)) >= 0:
         name = template[a + 1 : z]

@@ -148,11 +148,16 @@ def _(spark, d):
     return P.parse_claims(X.table(spark, d, "events").select("event_id", t.alias("text")), ["event_id"])
 
 
-@_add("i12_build_prompts", "WITH x AS (SELECT o_custkey AS k, string_agg(concat(n, '. ', o_orderpriority), chr(10) ORDER BY n) AS e FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1) SELECT c_custkey, concat('Case ', c_name, ': ', '', chr(10), coalesce(e, ''), '.') AS prompt FROM customer LEFT JOIN x ON k = c_custkey")
+_LINES = "SELECT o_custkey AS k, string_agg(concat(n, '. ', o_orderpriority), chr(10) ORDER BY n) AS e, string_agg(concat('- ', o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN concat(': at ', o_orderkey) ELSE '' END), chr(10) ORDER BY n) AS c FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1"
+
+
+@_add("i12_build_prompts", f"WITH x AS ({_LINES}) SELECT c_custkey, concat('Case ', c_name, ': ', '', chr(10), coalesce(c, ''), chr(10), coalesce(e, ''), '.') AS prompt FROM customer LEFT JOIN x ON k = c_custkey")
 def _(spark, d):
     items = X.table(spark, d, "customer").select("c_custkey", "c_name")
-    ex = X.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority")
-    return P.build_prompts(items, ex, "Case {c_name}: {missing}\n{examples}.", ["c_custkey"], "o_orderkey", "o_orderpriority").select("c_custkey", "prompt")
+    o = X.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    about = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" at "), "o_orderkey")).otherwise(" ")
+    classes = o.select("c_custkey", F.col("o_orderkey").alias("ordinal"), F.col("o_orderstatus").alias("label"), about.alias("description"))
+    return P.build_prompts(items, o.select("c_custkey", "o_orderkey", "o_orderpriority"), "Case {c_name}: {missing}\n{class_definitions}\n{examples}.", ["c_custkey"], "o_orderkey", "o_orderpriority", classes).select("c_custkey", "prompt")
 
 
 def stub(row):
