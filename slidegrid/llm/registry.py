@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, ngram_join, packing, pii, quality_lines, secret_ledger, suffix_dedup, toxicity, transport_stream
+from . import byte_bpe, fill_in_middle, language_id, merkle, ngram_join, packing, pii, quality_lines, secret_ledger, suffix_dedup, toxicity, transport_stream
 
 QUERIES = {
     "op1_transport_stream": transport_stream.query,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_quality_lines": quality_lines.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_ngram_join": ngram_join.query,
+    "op11_fill_in_middle": fill_in_middle.query,
+    "op13_merkle": merkle.query,
 }
 
-ORACLE: dict[str, str] = {"op7_secret_ledger": secret_ledger.SQL, "op8_quality_lines": quality_lines.SQL, "op10_ngram_join": ngram_join.SQL}
+ORACLE: dict[str, str] = {
+    "op7_secret_ledger": secret_ledger.SQL,
+    "op8_quality_lines": quality_lines.SQL,
+    "op10_ngram_join": ngram_join.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op13_merkle": merkle.SQL,
+}
