@@ -132,25 +132,41 @@ def _(spark, d):
     return out.select("slide", F.col("patch_id").alias("idx"), micro(F.col("fg_ratio")).alias("fg_ratio"))
 
 
-_CC = """e AS (SELECT a.slide, a.idx AS a, b.idx AS b FROM b a JOIN b b ON a.slide = b.slide AND a.idx <> b.idx AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"""
+_MEET = "a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2"
+#: All hulls of a slide anew in each round, each joined to the least that it meets, while the slide has two that meet.
+_ANY = f"""h(slide, it, idx, x1, y1, x2, y2) AS (SELECT slide, 0, idx, x1, y1, x2, y2 FROM b
+  UNION ALL SELECT slide, it + 1, min(idx), min(x1), min(y1), max(x2), max(y2) FROM (
+    SELECT *, max(n) OVER (PARTITION BY slide) AS most FROM (
+      SELECT a.slide, a.it, a.idx, a.x1, a.y1, a.x2, a.y2, min(b.idx) AS root, count(*) AS n
+      FROM h a JOIN h b ON a.slide = b.slide AND {_MEET} GROUP BY 1, 2, 3, 4, 5, 6, 7)) WHERE most > 1 GROUP BY slide, it, root)"""
 
 
-@_add("h3_merge_boxes_any")
+@_add("h3_merge_boxes_any", f"WITH RECURSIVE b AS ({X.BOXES}), {_ANY} SELECT slide, idx, x1, y1, x2, y2 FROM h QUALIFY it = max(it) OVER (PARTITION BY slide)")
 def _(spark, d):
     return O.merge_boxes_any(X.boxes(spark, d))
 
 
-@_add("h2_merge_boxes")
+_W, _H = ("least(h.{0}2, v[1].{0}2) - greatest(h.{0}1, v[1].{0}1)".format(c) for c in "xy")
+_SHARE = f"({_W}) > 0 AND ({_H}) > 0 AND ({_W}) * ({_H}) / least((h.x2 - h.x1) * (h.y2 - h.y1), (v[1].x2 - v[1].x1) * (v[1].y2 - v[1].y1))::DOUBLE >= 0.2"
+#: A turn as a fold over the boxes in order: the first hull that a box overlaps enough takes it in, else it opens one.
+_TURN = f"""list_reduce(hs, lambda u, v: list_transform([list_position(list_transform(u, lambda h: {_SHARE}), true)], lambda k: CASE WHEN k IS NULL OR k = 0 THEN list_concat(u, v)
+   ELSE list_concat(u[:k - 1], [{{'x1': least(u[k].x1, v[1].x1), 'y1': least(u[k].y1, v[1].y1), 'x2': greatest(u[k].x2, v[1].x2), 'y2': greatest(u[k].y2, v[1].y2)}}], u[k + 1:]) END)[1])"""
+_ORDERED = f"""o(slide, had, hs) AS (SELECT slide, CAST(-1 AS BIGINT), list([{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY rot, idx) FROM b GROUP BY 1
+  UNION ALL SELECT slide, CAST(len(hs) AS BIGINT), list_transform({_TURN}, lambda h: [h]) FROM o WHERE had <> len(hs)),
+  m AS (SELECT slide, e[1].x1 AS x1, e[1].y1 AS y1, e[1].x2 AS x2, e[1].y2 AS y2 FROM (SELECT slide, unnest(hs) AS e FROM o WHERE had = len(hs)))"""
+
+
+@_add("h2_merge_boxes", f"WITH RECURSIVE b AS ({X.BOXES}), {_ORDERED} SELECT * FROM m")
 def _(spark, d):
     return O.merge_boxes(X.boxes(spark, d), 0.2)
 
 
-@_add("d8_tta_counts", _B + "SELECT slide, count(*) FILTER (rot = 0) AS n_0, count(*) FILTER (rot = 90) AS n_90, count(*) FILTER (rot = 180) AS n_180, count(*) FILTER (rot = 270) AS n_270, count(*) AS n_all, count(DISTINCT CASE WHEN slide % 7 > 0 THEN concat(x1, ',', y1) END) AS n_merged FROM b GROUP BY 1")
+@_add("d8_tta_counts", f"WITH RECURSIVE b AS ({X.BOXES}), {_ORDERED} SELECT b.slide, count(*) FILTER (rot = 0) AS n_0, count(*) FILTER (rot = 90) AS n_90, count(*) FILTER (rot = 180) AS n_180, count(*) FILTER (rot = 270) AS n_270, count(*) AS n_all, any_value(n) AS n_merged FROM b JOIN (SELECT slide, count(*) AS n FROM m GROUP BY 1) USING (slide) GROUP BY 1")
 def _(spark, d):
     from ..operators.votes import tta_counts
 
     b = X.boxes(spark, d)
-    return tta_counts(b, b.filter("slide % 7 > 0").select("slide", "x1", "y1").distinct())
+    return tta_counts(b, O.merge_boxes(b, 0.2))
 
 
 @_add("d9_hull", _B + "SELECT slide, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM b GROUP BY 1")
