@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fill_in_middle, language_id, merkle, ngram_join, packing, pii, quality_lines, secret_ledger, suffix_dedup, toxicity, transport_stream
+from . import byte_bpe, fill_in_middle, language_id, merkle, nearest_quality, ngram_join, packing, pii, quality_lines, secret_ledger, suffix_dedup, toxicity, transport_stream
 
 QUERIES = {
     "op1_transport_stream": transport_stream.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.query,
     "op10_ngram_join": ngram_join.query,
     "op11_fill_in_middle": fill_in_middle.query,
+    "op12_nearest_quality": nearest_quality.query,
     "op13_merkle": merkle.query,
 }
 
