@@ -6,10 +6,11 @@ region, where a rule needs it, is given with the call or as columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import components as _components
+from ..plans import tiles as T
+from ..plans.fixpoint import cut
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
@@ -33,39 +34,68 @@ def neighbors(cells: DataFrame, keys: list[str], offsets: list[tuple[int, int]])
     return _shifted(cells, offsets).join(other, [*keys, "nr", "nc"])
 
 
-def components(cells: DataFrame, keys: list[str], connectivity: int = 4) -> DataFrame:
-    """(keys, r, c, root): the component of each cell, named by its least run.
+def _placed(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, r, c) with the types of ``cells``."""
+    return df.select(*keys, *[F.col(c).cast(cells.schema[c].dataType).alias(c) for c in ("r", "c")])
 
-    Cells are first joined into horizontal runs, so that the graph has a node
-    for each run instead of each cell.
+
+def _labelled(cells: DataFrame, keys: list[str], connectivity: int, size: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Cells with their pieces within tiles, and the roots of pieces that touch other tiles; none where a grid fits a tile."""
+    size = T.extent(cells) if size is None else size
+    if size <= T.SIDE:
+        return T.pieces(cells, keys, connectivity), None
+    named = cut(T.pieces(cells, keys, connectivity))
+    return named, cut(T.roots(named, keys, connectivity, size))
+
+
+def _rooted(named: DataFrame, roots: DataFrame | None, keys: list[str]) -> DataFrame:
+    if roots is None:
+        return named.withColumn("root", F.col("piece"))
+    return named.join(roots, [*keys, "piece"], "left").withColumn("root", F.coalesce("root", "piece"))
+
+
+def _totals(named: DataFrame, roots: DataFrame | None, keys: list[str], *more: Column) -> DataFrame:
+    """(keys, root, n) of each component, from one row a piece."""
+    one = named.filter(F.col("piece") == T.named(F.col("r"), F.col("c")))
+    return _rooted(one, roots, keys).groupBy(*keys, "root").agg(F.sum("n_piece").alias("n"), *more)
+
+
+def components(cells: DataFrame, keys: list[str], connectivity: int = 4, size: int | None = None) -> DataFrame:
+    """(keys, r, c, root): the component of each cell, named by its least cell.
+
+    Cells are joined into pieces inside tiles; only pieces at a tile's border
+    meet each other. ``size`` bounds the rows and columns of all grids; without
+    it the cells are read once more for it.
     """
-    w = Window.partitionBy(*keys, "r").orderBy("c")
-    runs = cells.select(*keys, "r", "c").distinct().withColumn("_g", F.col("c") - F.row_number().over(w))
-    runs = runs.withColumn("_first", F.min("c").over(Window.partitionBy(*keys, "r", "_g")))
-    runs = runs.withColumn("run", (F.col("r") * (1 << 24) + F.col("_first")).cast("long")).select(*keys, "r", "c", "run")
-    step = [(1, 0)] if connectivity == 4 else [(1, -1), (1, 0), (1, 1)]
-    down = _shifted(runs, step).select(*keys, F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("run").alias("a"))
-    edges = down.join(runs, [*keys, "r", "c"]).select(*keys, "a", F.col("run").alias("b")).distinct()
-    root = _components(edges, keys).withColumnRenamed("node", "run")
-    return runs.join(root, [*keys, "run"], "left").select(*keys, "r", "c", F.coalesce("root", "run").alias("root"))
+    at = _rooted(*_labelled(cells, keys, connectivity, size), keys)
+    return at.select(*keys, *[F.col(c).cast(cells.schema[c].dataType).alias(c) for c in ("r", "c")], "root")
 
 
 def component_summary(named: DataFrame, keys: list[str]) -> DataFrame:
     return named.groupBy(*keys).agg(F.count_distinct("root").alias("n_components"), F.count("*").alias("n_cells"))
 
 
-def remove_small(cells: DataFrame, keys: list[str], n: int = 3, connectivity: int = 4) -> DataFrame:
-    """Cells of components of at least n cells."""
+def remove_small(cells: DataFrame, keys: list[str], n: int = 3, connectivity: int = 4, size: int | None = None) -> DataFrame:
+    """Cells of components of at least n cells.
+
+    Cells of a piece that is large enough by itself stay without a look at the
+    rest of their component.
+    """
     if n <= 1:
         return cells.select(*keys, "r", "c")
-    size = F.count("*").over(Window.partitionBy(*keys, "root"))
-    return components(cells, keys, connectivity).withColumn("_n", size).filter(F.col("_n") >= n).select(*keys, "r", "c")
+    named, roots = _labelled(cells, keys, connectivity, size)
+    kept = named.filter(F.col("n_piece") >= n)
+    if roots is not None:
+        large = _totals(named, roots, keys).filter(F.col("n") >= n)
+        small = _rooted(named.filter(F.col("n_piece") < n), roots, keys).join(large, [*keys, "root"], "left_semi")
+        kept = kept.unionByName(small.select(*kept.columns))
+    return _placed(kept, cells, keys)
 
 
-def removed_small(cells: DataFrame, keys: list[str], n: int = 3, connectivity: int = 4) -> DataFrame:
+def removed_small(cells: DataFrame, keys: list[str], n: int = 3, connectivity: int = 4, size: int | None = None) -> DataFrame:
     """Components below n cells of each group, and their cells."""
-    size = components(cells, keys, connectivity).groupBy(*keys, "root").agg(F.count("*").alias("_n")).filter(F.col("_n") < n)
-    return size.groupBy(*keys).agg(F.count("*").alias("removed_components"), F.sum("_n").alias("removed_cells"))
+    small = _totals(*_labelled(cells, keys, connectivity, size), keys).filter(F.col("n") < n)
+    return small.groupBy(*keys).agg(F.count("*").alias("removed_components"), F.sum("n").alias("removed_cells"))
 
 
 def _grid(groups: DataFrame, rows: Column | int, cols: Column | int) -> DataFrame:
@@ -78,39 +108,37 @@ def close_mask(cells: DataFrame, keys: list[str], rows: int, cols: int, k: int =
     """Binary closing with a k x k footprint; outside the grid counts as set.
 
     A cell is set if every place of its window is outside, near the edge, or has
-    a set cell in its own window. Only cells whose window holds a set place can
-    change, apart from those whose whole window is near the edge.
+    a set cell in its own window. Each tile sees the cells of a rim of k - 1
+    round it, so that only cells near a border are sent twice.
     """
     p = (k if k % 2 else k + 1) // 2
-    grown = _shifted(cells.select(*keys, "r", "c"), square(k)).select(*keys, F.col("nr").alias("r"), F.col("nc").alias("c")).distinct()
-    edge = _grid(cells.select(*keys).distinct(), rows, cols).filter((F.col("r") < p) | (F.col("r") >= rows - p) | (F.col("c") < p) | (F.col("c") >= cols - p))
-    inside = grown.filter((F.col("r") >= 0) & (F.col("r") < rows) & (F.col("c") >= 0) & (F.col("c") < cols))
-    on = inside.unionByName(edge).distinct()
-    votes = _shifted(on, square(k)).groupBy(*keys, F.col("nr").alias("r"), F.col("nc").alias("c")).agg(F.count("*").alias("_n"))
-    votes = votes.filter((F.col("r") >= 0) & (F.col("r") < rows) & (F.col("c") >= 0) & (F.col("c") < cols))
-    span = lambda x, n: F.least(F.lit(n - 1), F.col(x) + p) - F.greatest(F.lit(0), F.col(x) - p) + 1
-    return votes.filter(F.col("_n") == span("r", rows) * span("c", cols)).select(*keys, "r", "c")
+    return _placed(T.closed(cells, keys, rows, cols, p), cells, keys)
 
 
 def fill_holes(cells: DataFrame, keys: list[str], rows: int, cols: int, n: int = 10, connectivity: int = 4) -> DataFrame:
-    """Cells and enclosed background components of up to n cells; n of 0 or less fills all."""
+    """Cells and enclosed background components of up to n cells; n of 0 or less fills all.
+
+    Background is laid out inside tasks only; what cannot be a hole leaves them
+    as the cells at a tile's border.
+    """
     own = cells.select(*keys, "r", "c")
-    back = _grid(own.select(*keys).distinct(), rows, cols).join(own, [*keys, "r", "c"], "left_anti")
-    named = components(back, keys, connectivity)
-    border = (F.col("r") == 0) | (F.col("r") == rows - 1) | (F.col("c") == 0) | (F.col("c") == cols - 1)
-    w = Window.partitionBy(*keys, "root")
-    holes = named.withColumns({"_b": F.bool_or(border).over(w), "_n": F.count("*").over(w)}).filter(~F.col("_b"))
-    if n > 0:
-        holes = holes.filter(F.col("_n") <= n)
-    return own.unionByName(holes.select(*keys, "r", "c"))
+    named = T.gaps(cells, keys, rows, cols, n + 1 if n > 0 else 0, connectivity)
+    roots = None
+    if max(rows, cols) > T.SIDE:
+        named = cut(named)
+        roots = cut(T.roots(named, keys, connectivity, max(rows, cols)))
+    shut = named.filter("NOT open")
+    if roots is not None:
+        bad = _rooted(named.select(*keys, "piece", "open").distinct(), roots, keys).groupBy(*keys, "root").agg(F.bool_or("open").alias("_open"))
+        bad = bad.filter("_open").unionByName(_totals(shut, roots, keys).filter(F.col("n") > n if n > 0 else F.lit(False)).select(*keys, "root", F.lit(True).alias("_open"))).distinct()
+        shut = _rooted(shut, roots, keys).join(bad, [*keys, "root"], "left_anti")
+    return own.unionByName(_placed(shut, cells, keys))
 
 
 def clean_mask(cells: DataFrame, editable: DataFrame | None, keys: list[str], rows: int, cols: int, small: int = 3, k: int = 3, holes: int = 10, connectivity: int = 4) -> DataFrame:
     """Small components go, gaps close, holes fill; each step changes editable cells only (null: all)."""
     now = cells.select(*keys, "r", "c")
-    steps = [lambda m: remove_small(m, keys, small, connectivity), lambda m: close_mask(m, keys, rows, cols, k), lambda m: fill_holes(m, keys, rows, cols, holes, connectivity)]
-    from ..plans.fixpoint import cut
-
+    steps = [lambda m: remove_small(m, keys, small, connectivity, max(rows, cols)), lambda m: close_mask(m, keys, rows, cols, k), lambda m: fill_holes(m, keys, rows, cols, holes, connectivity)]
     for step in steps:
         new = step(now)
         if editable is not None:
