@@ -184,12 +184,22 @@ def build_maps(results: DataFrame, classes: DataFrame, tissue: int, na: int) ->
 
 
 def assemble_slide_mask(cells: DataFrame, regions: DataFrame, slide: str, region: str, size: int, rows: int, cols: int) -> DataFrame:
-    """Dense slide mask: region cells moved by their region's corner, clipped, combined by maximum."""
+    """Dense slide mask: region cells moved by their region's corner, clipped, combined by maximum.
+
+    Cells meet the empty grid as whole lines, one row of a slide each, which
+    are only spread into cells at the end.
+    """
     corner = regions.select(slide, region, F.expr(f"CAST(y1 DIV {size} AS BIGINT)").alias("_dr"), F.expr(f"CAST(x1 DIV {size} AS BIGINT)").alias("_dc"))
-    moved = cells.join(corner, [slide, region]).select(slide, (F.col("r") + F.col("_dr")).alias("r"), (F.col("c") + F.col("_dc")).alias("c"), "value")
+    moved = cells.join(corner, [slide, region]).select(slide, (F.col("r") + F.col("_dr")).cast("long").alias("r"), (F.col("c") + F.col("_dc")).cast("int").alias("c"), "value")
     moved = moved.filter((F.col("r") >= 0) & (F.col("r") < rows) & (F.col("c") >= 0) & (F.col("c") < cols))
-    dense = _grid(regions.select(slide).distinct(), rows, cols)
-    return dense.join(union_masks(moved, [slide]), [slide, "r", "c"], "left").fillna(0, ["value"])
+    empty = regions.select(slide).distinct().withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
+    put = union_masks(moved, [slide]).select(slide, "r", F.struct("c", "value").alias("_v"))
+    lines = put.unionByName(empty, allowMissingColumns=True).groupBy(slide, "r").agg(F.sort_array(F.collect_list("_v")).alias("_l"))
+    kind = cells.schema["value"].dataType.simpleString()
+    zeros = lambda n: f"array_repeat(CAST(0 AS {kind}), {n})"
+    dense = f"""CASE WHEN size(_l) = 0 THEN {zeros(cols)} ELSE flatten(concat(array({zeros('_l[0].c')}),
+        transform(_l, (x, i) -> concat(array(x.value), {zeros(f'coalesce(get(_l, i + 1).c, {cols}) - x.c - 1')})))) END"""
+    return lines.select(slide, "r", F.posexplode(F.expr(dense)).alias("c", "value")).withColumn("c", F.col("c").cast("long"))
 
 
 def gate_patches(patches: DataFrame, threshold: float = 0.05, ratio: str = "fg_ratio", background: str = "background") -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -333,10 +333,29 @@ def crop_pixels(pixels: DataFrame, boxes: DataFrame, key: str = "img", ident: st
     return met.select(key, F.col("_box").alias(ident), (F.col("x") - F.col("x1")).alias("x"), (F.col("y") - F.col("y1")).alias("y"), *rest)
 
 
+def prefix_columns(mask: DataFrame, keys: list[str], rows: int, cols: int) -> DataFrame:
+    """(keys, c, sums): for each column border c of 1..cols, the set cells left of it and above row border 0..rows.
+
+    The summed-area table of a mask, by two prefix passes: counts along each
+    row that has a cell, then along each column over those rows.
+    """
+    inside = (F.col("r") >= 0) & (F.col("r") < rows) & (F.col("c") >= 0) & (F.col("c") < cols)
+    lines = mask.filter(inside).groupBy(*keys, F.col("r").cast("int").alias("r")).agg(F.sort_array(F.collect_set(F.col("c").cast("int"))).alias("_c"))
+    # the count after a cell holds up to the next one
+    left = f"flatten(concat(array(array_repeat(0, _c[0])), transform(_c, (x, i) -> array_repeat(i + 1, coalesce(get(_c, i + 1), {cols}) - x))))"
+    spread = lines.select(*keys, "r", F.posexplode(F.expr(left)).alias("c", "_n"))
+    above = Window.partitionBy(*keys, "c").orderBy("r")
+    run = spread.withColumn("_sum", F.sum("_n").over(above)).groupBy(*keys, "c").agg(F.sort_array(F.collect_list(F.struct("r", "_sum"))).alias("_s"))
+    down = f"flatten(concat(array(array_repeat(0L, _s[0].r + 1)), transform(_s, (x, i) -> array_repeat(x._sum, coalesce(get(_s, i + 1).r, {rows}) - x.r))))"
+    return run.select(*keys, (F.col("c") + 1).alias("c"), F.expr(down).alias("sums"))
+
+
 def foreground_ratio(patches: DataFrame, mask: DataFrame, scale: float, keys: list[str], rows: int, cols: int) -> DataFrame:
     """Share of set mask cells under each patch (px1..py2); low edges truncate, high edges go up, all clamped.
 
-    ``mask`` holds the set cells (keys, r, c); cells without a row are 0.
+    ``mask`` holds the set cells (keys, r, c); cells without a row are 0. A
+    patch is counted by its four corners in the summed-area table: two rows
+    whatever its area, each with two look-ups.
     """
     low = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), (F.col(c) * scale).cast("long")))
     high = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), F.ceil(F.col(c) * scale)))
@@ -344,11 +363,11 @@ def foreground_ratio(patches: DataFrame, mask: DataFrame, scale: float, keys: li
     area = ["_r1", "_r2", "_c1", "_c2"]
     cells = (F.col("_r2") - F.col("_r1")) * (F.col("_c2") - F.col("_c1"))
     # equal areas are looked up once, whatever the patches are called
-    covered = p.filter("_r2 > _r1 AND _c2 > _c1").select(*keys, *area).distinct()
-    covered = covered.withColumn("r", F.explode(F.expr("sequence(_r1, _r2 - 1)"))).withColumn("c", F.explode(F.expr("sequence(_c1, _c2 - 1)")))
-    hit = covered.join(mask.select(*keys, "r", "c"), [*keys, "r", "c"], "left_semi").groupBy(*keys, *area).agg(F.count("*").alias("_hit"))
-    out = p.join(hit, [*keys, *area], "left")
+    sides = F.array(F.struct(F.col("_c1").alias("c"), F.lit(-1).alias("sign")), F.struct(F.col("_c2").alias("c"), F.lit(1).alias("sign")))
+    corners = p.filter("_r2 > _r1 AND _c2 > _c1").select(*keys, *area).distinct().withColumn("_side", F.explode(sides))
+    corners = corners.select(*keys, *area, F.col("_side.c").cast("int").alias("c"), "_side.sign").filter("c > 0")
+    seen = corners.join(prefix_columns(mask, keys, rows, cols), [*keys, "c"])
+    count = F.sum(F.col("sign") * (F.get("sums", F.col("_r2").cast("int")) - F.get("sums", F.col("_r1").cast("int"))))
+    out = p.join(seen.groupBy(*keys, *area).agg(count.alias("_hit")), [*keys, *area], "left")
     ratio = F.when((F.col("_r2") > F.col("_r1")) & (F.col("_c2") > F.col("_c1")), F.coalesce("_hit", F.lit(0)) / cells).otherwise(F.lit(0.0))
     return out.select(*patches.columns, ratio.alias("fg_ratio"))
-
-

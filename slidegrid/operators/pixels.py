@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.fixpoint import components, cut
 
@@ -36,13 +40,19 @@ def color_histogram(pixels: DataFrame, key: str, channels: list[str], bins: int
 
 
 def otsu(pixels: DataFrame, key: str, value: str = "gray", bins: int = 256) -> DataFrame:
-    """(key, threshold) that parts gray values with the most variance between; 0.5 for one value only."""
+    """(key, threshold) that parts gray values with the most variance between; 0.5 for one value only.
+
+    The range of each image comes from an aggregate of its own, so pixels are
+    only ever pre-aggregated; what is shuffled is a row a bin.
+    """
     w = Window.partitionBy(key)
-    x = pixels.select(key, F.col(value).alias("v")).withColumns({"lo": F.min("v").over(w), "hi": F.max("v").over(w)})
+    span = pixels.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    x = pixels.select(key, F.col(value).alias("v")).join(span, key)
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width)))
     h = x.groupBy(key, "lo", "hi", at.alias("bin")).agg(F.count("*").alias("n"))
     h = h.withColumn("center", F.col("lo") + (F.col("bin") + 0.5) * width)
+    # windows over the bins of an image, of which there are no more than ``bins``
     up = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = h.withColumns({"w1": F.sum("n").over(up), "s1": F.sum(F.col("n") * F.col("center")).over(up), "wt": F.sum("n").over(w), "st": F.sum(F.col("n") * F.col("center")).over(w)})
     w2 = F.col("wt") - F.col("w1")
@@ -57,34 +67,87 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(k) for x in k]
 
 
-def _along(df: DataFrame, key: str, axis: str, other: str, value: str, kernel: list[float], size: int) -> DataFrame:
-    """Weighted sum over one axis, edge values repeated: each pixel sends its value to the places that read it."""
+def _smooth(v: np.ndarray, there: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Weighted sums down, then across, over arrays that bring the kernel's reach on all sides; absent pixels count nothing."""
     r = len(kernel) // 2
-    taps = F.explode(F.array(*[F.struct(F.lit(i - r).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(kernel)]))
-    base = df.select(key, "x", "y", F.col(value).alias("_v"))
-    want = base.select(key, "x", "y", taps.alias("t")).withColumn("_s", F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(axis) + F.col("t.o"))))
-    src = base.select(key, F.col(axis).alias("_s"), F.col(other), "_v")
-    return want.join(src, [key, "_s", other]).groupBy(key, "x", "y").agg(F.sum(F.col("t.k") * F.col("_v")).alias(value))
+    n, w = v.shape[0] - 2 * r, v.shape[1] - 2 * r
+    down = sum(k * v[i : i + n] for i, k in enumerate(kernel)) * there[r : r + n]
+    return sum(k * down[:, i : i + w] for i, k in enumerate(kernel))
+
+
+def _on_tiles(pixels: DataFrame, key: str, value: str, width: int, height: int, halo: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, x, y, value): ``work`` applied to square tiles of an image, each with ``halo`` pixels round it.
+
+    ``work`` gets values, which of them are there, and the rows and columns of
+    the grid that each line of the array stands for; lines beyond the image's
+    edge are left to it. Only pixels near a tile's border are sent twice.
+    """
+    side = max(64, 4 * halo)
+    span = lambda c: F.sequence(F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side))
+    dealt = pixels.select(key, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col(value).cast("double").alias("v")).filter((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
+    dealt = dealt.withColumn("ty", F.explode(span("y"))).withColumn("tx", F.explode(span("x")))
+    dealt = dealt.filter((F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * side < height) & (F.col("tx") * side < width))
+    tiles = dealt.groupBy(key, "ty", "tx").agg(F.collect_list(F.struct("x", "y", "v")).alias("p")).select(key, "ty", "tx", "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, size = b.column(3).flatten(), b.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            x, y, v = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            made = []
+            for i, (z, n) in enumerate(zip(np.cumsum(size), size, strict=True)):
+                top, left = b.column(1)[i].as_py() * side, b.column(2)[i].as_py() * side
+                ys, xs = np.arange(top - halo, min(top + side, height) + halo), np.arange(left - halo, min(left + side, width) + halo)
+                own = slice(z - n, z)
+                at = (y[own] - ys[0], x[own] - xs[0])
+                ok = (at[0] < len(ys)) & (at[1] < len(xs))
+                at = (at[0][ok], at[1][ok])
+                full, there = np.zeros((len(ys), len(xs))), np.zeros((len(ys), len(xs)), dtype=bool)
+                full[at], there[at] = v[own][ok], True
+                out = work(full, there, ys, xs)
+                r, c = np.nonzero(there[halo : len(ys) - halo, halo : len(xs) - halo])
+                made.append((np.full(len(r), i), c + left, r + top, out[r, c]))
+            if made:
+                whose, *rest = (np.concatenate(m) for m in zip(*made, strict=True))
+                yield pa.record_batch([b.column(0).take(pa.array(whose)), *(pa.array(m) for m in rest)], [key, "x", "y", value])
+
+    schema = T.StructType([pixels.schema[key], *T.StructType.fromDDL(f"x long, y long, `{value}` double").fields])
+    out = tiles.mapInArrow(run, schema)
+    return out.select(key, *[F.col(c).cast(pixels.schema[c].dataType).alias(c) for c in ("x", "y")], value)
+
+
+def _edged(v: np.ndarray, ys: np.ndarray, xs: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Lines beyond the grid's edge as copies of the last ones on it."""
+    return v[np.clip(ys, 0, height - 1) - ys[0]][:, np.clip(xs, 0, width - 1) - xs[0]]
 
 
 def gaussian_blur(pixels: DataFrame, key: str, sigma: float, width: int, height: int, value: str = "gray") -> DataFrame:
-    kernel = gaussian_kernel(sigma)
-    return _along(_along(pixels, key, "y", "x", value, kernel, height), key, "x", "y", value, kernel, width)
+    """(key, x, y, value) smoothed along columns and rows, edge values repeated; pixels outside the grid go."""
+    kernel = np.array(gaussian_kernel(sigma))
+    return _on_tiles(pixels, key, value, width, height, len(kernel) // 2, lambda v, there, ys, xs: _smooth(*(_edged(a, ys, xs, height, width) for a in (v, there)), kernel))
+
+
+def _laplace(v: np.ndarray, ys: np.ndarray, xs: np.ndarray, height: int, width: int) -> np.ndarray:
+    """4-neighbour Laplace with mirrored edges of all but the outermost lines."""
+    mirror = lambda at, n: np.where(at < 0, -at - 1, np.where(at >= n, 2 * n - 1 - at, at))
+    rows, cols = np.clip(mirror(ys, height) - ys[0], 0, len(ys) - 1), np.clip(mirror(xs, width) - xs[0], 0, len(xs) - 1)
+    m = v[rows][:, cols]
+    return 4 * m[1:-1, 1:-1] - m[:-2, 1:-1] - m[2:, 1:-1] - m[1:-1, :-2] - m[1:-1, 2:]
 
 
 def laplace(pixels: DataFrame, key: str, width: int, height: int, value: str = "gray") -> DataFrame:
     """4-neighbour Laplace with mirrored edges."""
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for a, b, k in ((0, 0, 4.0), (-1, 0, -1.0), (1, 0, -1.0), (0, -1, -1.0), (0, 1, -1.0))]))
-    mirror = lambda c, n: F.when(c < 0, -c - 1).when(c >= n, 2 * n - 1 - c).otherwise(c)
-    want = pixels.select(key, "x", "y", o.alias("o")).withColumns({"_x": mirror(F.col("x") + F.col("o.a"), width), "_y": mirror(F.col("y") + F.col("o.b"), height)})
-    src = pixels.select(key, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).alias("_v"))
-    return want.join(src, [key, "_x", "_y"]).groupBy(key, "x", "y").agg(F.sum(F.col("o.k") * F.col("_v")).alias(value))
+    return _on_tiles(pixels, key, value, width, height, 1, lambda v, there, ys, xs: _laplace(v, ys, xs, height, width))
 
 
 def blur_scores(pixels: DataFrame, key: str, width: int, height: int, sigma: float = 2.0, pixel_t: float = 0.05, patch_t: float = 0.5) -> DataFrame:
-    """Share of pixels with little smoothed edge strength, its mean, and whether the patch passes."""
-    edge = laplace(pixels, key, width, height).withColumn("gray", F.abs("gray"))
-    soft = gaussian_blur(edge, key, sigma, width, height)
+    """Share of pixels with little smoothed edge strength, its mean, and whether the patch passes; edges and smoothing in one go."""
+    kernel = np.array(gaussian_kernel(sigma))
+
+    def work(v, there, ys, xs):
+        edge = np.abs(_laplace(v, ys, xs, height, width))
+        return _smooth(*(_edged(a, ys[1:-1], xs[1:-1], height, width) for a in (edge, there[1:-1, 1:-1])), kernel)
+
+    soft = _on_tiles(pixels, key, "gray", width, height, len(kernel) // 2 + 1, work)
     blur = F.avg(F.when(F.col("gray") <= pixel_t, 1.0).otherwise(0.0))
     return soft.groupBy(key).agg(blur.alias("blur"), F.avg("gray").alias("sharp")).withColumn("passed", F.col("blur") <= patch_t)
 

@@ -74,7 +74,11 @@ def _(spark, d):
     return P.gaussian_blur(X.images(spark, d), "img", 1.0, 8, 8).select("img", "x", "y", micro(F.col("gray")).alias("gray"))
 
 
-@_add("h13_blur_scores")
+_MIRROR = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) - 1 WHEN {c} >= 8 THEN 15 - ({c}) ELSE {c} END"
+_EDGE = f"n AS (SELECT * FROM (VALUES (0, 0, 4.0), (-1, 0, -1.0), (1, 0, -1.0), (0, -1, -1.0), (0, 1, -1.0)) t(dx, dy, w)), ed AS (SELECT a.img, a.x, a.y, abs(sum(CAST(n.w AS DOUBLE) * b.gray)) AS gray FROM p a, n JOIN p b ON b.img = a.img AND b.x = {_MIRROR('a.x + n.dx')} AND b.y = {_MIRROR('a.y + n.dy')} GROUP BY 1, 2, 3)"
+
+
+@_add("h13_blur_scores", _P.rstrip() + f", {_TAPS}, {_EDGE}, {_BLUR('ed')} SELECT img, " + _M("avg(CASE WHEN gray <= 0.25 THEN 1.0 ELSE 0.0 END)", "blur") + ", " + _M("avg(gray)", "sharp") + ", avg(CASE WHEN gray <= 0.25 THEN 1.0 ELSE 0.0 END) <= 0.5 AS passed FROM v2 GROUP BY 1")
 def _(spark, d):
     s = P.blur_scores(X.images(spark, d), "img", 8, 8, 1.0, 0.25, 0.5)
     return s.select("img", micro(F.col("blur")).alias("blur"), micro(F.col("sharp")).alias("sharp"), "passed")
