@@ -162,11 +162,19 @@ def downsample(pixels: DataFrame, keys: list[str], factor: int, values: list[str
     return pixels.groupBy(*keys, block("x"), block("y")).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def largest_cluster(labels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """The cluster with most points, noise (-1) left out, the lowest label winning a tie."""
-    n = labels.filter(F.col(label) >= 0).groupBy(*keys, label).agg(F.count("*").alias("n"))
+def largest_cluster(labels: DataFrame, keys: list[str], label: str = "label", strict: bool = False) -> DataFrame:
+    """The cluster with most points, noise (-1) left out, the lowest label winning a tie.
+
+    A group of noise only has a null label and 0 points; with ``strict`` it is
+    an error.
+    """
+    named = F.when(F.col(label) >= 0, F.col(label))
+    n = labels.groupBy(*keys, named.alias(label)).agg(F.count(named).alias("n"))
     pick = F.max_by(F.struct(label, "n"), F.struct("n", -F.col(label))).alias("_p")
-    return (n.groupBy(*keys) if keys else n.groupBy()).agg(pick).select(*keys, "_p.*")
+    out = (n.groupBy(*keys) if keys else n.groupBy()).agg(pick).select(*keys, "_p.*").filter("n IS NOT NULL")
+    if strict:
+        out = out.withColumn("n", F.when(F.col("n") == 0, F.raise_error(F.lit("a group holds noise only")).cast("long")).otherwise(F.col("n")))
+    return out
 
 
 def cluster_centers(points: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
@@ -188,19 +196,48 @@ def assign_nearest(points: DataFrame, centers: DataFrame, keys: list[str], dims:
     return points.join(packed, keys).withColumn(cluster, near[cluster]).drop("_c")
 
 
-def kmeans_groups(points: DataFrame, keys: list[str], dims: list[str], k: int, rounds: int = 5) -> DataFrame:
-    """Lloyd rounds for all groups at once from pinned centres: evenly spaced points in the order of the dims."""
-    w = Window.partitionBy(*keys).orderBy(*dims)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = points.withColumns({"_n": F.row_number().over(w) - 1, "_all": n})
-    step = F.greatest(F.lit(1), F.floor((F.col("_all") - 1) / max(1, k - 1)))
-    start = ranked.filter((F.col("_n") % step == 0) & (F.floor(F.col("_n") / step) < k))
-    centers = cut(start.select(*keys, F.floor(F.col("_n") / step).cast("int").alias("cluster"), *dims))
+def _first_centers(points: DataFrame, keys: list[str], dims: list[str], ks: list[int]) -> DataFrame:
+    """(keys, k, cluster, dims): for each k, places spread evenly between the least and the largest value of every dimension."""
+    span = points.groupBy(*keys).agg(*[f(d).alias(f"_{n}{d}") for d in dims for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    spread = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(j).alias("cluster"), F.lit((2 * j + 1) / (2 * k)).alias("at")) for k in ks for j in range(k)]))
+    span = span.withColumn("_c", spread)
+    return span.select(*keys, "_c.k", "_c.cluster", *[F.round(F.col(f"_lo{d}") + (F.col(f"_hi{d}") - F.col(f"_lo{d}")) * F.col("_c.at"), 9).alias(d) for d in dims])
+
+
+def _distance(c: Column, dims: list[str]) -> Column:
+    return sum(((F.col(d) - c[d]) * (F.col(d) - c[d]) for d in dims[1:]), (F.col(dims[0]) - c[dims[0]]) * (F.col(dims[0]) - c[dims[0]]))
+
+
+def _nearest_of_each(points: DataFrame, centers: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """``points`` with, for every k, the nearest centre as k and cluster; one pass whatever the number of ks."""
+    packed = centers.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("cluster", *dims))).alias("c"))
+    packed = packed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("_k"))
+    nearest = lambda c: F.struct(_distance(c, dims).alias("d"), c["cluster"].alias("cluster"))
+    best = F.transform("_k", lambda s: F.struct(s["k"].alias("k"), F.array_min(F.transform(s["c"], nearest))["cluster"].alias("cluster")))
+    rest = [c for c in points.columns if c not in ("k", "cluster")]
+    return points.join(packed, keys).select(*rest, F.explode(best).alias("_b")).select(*rest, "_b.k", "_b.cluster")
+
+
+def lloyd(points: DataFrame, keys: list[str], dims: list[str], ks: list[int], rounds: int = 5) -> DataFrame:
+    """(keys, k, cluster, dims): k-means centres of all groups and all ``ks`` at once.
+
+    First centres come from one mergeable aggregate, so points are never
+    sorted. A centre without a point stays where it is; centres are rounded to
+    nine places, so that the order of sums does not show.
+    """
+    centers = cut(_first_centers(points, keys, dims, ks))
+    at = [*keys, "k", "cluster"]
     for _ in range(rounds):
-        centers = cut(cluster_centers(assign_nearest(points, centers, keys, dims), [*keys, "cluster"], dims))
+        new = cluster_centers(_nearest_of_each(points, centers, keys, dims), at, dims).select(*at, *[F.round(d, 9).alias(f"_{d}") for d in dims])
+        centers = cut(centers.join(new, at, "left").select(*at, *[F.coalesce(f"_{d}", d).alias(d) for d in dims]))
     return centers
 
 
+def kmeans_groups(points: DataFrame, keys: list[str], dims: list[str], k: int, rounds: int = 5) -> DataFrame:
+    """(keys, cluster, dims): k-means centres of all groups at once, by ``lloyd``."""
+    return lloyd(points, keys, dims, [k], rounds).drop("k")
+
+
 def segment_background(pixels: DataFrame, slide: str, region: str, dims: list[str], k: int = 2, rounds: int = 5) -> DataFrame:
     """Foreground share of each region.
 
@@ -237,31 +274,82 @@ def silhouette(points: DataFrame, keys: list[str], dims: list[str], cluster: str
 
 
 def auto_k(points: DataFrame, keys: list[str], dims: list[str], ks: range = range(2, 6), rounds: int = 5) -> DataFrame:
-    """The k with the best silhouette for each group, the least winning a tie."""
-    scored = None
-    for k in ks:
-        s = silhouette(assign_nearest(points, kmeans_groups(points, keys, dims, k, rounds), keys, dims), keys, dims).withColumn("k", F.lit(k))
-        scored = s if scored is None else scored.unionByName(s)
+    """The k with the best silhouette for each group, the least winning a tie; all ks share every pass over the points."""
+    named = _nearest_of_each(points, lloyd(points, keys, dims, list(ks), rounds), keys, dims)
+    scored = silhouette(named, [*keys, "k"], dims)
     return scored.groupBy(*keys).agg(F.max_by("k", F.struct(F.round("silhouette", 9), -F.col("k"))).alias("k"))
 
 
+#: Steps to the cells that may hold a point within the diagonal of a cell.
+_ROUND = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if abs(a * b) < 4]
+#: Parts of a cell's side for which one point each stands first when cells are held against each other.
+_PARTS = 16
+
+
+def _beside(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Each row once for every step, with the cell that the step leads to as bx, by and its own as ax, ay."""
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
+    rest = [c for c in df.columns if c not in ("bx", "by")]
+    return df.withColumn("_o", step).select(*rest, F.col("bx").alias("ax"), F.col("by").alias("ay"), (F.col("bx") + F.col("_o.a")).alias("bx"), (F.col("by") + F.col("_o.b")).alias("by"))
+
+
+def _within(eps: float) -> Column:
+    return (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= eps * eps
+
+
+def _linked_cells(core: DataFrame, keys: list[str], eps: float, side: float) -> DataFrame:
+    """(keys, ax, ay, bx, by): pairs of cells with core points within eps of each other.
+
+    First one point for each part of a cell is held against those of the cell
+    beside it. Pairs that this leaves open look at all points, but only of
+    parts that lie near enough.
+    """
+    pair = [*keys, "ax", "ay", "bx", "by"]
+    fine = side / _PARTS
+    parts = core.withColumns({"px": F.floor(F.col("x") / fine), "py": F.floor(F.col("y") / fine)})
+    one = parts.groupBy(*keys, "bx", "by", "px", "py").agg(F.min(F.struct("i", "x", "y")).alias("p")).select(*keys, "bx", "by", "px", "py", "p.x", "p.y")
+    second = lambda df: df.withColumnsRenamed({"px": "px2", "py": "py2", "x": "x2", "y": "y2"})
+    gap = lambda c: F.greatest(F.lit(0), F.abs(F.col(f"p{c}") - F.col(f"p{c}2")) - 1) * fine
+    forward = [o for o in _ROUND if o > (0, 0)]
+    may = _beside(one, forward).join(second(one), [*keys, "bx", "by"]).filter(gap("x") * gap("x") + gap("y") * gap("y") <= eps * eps * (1 + 1e-9))
+    may = cut(may.withColumn("close", _within(eps)).select(*pair, "px", "py", "px2", "py2", "close"))
+    linked = may.groupBy(*pair).agg(F.bool_or("close").alias("close"))
+    unsure = may.join(linked.filter("NOT close"), pair, "left_semi").drop("close")
+    left = parts.select(*keys, F.col("bx").alias("ax"), F.col("by").alias("ay"), "px", "py", "x", "y")
+    right = second(parts.select(*keys, "bx", "by", "px", "py", "x", "y"))
+    late = unsure.join(left, [*keys, "ax", "ay", "px", "py"]).join(right, [*keys, "bx", "by", "px2", "py2"]).filter(_within(eps)).select(*pair)
+    return linked.filter("close").select(*pair).unionByName(late).distinct()
+
+
 def density_clusters(points: DataFrame, keys: list[str], ident: str, eps: float, min_pts: int, min_size: int) -> DataFrame:
     """Clusters of core points within eps of each other, with the points they reach; the rest is noise (-1).
 
-    Points meet in square bins of side eps; a point of a cluster below
-    ``min_size`` is noise too. A border point joins its least core neighbour.
+    Points lie in cells whose diagonal is eps, so all points of a cell are
+    within eps of each other: a cell of ``min_pts`` points or more holds core
+    points only, by a count, and the core points of any cell are one cluster.
+    Only points of sparser cells are held against the points of cells round
+    them; cells are linked by one pair of core points. A point of a cluster
+    below ``min_size`` is noise too; a border point joins its least core
+    neighbour. A cluster has the least id of its core points.
     """
-    p = points.select(*keys, F.col(ident).cast("long").alias("i"), "x", "y").withColumns({"bx": F.floor(F.col("x") / eps), "by": F.floor(F.col("y") / eps)})
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    q = p.withColumn("o", o).select(*keys, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("bx") + F.col("o.a")).alias("bx"), (F.col("by") + F.col("o.b")).alias("by"))
-    near = p.join(q, [*keys, "bx", "by"]).filter((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= eps * eps)
-    near = cut(near.select(*keys, "i", "j"))
-    core = near.groupBy(*keys, "i").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pts).select(*keys, "i")
-    links = near.join(core, [*keys, "i"]).join(core.withColumnRenamed("i", "j"), [*keys, "j"])
-    root = components(links, keys, "i", "j").withColumnRenamed("node", "j")
-    reach = near.join(root, [*keys, "j"])
-    own = F.min_by("root", F.struct(F.col("i") != F.col("j"), F.col("j")))
-    named = reach.groupBy(*keys, "i").agg(own.alias("cluster"))
+    side = eps / math.sqrt(2) * (1 - 1e-12)
+    cell = [*keys, "bx", "by"]
+    p = points.select(*keys, F.col(ident).cast("long").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = p.withColumns({"bx": F.floor(F.col("x") / side), "by": F.floor(F.col("y") / side)})
+    p = cut(p.join(p.groupBy(*cell).agg((F.count("*") >= min_pts).alias("sure")), cell))
+    # fewer than min_pts points of a sparse cell meet those round them
+    other = p.select(*cell, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    met = cut(_beside(p.filter("NOT sure").drop("sure"), _ROUND).join(other, cell).filter(_within(eps)).select(*keys, "i", "j"))
+    sparse_core = met.groupBy(*keys, "i").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pts)
+    core = cut(p.filter("sure").unionByName(p.filter("NOT sure").join(sparse_core, [*keys, "i"], "left_semi").select(*p.columns)).drop("sure"))
+    first = cut(core.groupBy(*cell).agg(F.min("i").alias("first")))
+    a = first.select(*keys, F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("first").alias("a"))
+    edges = _linked_cells(core, keys, eps, side).join(a, [*keys, "ax", "ay"]).join(first.withColumnRenamed("first", "b"), cell).select(*keys, "a", "b")
+    root = components(edges, keys).select(*keys, F.col("node").alias("first"), "root")
+    rooted = first.join(root, [*keys, "first"], "left").select(*cell, F.coalesce("root", "first").alias("cluster"))
+    own = core.join(rooted, cell).select(*keys, "i", "cluster")
+    border = met.join(core.select(*keys, "i"), [*keys, "i"], "left_anti").join(own.withColumnRenamed("i", "j"), [*keys, "j"])
+    named = own.unionByName(border.groupBy(*keys, "i").agg(F.min_by("cluster", "j").alias("cluster")))
     big = named.groupBy(*keys, "cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
     named = named.join(big, [*keys, "cluster"], "left_semi")
     return p.select(*keys, "i").join(named, [*keys, "i"], "left").select(*keys, F.col("i").alias(ident), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -113,21 +113,51 @@ def _(spark, d):
     return P.assign_nearest(v, c, ["all"], ["x", "y", "z"]).select("vec_id", "cluster")
 
 
-@_add("d14_silhouette")
+_D2 = "({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y) + ({a}.z - {b}.z) * ({a}.z - {b}.z)".format
+
+
+def _means(name: str, src: str, k: int, rounds: int) -> str:
+    """Centres of k clusters of every g of ``src`` (g, i, x, y, z), and each point's nearest, round by round."""
+    first = ", ".join(f"round(min({c}) + (max({c}) - min({c})) * ((2 * j + 1) / {2.0 * k}), 9) AS {c}" for c in "xyz")
+    new, old = (", ".join(f.format(c=c) for c in "xyz") for f in ("round(avg({c}), 9) AS {c}", "coalesce(n.{c}, c.{c})"))
+    return f"""{name}(it, g, cluster, x, y, z) AS (SELECT 0, g, j, {first.replace("2 * j + 1", "2 * any_value(j) + 1")} FROM {src}, (SELECT unnest(range(0, {k})) AS j) GROUP BY g, j
+  UNION ALL SELECT c.it + 1, c.g, c.cluster, {old} FROM {name} c LEFT JOIN (
+    SELECT g, cluster, {new} FROM (SELECT e.i, any_value(e.g) AS g, any_value(e.x) AS x, any_value(e.y) AS y, any_value(e.z) AS z, arg_min(m.cluster, ({_D2(a='e', b='m')}, m.cluster)) AS cluster FROM {src} e JOIN {name} m ON m.g = e.g GROUP BY e.i) GROUP BY g, cluster) n
+    ON n.g = c.g AND n.cluster = c.cluster WHERE c.it < {rounds}),
+ {name}_at AS (SELECT e.i, any_value(e.g) AS g, arg_min(m.cluster, ({_D2(a='e', b='m')}, m.cluster)) AS cluster FROM {src} e JOIN {name} m ON m.g = e.g AND m.it = {rounds} GROUP BY e.i)"""
+
+
+def _silhouettes(name: str, src: str) -> str:
+    """Mean silhouette of every g of ``src`` (g, i, cluster, x, y, z), from all pairs."""
+    return f"""{name} AS (SELECT g, avg(CASE WHEN own_n <= 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS s FROM (
+   SELECT g, i, max(CASE WHEN own THEN n END) AS own_n, max(CASE WHEN own AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN NOT own THEN t / n END) AS b FROM (
+     SELECT p.g, p.i, p.cluster = q.cluster AS own, q.cluster, sum({_D2(a='p', b='q')}) AS t, count(*) AS n FROM {src} p JOIN {src} q ON p.g = q.g GROUP BY p.g, p.i, p.cluster, q.cluster) GROUP BY g, i) GROUP BY g)"""
+
+
+@_add("d14_silhouette", _E.rstrip() + ", v AS (SELECT vec_id % 3 AS g, vec_id AS i, grp AS cluster, x, y, z FROM e), " + _silhouettes("s", "v") + " SELECT g, " + _M("s", "silhouette") + " FROM s")
 def _(spark, d):
     v = vectors(spark, d).withColumns({"g": F.col("vec_id") % 3, "cluster": F.col("grp")})
     return P.silhouette(v, ["g"], ["x", "y", "z"]).select("g", micro(F.col("silhouette")).alias("silhouette"))
 
 
-@_add("h14_segment_background")
+@_add("h14_segment_background", _E.replace("WITH", "WITH RECURSIVE").rstrip() + f""", whole AS (SELECT grp AS g, vec_id AS i, x, y, z FROM e), part AS (SELECT grp * 4 + vec_id % 4 AS g, vec_id AS i, x, y, z FROM e),
+ {_means("w", "whole", 2, 5)}, {_means("o", "part", 2, 5)},
+ big AS (SELECT g, arg_max(cluster, (n, -cluster)) AS cluster FROM (SELECT g, cluster, count(*) AS n FROM w_at GROUP BY 1, 2) GROUP BY 1),
+ back AS (SELECT w.* FROM w JOIN big USING (g, cluster) WHERE it = 5),
+ near AS (SELECT o.g, arg_min(o.cluster, ({_D2(a='o', b='back')}, o.cluster)) AS cluster FROM o JOIN back ON back.g = floor(o.g / 4.0) WHERE o.it = 5 GROUP BY 1)
+ SELECT CAST(floor(a.g / 4.0) AS BIGINT) AS grp, a.g % 4 AS region, """ + _M("avg(CASE WHEN a.cluster <> near.cluster THEN 1.0 ELSE 0.0 END)", "fg_ratio") + ", count(*) AS n_pixels FROM o_at a JOIN near USING (g) GROUP BY a.g")
 def _(spark, d):
     v = vectors(spark, d).withColumn("region", F.col("vec_id") % 4)
     return P.segment_background(v, "grp", "region", ["x", "y", "z"]).select("grp", "region", micro(F.col("fg_ratio")).alias("fg_ratio"), "n_pixels")
 
 
-@_add("h15_auto_k")
+_KS = (2, 3)
+
+
+@_add("h15_auto_k", _E.replace("WITH", "WITH RECURSIVE").rstrip() + ", v AS (SELECT grp AS g, vec_id AS i, x, y, z FROM e), " + ", ".join(f"{_means(f'm{k}', 'v', k, 2)}, v{k} AS (SELECT v.*, cluster FROM v JOIN m{k}_at USING (i)), {_silhouettes(f's{k}', f'v{k}')}" for k in _KS)
+    + " SELECT g AS grp, arg_max(k, (round(s, 9), -k)) AS k FROM (" + " UNION ALL ".join(f"SELECT g, {k} AS k, s FROM s{k}" for k in _KS) + ") GROUP BY 1")
 def _(spark, d):
-    return P.auto_k(vectors(spark, d), ["grp"], ["x", "y", "z"], range(2, 4), 2)
+    return P.auto_k(vectors(spark, d), ["grp"], ["x", "y", "z"], _KS, 2)
 
 
 _DB = f"""n AS (SELECT a.grp, a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.grp = b.grp AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0025),
