@@ -21,33 +21,46 @@ def strip_fence(c: Column) -> Column:
     return F.when(c.rlike(r"(?s)(?:\A|\n)```[^\n]*\n"), F.trim(F.regexp_extract(c, _FENCE, 1))).otherwise(F.trim(c))
 
 
+def whole_object(c: Column) -> Column:
+    """The variant of a text that is one JSON object and nothing else, else null.
+
+    A parser stops after the first value. The text is therefore read as a
+    member of a larger object, followed by a key that only its own hash can
+    name: it is whole only if that key comes right after it.
+    """
+    key = F.md5(c)
+    members = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit(',"'), key, F.lit('":0}'))), "$", "map<string,variant>")
+    return F.when(c.startswith("{") & (F.size(members) == 2) & F.try_element_at(members, key).isNotNull(), F.try_element_at(members, F.lit("x")))
+
+
 def relaxed_object(text: str | None) -> str | None:
-    """The first JSON object that parses, from the whole text or any opening brace."""
+    """The first JSON object that parses, from the whole text or any opening brace; numbers that JSON lacks are null."""
     if not text:
         return None
-    decoder = json.JSONDecoder()
+    decoder = json.JSONDecoder(parse_constant=lambda _: None)
     at = text.find("{")
     while at >= 0:
         try:
-            return json.dumps(decoder.raw_decode(text, at)[0], sort_keys=True)
+            return json.dumps(decoder.raw_decode(text, at)[0], ensure_ascii=False)
         except ValueError:
             at = text.find("{", at + 1)
+        except RecursionError:
+            return None
     return None
 
 
 def parse_relaxed_json(df: DataFrame, col: str = "text", out: str = "parsed") -> DataFrame:
-    """``out`` holds a JSON object or null; only rows that do not parse at once go to Python."""
-    whole = strip_fence(F.col(col))
-    ok = F.try_parse_json(whole).isNotNull() & F.coalesce(whole.startswith("{"), F.lit(False))
-    marked = df.withColumn(out, F.when(ok, whole))
-    fast = marked.filter(F.col(out).isNotNull() | ~F.coalesce(F.col(col).contains("{"), F.lit(False)))
-    rest = marked.filter(F.col(out).isNull() & F.coalesce(F.col(col).contains("{"), F.lit(False)))
+    """``out`` holds a JSON object or null, with sorted keys and no spaces; only rows that are not one object as they stand go to Python."""
+    made = df.withColumn(out, F.to_json(whole_object(strip_fence(F.col(col)))))
+    open_ = F.col(out).isNull() & F.coalesce(F.col(col).contains("{"), F.lit(False))
+    rest = made.filter(open_)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(**{out: b[col].map(relaxed_object)})
 
-    return fast.unionByName(rest.mapInPandas(scan, marked.schema))
+    found = rest.mapInPandas(scan, made.schema).withColumn(out, F.to_json(F.try_parse_json(out)))
+    return made.filter(~open_).unionByName(found)
 
 
 _SPACE = " \t\n\r\f\x0b"
@@ -77,8 +90,13 @@ def parse_class_response(df: DataFrame, allowed: list[str], col: str = "text") -
     known = F.array(*[canonical_label(F.lit(a)) for a in allowed]) if allowed else F.array(*map(F.lit, sorted(set(CLASS_ALIASES.values()))))
     body = F.btrim(F.replace(F.replace(F.coalesce(F.col(col), F.lit("")), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")), F.lit(_SPACE))
     out = df.withColumn("_body", body).withColumn("_low", F.lower("_body"))
-    is_json = F.coalesce(F.try_parse_json("_body").isNotNull() & F.col("_body").startswith("{"), F.lit(False))
-    entries = F.map_entries(F.when(is_json, F.from_json("_body", "map<string,string>")))
+    # one parse: an object is whole if the key that is put in before its last brace comes last
+    mark = F.md5("_body")
+    out = out.withColumn("_m", F.when(F.col("_body").startswith("{") & F.col("_body").endswith("}"), F.from_json(F.concat(F.expr("left(_body, length(_body) - 1)"), F.lit(',"'), mark, F.lit('":""}')), "map<string,string>", {"allowSingleQuotes": "false"})))
+    out = out.withColumn("_all", F.map_entries("_m"))
+    whole = F.get("_all", F.size("_all") - 1)["key"] == mark
+    is_json = F.coalesce(whole, F.lit(False)) | F.rlike("_body", F.lit(r"\A\{\s*\}\z"))
+    entries = F.when(F.coalesce(whole, F.lit(False)), F.slice("_all", F.lit(1), F.greatest(F.size("_all") - 1, F.lit(0))))
     value = lambda e: F.coalesce(e.value, F.lit("None"))
     read = F.transform(entries, lambda e, i: F.struct(i.alias("i"), F.lower(e.key).alias("key"), canonical_label(value(e)).alias("cls"), canonical_quality(value(e)).alias("quality")))
     out = out.withColumns({"_json": is_json, "_e": read})
@@ -101,7 +119,7 @@ def parse_class_response(df: DataFrame, allowed: list[str], col: str = "text") -
     quality = F.coalesce("_quality", F.nullif(canonical_quality(_said(F.col("_body"), "quality")), blank), F.nullif(canonical_quality(F.col("_low")), blank), F.lit("NA"))
     out = out.withColumns({"label": label, "error": F.when(F.col("_json") & F.col("_cls").isNull(), "json_without_class")})
     out = out.withColumn("quality", F.when(F.col("label") == "tissue", quality).otherwise("NA"))
-    return out.drop("_body", "_low", "_json", "_e", "_at", "_cls", "_quality")
+    return out.drop("_body", "_low", "_json", "_e", "_at", "_cls", "_quality", "_m", "_all")
 
 
 _PREDICTIONS = "struct<predictions:array<struct<id:string,class:string,quality:string>>>"

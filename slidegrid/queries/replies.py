@@ -58,13 +58,34 @@ def _(spark, d):
     return X.replies(spark, d).select("event_id", P.strip_fence(F.col("text")).alias("body"))
 
 
-@_add("i2_parse_relaxed_json", _Q + "SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{\"class\":\"', event_type, '\",\"quality\":\"Sharp\"}') WHEN 1 THEN concat('{\"label_class\":\"', upper(event_type), '\"}') END AS parsed FROM q")
+#: Replies with the object that must be read from each; @ is the event's type, ~ a line break.
+_OBJECTS = (
+    ('{"quality": "Sharp", "class":"@"}', '{"class":"@","quality":"Sharp"}'),
+    ('```json~{"label_class":"@"}~```', '{"label_class":"@"}'),
+    ('{"class":"@","quality":"sharp"} hope this helps', '{"class":"@","quality":"sharp"}'),
+    ('{"a":1}{"b":2}', '{"a":1}'),
+    ('Sure: {"class" : "@", "n": [1, {"m": null}]} and {"more": 1}', '{"class":"@","n":[1,{"m":null}]}'),
+    ('{"class":"@"} }', '{"class":"@"}'),
+    ('{"class":"@"}, "quality": {"x": 1}', '{"class":"@"}'),
+    ("I think this is @", None),
+    ("", None),
+    ('{"predictions": [', None),
+    ('{broken {"inner":"@ {"}', '{"inner":"@ {"}'),
+    ('["@"]', None),
+    ("{}", "{}"),
+    ("{} {}", "{}"),
+)
+_OBJECT = f"replace(replace({_pick([t for t, _ in _OBJECTS], 'event_id')}, '@', event_type), '~', chr(10))"
+_READ = " ".join(f"WHEN {i} THEN '{w}'" for i, (_, w) in enumerate(_OBJECTS) if w is not None)
+
+
+@_add("i2_parse_relaxed_json", f"SELECT event_id, replace(CASE event_id % {len(_OBJECTS)} {_READ} END, '@', event_type) AS parsed FROM events")
 def _(spark, d):
-    return P.parse_relaxed_json(X.replies(spark, d)).select("event_id", "parsed")
+    return P.parse_relaxed_json(X.table(spark, d, "events").selectExpr("event_id", f"{_OBJECT} AS text")).select("event_id", "parsed")
 
 
 _ALLOW = ["tissue", "background", "pen_ink_marks"]
-#: Replies of every shape, with the class and quality that each must give; @ is the class it speaks of.
+#: Replies of every shape, with the class and quality that each must give; @ is the class it speaks of, ^ a single quote.
 _SHAPES = (
     ('{"class":"@","quality":"Sharp"}', "@", "Sharp"),
     ('```json~{"label_class":" @ ","Image Quality":"oof"}~```', "@", "Out of Focus"),
@@ -79,9 +100,13 @@ _SHAPES = (
     ('["@"]', "@", "NA"),
     ('{"quality":"sharp","confidence":0.9}', "unknown", "NA"),
     ('{"class":null,"quality":"sharp"}', "unknown", "NA"),
+    ('{"class":"@","quality":"sharp"} hope this helps', "@", "NA"),
+    ('{"a":1}{"b":2}', "unknown", "NA"),
+    ("{^class^:^@^,^quality^:^sharp^}", "@", "NA"),
+    ('{"class":"@"} quality: oof }', "@", "Out of Focus"),
 )
 _CLS = "CASE event_type WHEN 'click' THEN 'tissue' WHEN 'view' THEN 'background' WHEN 'purchase' THEN 'pen_ink_marks' ELSE event_type END"
-_SHAPED_COLUMNS = ("event_id", f"{_CLS} AS cls", f"replace(replace({_pick([t for t, _, _ in _SHAPES], 'event_id')}, '@', {_CLS}), '~', chr(10)) AS text")
+_SHAPED_COLUMNS = ("event_id", f"{_CLS} AS cls", f"replace(replace(replace({_pick([t for t, _, _ in _SHAPES], 'event_id')}, '@', {_CLS}), '~', chr(10)), '^', chr(39)) AS text")
 _SHAPED = f"SELECT {', '.join(_SHAPED_COLUMNS)} FROM events"
 _I3 = f"SELECT event_id, cls, replace({_pick([c for _, c, _ in _SHAPES], 'event_id')}, '@', CASE WHEN cls IN {tuple(_ALLOW)!r} THEN cls ELSE 'unknown' END) AS label, {_pick([q for _, _, q in _SHAPES], 'event_id')} AS q FROM ({_SHAPED})"
 
