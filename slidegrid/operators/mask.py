@@ -159,12 +159,17 @@ def mask_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
     return b.join(a, at, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, at, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def mask_delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Areas before and after, and cells added and removed."""
+def mask_delta(before: DataFrame, after: DataFrame, keys: list[str], small: int = 3, connectivity: int = 4, size: int | None = None) -> DataFrame:
+    """Areas and components before and after, cells added and removed, and the components below ``small`` cells that cleaning takes away."""
     at = [*keys, "r", "c"]
     both = before.select(*at, F.lit(1).alias("_a")).join(after.select(*at, F.lit(1).alias("_b")), at, "full_outer")
     one = lambda c: F.count(c)
-    return both.groupBy(*keys).agg(one("_a").alias("before_cells"), one("_b").alias("after_cells"), F.count_if(F.col("_a").isNull()).alias("added"), F.count_if(F.col("_b").isNull()).alias("removed"))
+    areas = both.groupBy(*keys).agg(one("_a").alias("before_cells"), one("_b").alias("after_cells"), F.count_if(F.col("_a").isNull()).alias("added"), F.count_if(F.col("_b").isNull()).alias("removed"))
+    sizes = lambda m: _totals(*_labelled(m, keys, connectivity, size), keys)
+    tiny = F.col("n") < small
+    old = sizes(before).groupBy(*keys).agg(F.count("*").alias("components_before"), F.count_if(tiny).alias("small_components"), F.sum(F.when(tiny, F.col("n"))).alias("small_cells"))
+    new = sizes(after).groupBy(*keys).agg(F.count("*").alias("components_after"))
+    return areas.join(old, keys, "left").join(new, keys, "left").fillna(0, ["components_before", "components_after", "small_components", "small_cells"])
 
 
 def apply_mask(maps: DataFrame, mask: DataFrame, keys: list[str], tissue: int, background: int, na: int) -> DataFrame:

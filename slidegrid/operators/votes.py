@@ -74,7 +74,24 @@ def expand_variants(df: DataFrame, shuffles: int, rotations: tuple[int, ...], se
     return out.withColumn("rank_key", F.when(F.col("shuffle") == 0, F.lit("")).otherwise(seeded))
 
 
-def progress_summary(df: DataFrame, kept: Column, resumed: Column) -> DataFrame:
-    """Counts of a run and its percentage; 100 where nothing is kept."""
-    k, done = F.count_if(kept), F.count_if(kept & F.col("label").isNotNull())
-    return df.agg(k.alias("kept"), F.count_if(~kept).alias("skipped"), done.alias("done"), F.count_if(kept & resumed).alias("resumed"), F.count_if(kept & ~resumed).alias("new"), F.when(k == 0, 100.0).otherwise(100.0 * done / k).alias("percent"))
+def pace(done: Column, open_: Column, first: Column, last: Column) -> dict[str, Column]:
+    """Rows a second between two times and the seconds that the open ones will take; 0 where no time has passed or nothing was done."""
+    seconds = last.cast("double") - first.cast("double")
+    rate = F.coalesce(F.when(seconds > 0, done / seconds), F.lit(0.0))
+    return {"rate": rate, "eta_seconds": F.when(rate > 0, open_ / rate).otherwise(0.0)}
+
+
+def progress_summary(df: DataFrame, kept: Column, resumed: Column, finished: Column | None = None, started: Column | None = None) -> DataFrame:
+    """Counts of a run and its percentage; 100 where nothing is kept.
+
+    With the time at which each row was finished, also the rate of new rows
+    since ``started`` (without it, since the first of them) and the seconds
+    left for those that are kept and not done.
+    """
+    k, ready = F.count_if(kept), kept & F.col("label").isNotNull()
+    done, fresh = F.count_if(ready), ready & ~resumed
+    out = {"kept": k, "skipped": F.count_if(~kept), "done": done, "resumed": F.count_if(kept & resumed), "new": F.count_if(kept & ~resumed), "percent": F.when(k == 0, 100.0).otherwise(100.0 * done / k)}
+    if finished is not None:
+        time = F.when(fresh, finished.cast("timestamp"))
+        out |= pace(F.count_if(fresh), F.count_if(kept & ~resumed & ~ready), F.min(time if started is None else started.cast("timestamp")), F.max(time))
+    return df.agg(*[v.alias(n) for n, v in out.items()])

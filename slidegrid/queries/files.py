@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import shared_folder
 from ..sources import files as S
-from ..streaming import stream_patch_results, stream_review_summary
+from ..streaming import latest_progress, stream_patch_results, stream_progress, stream_review_summary
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -129,3 +129,98 @@ def _(spark, d):
         some.unionByName(some).write.mode("append").parquet(f"{path}/in")
         stream_patch_results(spark, f"{path}/in", e.schema, f"{path}/out", f"{path}/state", ["event_id"], "ts").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("event_id", "event_type")
+
+
+def _a_file_each(rows, path: str, folders: list[str]) -> None:
+    """Rows of (folders, value) as one text file a folder."""
+    rows.repartition(*folders).write.partitionBy(*folders).text(path)
+
+
+_REGIONS = f"SELECT *, CAST(floor(slide / 16.0) AS BIGINT) AS case_no, idx % 4 AS form FROM ({X.BOXES})"
+
+
+@_add("a4_read_regions", f"SELECT case_no, form, CAST(row_number() OVER (PARTITION BY case_no, form ORDER BY slide, idx) - 1 AS INT) AS region, x1, y1, x2, y2, CASE WHEN form IN (0, 2) THEN 'r' END AS label FROM ({_REGIONS})")
+def _(spark, d):
+    path = folder(spark)
+    b = X.boxes(spark, d).withColumns({"case_no": F.floor(F.col("slide") / 16.0), "form": F.col("idx") % 4})
+    nums = F.concat(F.lit("["), F.concat_ws(",", "x1", "y1", "x2", "y2"), F.lit("]"))
+    forms = ('{"label":"r","bbox_level0":', "", '{"label":"r","box_2d":', '{"bbox":')
+    one = F.concat(_pick(F.col("form").cast("int"), *forms), nums, F.when(F.col("form") != 1, "}").otherwise(""))
+    # a file holds the regions of a case in one of the four forms: bare lists, or objects in a list or under a name
+    whole = b.groupBy("case_no", "form").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slide", "idx", one.alias("js")))), lambda x: x.js), ",").alias("js"))
+    named = F.col("form") % 3 == 0
+    text = F.concat(F.when(named, '{"detected_regions":[').otherwise("["), "js", F.when(named, "]}").otherwise("]"))
+    _a_file_each(whole.select("case_no", "form", text.alias("value")), path, ["case_no", "form"])
+    out = S.read_regions(spark, path)
+    at = {k: F.regexp_extract("path", rf"{k}=(\d+)", 1).cast("long").alias(k) for k in ("case_no", "form")}
+    return out.select(*at.values(), "region", *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], "label")
+
+
+_POINTS = "SELECT *, CASE user_id % 4 WHEN 0 THEN 'root' WHEN 1 THEN 'both' WHEN 2 THEN 'turned' ELSE 'legacy' END AS files FROM events"
+
+
+@_add("a5_read_points", f"SELECT CAST(user_id % 64 AS BIGINT) AS case_no, CASE WHEN files = 'turned' THEN 'rotation' ELSE 'root' END AS source, CASE WHEN files = 'legacy' THEN 'foreground' ELSE lower(event_type) END AS label, CAST(event_id % 50 AS BIGINT) AS x, CAST(event_id % 70 AS BIGINT) AS y FROM ({_POINTS}) WHERE event_id % 5 > 0")
+def _(spark, d):
+    path = folder(spark)
+    e = X.table(spark, d, "events").withColumn("case", F.concat(F.lit("case"), (F.col("user_id") % 64).cast("string")))
+    at = F.concat(F.lit('"point_l0":['), F.concat_ws(",", F.col("event_id") % 50, F.col("event_id") % 70), F.lit("]"))
+    point = F.concat(F.lit("{"), F.when(F.col("event_id") % 5 > 0, at).otherwise('"vlm_index":1'), F.lit("}"))
+    by = e.groupBy("case", (F.col("user_id") % 4).alias("kind"), "event_type").agg(F.array_join(F.collect_list(point), ",").alias("p"))
+    entry = F.concat(F.lit('" '), F.upper("event_type"), F.lit(' ":['), "p", F.lit("]"))
+    whole = by.groupBy("case", "kind").agg(F.array_join(F.collect_list(entry), ",").alias("entries"), F.array_join(F.collect_list("p"), ",").alias("p"))
+    text = F.when(F.col("kind") == 3, F.concat(F.lit('{"foreground":['), "p", F.lit("]}"))).otherwise(F.concat(F.lit('{"classes":{'), "entries", F.lit("}}")))
+    # a region of kind 1 has the same points at its root and, to be passed over, in a file of a rotation; kind 2 has that alone
+    files = whole.withColumn("place", F.explode(F.when(F.col("kind") == 1, F.array(F.lit("root"), F.lit("rot_90"))).when(F.col("kind") == 2, F.array(F.lit("rot_90"))).otherwise(F.array(F.lit("root")))))
+    rows = files.select("case", F.lit("run1").alias("run"), F.lit("bboxes").alias("anchor"), F.concat_ws("_", F.col("kind") + 1, F.lit("0"), F.lit("9"), F.lit("9")).alias("box"), "place", text.alias("value"))
+    _plain_folders(spark, rows, path, ["case", "run", "anchor", "box", "place"])
+    return S.read_points(spark, path).select(F.substring("case_id", 5, 9).cast("long").alias("case_no"), "source", "label", "x", "y")
+
+
+def _plain_folders(spark, rows, path: str, folders: list[str]) -> None:
+    """One text file a row in folders that are named by values only, written in tasks through the file system of the path."""
+    import pyarrow.fs as pafs
+
+    base = path.removeprefix("file:")
+
+    def put(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                at = "/".join([base, *[r[f] for f in folders]])
+                fs, where = pafs.FileSystem.from_uri("file://" + at) if at.startswith("/") else pafs.FileSystem.from_uri(at)
+                fs.create_dir(where, recursive=True)
+                with fs.open_output_stream(f"{where}/points.json") as out:
+                    out.write(r["value"].encode())
+            yield b.slice(0, 0)
+
+    rows.mapInArrow(put, rows.schema).count()
+
+
+@_add("a12_artifact_catalog", "SELECT source, lang, 1 AS n_files, count(*) AS n_lines FROM documents GROUP BY ALL")
+def _(spark, d):
+    path = folder(spark)
+    docs = X.table(spark, d, "documents").select("source", "lang", F.lit("x").alias("value"))
+    _a_file_each(docs, path, ["source", "lang"])
+    found = S.artifact_catalog(spark, path).filter("name LIKE 'part-%'")
+    part = lambda k: F.nullif(F.regexp_extract("path", rf"/{k}=([^/]*)", 1), F.lit("__HIVE_DEFAULT_PARTITION__")).alias(k)
+    return found.groupBy(part("source"), part("lang")).agg(F.count("*").alias("n_files"), F.floor(F.sum("length") / 2).alias("n_lines"))
+
+
+@_add("d22_worklist_counts", "SELECT count(*) AS n FROM documents GROUP BY source")
+def _(spark, d):
+    path = folder(spark)
+    _a_file_each(X.table(spark, d, "documents").select("source", F.concat(F.lit("doc"), "doc_id").alias("value")), path, ["source"])
+    return S.worklist_counts(S.read_worklist(spark, [path])).select("n")
+
+
+@_add("j3_progress", "SELECT user_id, count(*) AS done, any_value(total) AS total, CAST(floor(100.0 * count(*) / any_value(total) * 1e6 + 0.5) AS BIGINT) AS percent, CAST(floor(CASE WHEN max(ts) > min(ts) THEN count(*) / (epoch(max(ts)) - epoch(min(ts))) ELSE 0 END * 1e6 + 0.5) AS BIGINT) AS rate FROM events JOIN (SELECT user_id, 2 * count(*) AS total FROM events GROUP BY 1) USING (user_id) GROUP BY 1")
+def _(spark, d):
+    path = folder(spark)
+    e = X.table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    totals = e.groupBy("user_id").agg((2 * F.count("*")).alias("total"))
+    half = e.agg(F.timestamp_seconds(F.floor(F.avg(F.unix_seconds("ts")))).alias("t")).first().t
+    for part in (F.col("ts") < F.lit(half), F.col("ts") >= F.lit(half)):  # the second run goes on from the state of the first
+        some = e.filter(part)
+        some.unionByName(some).write.mode("append").parquet(f"{path}/in")
+        stream_progress(spark, f"{path}/in", e.schema, totals, f"{path}/out", f"{path}/state", "user_id", "event_id", "ts").awaitTermination()
+    out = latest_progress(spark, f"{path}/out", "user_id")
+    return out.select("user_id", "done", "total", F.floor(F.col("percent") * 1e6 + 0.5).alias("percent"), F.floor(F.col("rate") * 1e6 + 0.5).alias("rate"))

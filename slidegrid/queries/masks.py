@@ -13,10 +13,11 @@ _T = f"WITH RECURSIVE cells AS ({X.CELLS}), t AS (SELECT slide, r, c FROM cells
 K = ["slide"]
 
 
-def _cc(src: str, near: str = "abs(a.r - b.r) + abs(a.c - b.c) = 1") -> str:
-    return f"""e AS (SELECT a.slide, a.r * 24 + a.c AS a, b.r * 24 + b.c AS b FROM {src} a JOIN {src} b ON a.slide = b.slide AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND {near}),
- w(slide, n, root) AS (SELECT slide, r * 24 + c, r * 24 + c FROM {src} UNION SELECT w.slide, w.n, e.b FROM w JOIN e ON e.slide = w.slide AND e.a = w.root),
- cc AS (SELECT slide, n, min(root) AS root FROM w GROUP BY 1, 2)"""
+def _cc(src: str, near: str = "abs(a.r - b.r) + abs(a.c - b.c) = 1", p: str = "") -> str:
+    """Components of ``src`` as {p}cc (slide, n, root)."""
+    return f"""{p}e AS (SELECT a.slide, a.r * 24 + a.c AS a, b.r * 24 + b.c AS b FROM {src} a JOIN {src} b ON a.slide = b.slide AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND {near}),
+ {p}w(slide, n, root) AS (SELECT slide, r * 24 + c, r * 24 + c FROM {src} UNION SELECT w.slide, w.n, e.b FROM {p}w w JOIN {p}e e ON e.slide = w.slide AND e.a = w.root),
+ {p}cc AS (SELECT slide, n, min(root) AS root FROM {p}w GROUP BY 1, 2)"""
 
 
 def _add(name: str, sql: str | None = None):
@@ -58,28 +59,36 @@ def _(spark, d):
     return M.removed_small(tissue(spark, d), K, 3)
 
 
-_CLOSE = """g AS (SELECT slide, r, c FROM (SELECT DISTINCT slide FROM t), (SELECT unnest(range(0, 24)) AS r), (SELECT unnest(range(0, 24)) AS c)),
- gr AS (SELECT g.slide, g.r, g.c FROM g WHERE g.r < 1 OR g.r > 22 OR g.c < 1 OR g.c > 22 OR EXISTS (SELECT 1 FROM t WHERE t.slide = g.slide AND abs(t.r - g.r) <= 1 AND abs(t.c - g.c) <= 1)),
- cl AS (SELECT g.slide, g.r, g.c FROM g JOIN gr ON gr.slide = g.slide AND abs(gr.r - g.r) <= 1 AND abs(gr.c - g.c) <= 1 GROUP BY 1, 2, 3
-   HAVING count(*) = (least(23, g.r + 1) - greatest(0, g.r - 1) + 1) * (least(23, g.c + 1) - greatest(0, g.c - 1) + 1))"""
+_closing = lambda src, p="": f"""{p}g AS (SELECT slide, r, c FROM (SELECT DISTINCT slide FROM {src}), (SELECT unnest(range(0, 24)) AS r), (SELECT unnest(range(0, 24)) AS c)),
+ {p}gr AS (SELECT g.slide, g.r, g.c FROM {p}g g WHERE g.r < 1 OR g.r > 22 OR g.c < 1 OR g.c > 22 OR EXISTS (SELECT 1 FROM {src} t WHERE t.slide = g.slide AND abs(t.r - g.r) <= 1 AND abs(t.c - g.c) <= 1)),
+ {p}cl AS (SELECT g.slide, g.r, g.c FROM {p}g g JOIN {p}gr gr ON gr.slide = g.slide AND abs(gr.r - g.r) <= 1 AND abs(gr.c - g.c) <= 1 GROUP BY 1, 2, 3
+   HAVING count(*) = (least(23, g.r + 1) - greatest(0, g.r - 1) + 1) * (least(23, g.c + 1) - greatest(0, g.c - 1) + 1))"""
 
 
-@_add("h6_close_mask", _T + ", " + _CLOSE + " SELECT slide, r, c FROM cl")
+@_add("h6_close_mask", _T + ", " + _closing("t") + " SELECT slide, r, c FROM cl")
 def _(spark, d):
     return M.close_mask(tissue(spark, d), K, 24, 24, 3)
 
 
-_BACK = "g AS (SELECT slide, r, c FROM (SELECT DISTINCT slide FROM t), (SELECT unnest(range(0, 24)) AS r), (SELECT unnest(range(0, 24)) AS c)), bk AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.slide = g.slide AND t.r = g.r AND t.c = g.c)), "
+_back = lambda src, p="": f"{p}bg AS (SELECT slide, r, c FROM (SELECT DISTINCT slide FROM {src}), (SELECT unnest(range(0, 24)) AS r), (SELECT unnest(range(0, 24)) AS c)), {p}bk AS (SELECT * FROM {p}bg g WHERE NOT EXISTS (SELECT 1 FROM {src} t WHERE t.slide = g.slide AND t.r = g.r AND t.c = g.c))"
+_filled = lambda src, p="": f"""{_back(src, p)}, {_cc(f'{p}bk', p=f'{p}b')}, {p}h AS (SELECT slide, CAST(floor(n / 24.0) AS BIGINT) AS r, n % 24 AS c, count(*) OVER (PARTITION BY slide, root) AS k,
+   max(CASE WHEN n < 24 OR n >= 552 OR n % 24 IN (0, 23) THEN 1 ELSE 0 END) OVER (PARTITION BY slide, root) AS edge FROM {p}bcc),
+ {p}fl AS (SELECT slide, r, c FROM {src} UNION ALL SELECT slide, r, c FROM {p}h WHERE edge = 0 AND k <= 10)"""
 
 
-@_add("h7_fill_holes", _T + ", " + _BACK + _cc("bk") + """, h AS (SELECT slide, CAST(floor(n / 24.0) AS BIGINT) AS r, n % 24 AS c, count(*) OVER (PARTITION BY slide, root) AS k,
-   max(CASE WHEN n < 24 OR n >= 552 OR n % 24 IN (0, 23) THEN 1 ELSE 0 END) OVER (PARTITION BY slide, root) AS edge FROM cc)
- SELECT slide, r, c FROM t UNION ALL SELECT slide, r, c FROM h WHERE edge = 0 AND k <= 10""")
+@_add("h7_fill_holes", _T + ", " + _filled("t") + " SELECT slide, r, c FROM fl")
 def _(spark, d):
     return M.fill_holes(tissue(spark, d), K, 24, 24, 10)
 
 
-@_add("h8_clean_mask")
+#: Only cells that are tissue or background change at a step.
+_within = lambda new, old, name: f"{name} AS (SELECT slide, r, c FROM {new} WHERE (slide, r, c) IN (SELECT slide, r, c FROM may) UNION ALL SELECT slide, r, c FROM {old} WHERE (slide, r, c) NOT IN (SELECT slide, r, c FROM may))"
+_CLEAN = f"""{_cc('t', p='a')}, may AS (SELECT slide, r, c FROM cells WHERE class_id < 2),
+ large AS (SELECT slide, CAST(floor(n / 24.0) AS BIGINT) AS r, n % 24 AS c FROM (SELECT *, count(*) OVER (PARTITION BY slide, root) AS k FROM acc) WHERE k >= 3), {_within('large', 't', 'm1')},
+ {_closing('m1', 'c')}, {_within('ccl', 'm1', 'm2')}, {_filled('m2', 'f')}, {_within('ffl', 'm2', 'm3')}"""
+
+
+@_add("h8_clean_mask", _T + ", " + _CLEAN + " SELECT slide, r, c FROM m3")
 def _(spark, d):
     return M.clean_mask(tissue(spark, d), X.cells(spark, d).filter("class_id < 2"), K, 24, 24)
 
@@ -121,7 +130,10 @@ def _(spark, d):
     return M.mask_diff(cells.filter("class_id > 0"), cells.filter("class_id <> 1"), K)
 
 
-@_add("d20_mask_delta", f"WITH cells AS ({X.CELLS}) SELECT slide, count(*) FILTER (class_id > 0) AS before_cells, count(*) FILTER (class_id <> 1) AS after_cells, count(*) FILTER (class_id = 0) AS added, count(*) FILTER (class_id = 1) AS removed FROM cells GROUP BY 1")
+_SIZES = "SELECT slide, count(*) AS {0}_all, count(*) FILTER (k < 3) AS {0}_small, CAST(coalesce(sum(k) FILTER (k < 3), 0) AS BIGINT) AS {0}_cells FROM (SELECT slide, root, count(*) AS k FROM {0}cc GROUP BY 1, 2) GROUP BY 1"
+
+
+@_add("d20_mask_delta", f"WITH RECURSIVE cells AS ({X.CELLS}), u AS (SELECT * FROM cells WHERE class_id > 0), v AS (SELECT * FROM cells WHERE class_id <> 1), {_cc('u', p='u')}, {_cc('v', p='v')}, a AS ({_SIZES.format('u')}), b AS ({_SIZES.format('v')}), n AS (SELECT slide, count(*) FILTER (class_id > 0) AS before_cells, count(*) FILTER (class_id <> 1) AS after_cells, count(*) FILTER (class_id = 0) AS added, count(*) FILTER (class_id = 1) AS removed FROM cells GROUP BY 1) SELECT n.*, coalesce(u_all, 0) AS components_before, coalesce(u_small, 0) AS small_components, coalesce(u_cells, 0) AS small_cells, coalesce(v_all, 0) AS components_after FROM n LEFT JOIN a USING (slide) LEFT JOIN b USING (slide)")
 def _(spark, d):
     cells = X.cells(spark, d)
     return M.mask_delta(cells.filter("class_id > 0"), cells.filter("class_id <> 1"), K)

@@ -159,12 +159,11 @@ def _(spark, d):
     return P.parse_selection(o, ["o_orderkey"], "n", 3).select("o_orderkey", "cls", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@_add("i8_parse_sections", "SELECT conv_id, turn, unnest(['TISSUE', 'BACKGROUND']) AS cls, unnest([trim(text), 'none']) AS body FROM conversations WHERE NOT contains(text, 'TISSUE:') AND NOT contains(text, 'BACKGROUND:')")
+@_add("i8_parse_sections", """WITH s AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(concat('TISSUE: ', text, chr(10), 'BACKGROUND: none'), '(TISSUE:|BACKGROUND:)', chr(1) || '\\1', 'g'), chr(1))[2:]) AS p FROM conversations)
+ SELECT conv_id, turn, regexp_extract(p, '^(TISSUE|BACKGROUND):', 1) AS cls, trim(regexp_replace(p, '^(TISSUE|BACKGROUND):', '')) AS body FROM s""")
 def _(spark, d):
-    c = X.table(spark, d, "conversations").filter("NOT contains(text, 'TISSUE:') AND NOT contains(text, 'BACKGROUND:')")
-    c = c.select("conv_id", "turn", F.concat(F.lit("TISSUE: "), "text", F.lit("\nBACKGROUND: none")).alias("text"))
-    out = P.parse_sections(c, ["conv_id", "turn"], ["TISSUE", "BACKGROUND"])
-    return out.withColumn("body", F.regexp_replace("body", "\\n+$", ""))
+    c = X.table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("TISSUE: "), "text", F.lit("\nBACKGROUND: none")).alias("text"))
+    return P.parse_sections(c, ["conv_id", "turn"], ["TISSUE", "BACKGROUND"])
 
 
 @_add("i9_parse_claims", "SELECT event_id, event_type AS artifact, value > 0 AS present, 'seen' AS evidence FROM events")
@@ -224,28 +223,3 @@ def _(spark, d):
     bare = F.concat(F.lit("/data/out/case"), k, F.lit("/mask.npy"))
     df = X.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 > 0, full).otherwise(bare).alias("path"))
     return S.with_path_keys(df, "path").select("o_orderkey", "case_id", "run_id", "region", "x2")
-
-
-@_add("a4_read_regions", f"WITH b AS ({X.BOXES}) SELECT slide, idx, x1, y1, x2, y2, label FROM (SELECT *, CASE WHEN idx % 2 = 0 THEN 'r' END AS label FROM b)")
-def _(spark, d):
-    b = X.boxes(spark, d)
-    nums = F.concat(F.lit("["), F.concat_ws(",", "x1", "y1", "x2", "y2"), F.lit("]"))
-    js = F.when(F.col("idx") % 4 == 1, F.concat(F.lit("["), nums, F.lit("]"))).when(F.col("idx") % 4 == 3, F.concat(F.lit('{"detected_regions":[{"bbox":'), nums, F.lit("}]}"))).when(F.col("idx") % 4 == 0, F.concat(F.lit('{"detected_regions":[{"label":"r","bbox_level0":'), nums, F.lit("}]}"))).otherwise(F.concat(F.lit('[{"label":"r","box_2d":'), nums, F.lit("}]")))
-    from ..sources import files
-
-    out = files.regions_from_json(b.select("slide", "idx", js.alias("js")), ["slide", "idx"], "js")
-    return out.select("slide", "idx", *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], "label")
-
-
-@_add("a5_read_points", "SELECT event_id, lower(event_type) AS label, CAST(event_id % 50 AS BIGINT) AS x, CAST(event_id % 70 AS BIGINT) AS y FROM events WHERE event_id % 5 > 0")
-def _(spark, d):
-    from ..sources import files
-
-    point = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit('{"point_l0":['), F.concat_ws(",", F.col("event_id") % 50, F.col("event_id") % 70), F.lit("]}"))).otherwise("{}")
-    js = F.concat(F.lit('{"classes":{" '), F.upper("event_type"), F.lit('":['), point, F.lit("]}}"))
-    return files.points_from_json(X.table(spark, d, "events").select("event_id", js.alias("js")), ["event_id"], "js").select("event_id", "label", "x", "y")
-
-
-@_add("d22_worklist_counts", "SELECT source AS list_name, count(*) AS n FROM documents GROUP BY 1")
-def _(spark, d):
-    return X.table(spark, d, "documents").groupBy(F.col("source").alias("list_name")).agg(F.count("*").alias("n")).orderBy("list_name")

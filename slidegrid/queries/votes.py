@@ -85,11 +85,16 @@ def _(spark, d):
     return C.point_summary(p, meta, ["region"], "cls")
 
 
-@_add("d18_progress_summary", _V + "SELECT count(*) FILTER (quality_id > 0) AS kept, count(*) FILTER (quality_id = 0) AS skipped, count(*) FILTER (quality_id > 0 AND run % 4 > 0) AS done, count(*) FILTER (quality_id > 0 AND run % 2 = 0) AS resumed, count(*) FILTER (quality_id > 0 AND run % 2 = 1) AS \"new\", CAST(floor(100.0 * count(*) FILTER (quality_id > 0 AND run % 4 > 0) / count(*) FILTER (quality_id > 0) * 1e6 + 0.5) AS BIGINT) AS percent FROM v")
+_NEW = "FILTER (quality_id > 0 AND run % 2 = 1 AND run % 4 > 0)"
+_RATE = f"(count(*) {_NEW} / (epoch(max(ts) {_NEW}) - epoch(min(ts) {_NEW})))"
+
+
+@_add("d18_progress_summary", f"WITH v AS (SELECT v.*, ts FROM ({X.VOTES}) v JOIN (SELECT event_id AS run, ts FROM events) USING (run)) SELECT count(*) FILTER (quality_id > 0) AS kept, count(*) FILTER (quality_id = 0) AS skipped, count(*) FILTER (quality_id > 0 AND run % 4 > 0) AS done, count(*) FILTER (quality_id > 0 AND run % 2 = 0) AS resumed, count(*) FILTER (quality_id > 0 AND run % 2 = 1) AS \"new\", CAST(floor(100.0 * count(*) FILTER (quality_id > 0 AND run % 4 > 0) / count(*) FILTER (quality_id > 0) * 1e6 + 0.5) AS BIGINT) AS percent, CAST(floor({_RATE} * 1e6 + 0.5) AS BIGINT) AS rate, CAST(floor(count(*) FILTER (quality_id > 0 AND run % 2 = 1 AND run % 4 = 0) / {_RATE} * 1e3 + 0.5) AS BIGINT) AS eta_seconds FROM v")
 def _(spark, d):
     v = X.votes(spark, d).withColumn("label", F.when(F.col("run") % 4 > 0, F.col("label")))
-    out = V.progress_summary(v, F.col("quality_id") > 0, F.col("run") % 2 == 0)
-    return out.withColumn("percent", F.floor(F.col("percent") * 1e6 + 0.5))
+    v = v.join(X.table(spark, d, "events").select(F.col("event_id").alias("run"), "ts"), "run")
+    out = V.progress_summary(v, F.col("quality_id") > 0, F.col("run") % 2 == 0, F.col("ts"))
+    return out.withColumns({"percent": F.floor(F.col("percent") * 1e6 + 0.5), "rate": F.floor(F.col("rate") * 1e6 + 0.5), "eta_seconds": F.floor(F.col("eta_seconds") * 1e3 + 0.5)})
 
 
 @_add("f6_expand_variants", _V + "SELECT run, CAST(s AS BIGINT) AS shuffle, CAST(q AS BIGINT) AS rotation, CASE WHEN s = 0 THEN '' ELSE md5(concat(s + 42, '-', run)) END AS rank_key FROM v, (SELECT unnest([0, 1, 2]) AS s), (SELECT unnest([0, 180]) AS q)")
@@ -189,10 +194,15 @@ def _(spark, d):
     return C.resume_plan(X.table(spark, d, "customer").select(F.col("c_custkey").alias("case_id")), runs, "case_id", "run")
 
 
-@_add("l2_status_rollup", "WITH v AS (SELECT user_id, event_type AS stage, value > 0.2 AS ok, concat('low ', event_id) AS why FROM events) SELECT user_id, coalesce(bool_or(CASE WHEN stage = 'click' THEN ok END), false) AS done_click, coalesce(bool_or(CASE WHEN stage = 'view' THEN ok END), false) AS done_view, CASE WHEN bool_or(NOT ok AND stage = 'click') THEN 'click' WHEN bool_or(NOT ok AND stage = 'view') THEN 'view' END AS first_failure, CASE WHEN bool_or(NOT ok AND stage = 'click') THEN min(CASE WHEN NOT ok AND stage = 'click' THEN why END) WHEN bool_or(NOT ok AND stage = 'view') THEN min(CASE WHEN NOT ok AND stage = 'view' THEN why END) END AS error FROM v WHERE stage IN ('click', 'view') GROUP BY 1")
+_STAGES = ("click", "view", "purchase", "error", "signup")
+_DONE = ", ".join(f"coalesce(bool_or(CASE WHEN stage = '{x}' THEN ok END), false) AS done_{x}" for x in _STAGES)
+_PLACE = "list_position([" + ", ".join(f"'{x}'" for x in _STAGES) + "], stage)"
+
+
+@_add("l2_status_rollup", f"WITH v AS (SELECT user_id, event_type AS stage, value > 0.2 AS ok, concat('low ', event_id) AS why FROM events) SELECT user_id, {_DONE}, arg_min(stage, ({_PLACE}, why)) FILTER (NOT ok) AS first_failure, arg_min(why, ({_PLACE}, why)) FILTER (NOT ok) AS error FROM v GROUP BY 1")
 def _(spark, d):
-    e = X.table(spark, d, "events").filter("event_type IN ('click', 'view')").select("user_id", F.col("event_type").alias("stage"), (F.col("value") > 0.2).alias("ok"), F.concat(F.lit("low "), "event_id").alias("why"))
-    return C.status_rollup(e, ["user_id"], ["click", "view"], error="why")
+    e = X.table(spark, d, "events").select("user_id", F.col("event_type").alias("stage"), (F.col("value") > 0.2).alias("ok"), F.concat(F.lit("low "), "event_id").alias("why"))
+    return C.status_rollup(e, ["user_id"], list(_STAGES), error="why")
 
 
 @_add("b10_select_cases", "SELECT o_orderkey, o_orderpriority FROM orders WHERE (o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '%LOW') AND o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus = 'F')")

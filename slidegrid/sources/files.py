@@ -18,28 +18,41 @@ _BOOLS = ("stage3_kept", "classical_blur_pass")
 _REQUIRED = ("patch_id", "row", "col")
 
 
+def _numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(value, list_name, path, line_no) of text files that are read in splits, lines counted from 1.
+
+    A line's number is its place within its split and the lines of the splits
+    before it in the file; only a count a split is gathered.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("list_name"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    size = lines.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = lines.join(size.select("path", "_block", "_first", before.alias("_before")), ["path", "_block"])
+    return out.select("value", "list_name", "path", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"))
+
+
 def read_worklist(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(item, list_name, line_no) of one path a line; comments and blanks go; empty lists are an error."""
-    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("list_name"), F.posexplode(F.split("value", r"\r?\n")).alias("_n", "item"))
-    df = df.select(F.trim("item").alias("item"), "list_name", (F.col("_n") + 1).alias("line_no")).filter("item <> '' AND item NOT LIKE '#%'")
+    """(item, list_name, path, line_no) of one path a line; comments and blanks go; empty lists are an error."""
+    df = _numbered_lines(spark, paths).select(F.trim("value").alias("item"), "list_name", "path", "line_no").filter("item <> '' AND item NOT LIKE '#%'")
     if df.isEmpty():
         raise ValueError("the worklists name no item")
     return df
 
 
 def worklist_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("list_name").agg(F.count("*").alias("n")).orderBy("list_name")
+    """Items of each list; lists of one name in different folders are different lists."""
+    return df.groupBy("list_name", "path").agg(F.count("*").alias("n")).orderBy("list_name", "path")
 
 
 def read_pair_worklist(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows (item, annotation) and the rejected ones; a header is known by its names."""
-    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("list_name"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    df = _numbered_lines(spark, paths).withColumnRenamed("value", "line").withColumn("line_no", F.col("line_no") - 1)
     df = df.filter("trim(line) <> '' AND NOT trim(line) LIKE '#%'")
     df = df.withColumn("_c", F.from_csv("line", "item string, annotation string"))
-    df = df.select("list_name", "line_no", F.trim("_c.item").alias("item"), F.trim("_c.annotation").alias("annotation"))
-    first = F.row_number().over(Window.partitionBy("list_name").orderBy("line_no")) == 1
-    head = first & F.lower("item").isin("item", "slide", "image", "wsi", "path")
-    df = df.withColumn("_h", head).filter(~F.coalesce("_h", F.lit(False))).drop("_h")
+    df = df.select("list_name", "path", "line_no", F.trim("_c.item").alias("item"), F.trim("_c.annotation").alias("annotation"))
+    top = df.groupBy("path").agg(F.min_by(F.struct("line_no", "item"), "line_no").alias("_t"))
+    head = top.filter(F.lower("_t.item").isin("item", "slide", "image", "wsi", "path")).select("path", "_t.line_no")
+    df = df.join(head, ["path", "line_no"], "left_anti").drop("path").select("list_name", "line_no", "item", "annotation")
     bad = F.coalesce(F.col("item"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("annotation"), F.lit("")).eqNullSafe("")
     return df.filter(~bad), df.filter(bad)
 

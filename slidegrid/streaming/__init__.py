@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.labels import rate_limited
+from ..operators.votes import pace
 
 
 def stream_review_summary(spark: SparkSession, path: str, schema: StructType | str, keys: list[str], by: str) -> DataFrame:
@@ -38,3 +39,32 @@ def stream_throughput(rows: DataFrame, width: str = "10 minutes", delay: str = "
     if typed.isStreaming:
         typed = typed.withWatermark(ts, delay)
     return typed.groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+
+
+def stream_progress(spark: SparkSession, source: str, schema: StructType | str, totals: DataFrame, target: str, checkpoint: str, run: str, ident: str, ts: str, delay: str = "1 hour") -> StreamingQuery:
+    """Progress of each run in ``target``: rows done, percent, rate and seconds left, as results arrive as Parquet files.
+
+    The state of the stream holds a count and two times a run, and the ids
+    within the watermark; the checkpoint lets a restart go on from there, and a
+    result that is sent twice counts once. ``totals`` has (run, total). Each
+    batch writes the runs that it touched to a folder of its own number; the
+    last number of a run holds.
+    """
+    rows = spark.readStream.schema(schema).parquet(source).withColumn(ts, F.col(ts).cast("timestamp"))
+    once = rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([run, ident])
+    state = once.groupBy(run).agg(F.count("*").alias("done"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        now = batch.join(totals, run)
+        speed = pace(F.col("done"), F.greatest(F.lit(0), F.col("total") - F.col("done")), F.col("first"), F.col("last"))
+        percent = F.when(F.col("total") > 0, 100.0 * F.col("done") / F.col("total")).otherwise(100.0)
+        now.select(run, "done", "total", percent.alias("percent"), *[v.alias(n) for n, v in speed.items()]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_progress(spark: SparkSession, target: str, run: str) -> DataFrame:
+    """The last state of each run that ``stream_progress`` has written."""
+    rows = spark.read.parquet(target)
+    kept = [c for c in rows.columns if c not in (run, "batch")]
+    return rows.groupBy(run).agg(F.max_by(F.struct(*kept), "batch").alias("_s")).select(run, "_s.*")

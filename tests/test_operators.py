@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from slidegrid.functions import labels, replies
-from slidegrid.operators import catalog, geometry, mask, overlap, pixels, votes
+from slidegrid.operators import catalog, geometry, mask, overlap, pixels, select, votes
 from slidegrid.sources import files
-from slidegrid.streaming import stream_patch_results, stream_review_summary
+from slidegrid.streaming import latest_progress, stream_patch_results, stream_progress, stream_review_summary
 
 
 def boxes(spark, rows):
@@ -98,7 +98,7 @@ def test_windows_cover_everything(spark):
 def test_relaxed_json(spark):
     df = spark.createDataFrame([('x {"a": 1} y',), ("```json\n{\"b\": 2}\n```",), ("none",), (None,), ("{ {\"c\":3}",)], "text string")
     got = {r.text: r.parsed for r in replies.parse_relaxed_json(df).collect()}
-    assert got['x {"a": 1} y'] == '{"a": 1}' and got["none"] is None and got[None] is None and got['{ {"c":3}'] == '{"c": 3}'
+    assert got['x {"a": 1} y'] == '{"a":1}' and got["none"] is None and got[None] is None and got['{ {"c":3}'] == '{"c":3}'
 
 
 def test_labels(spark):
@@ -109,7 +109,7 @@ def test_labels(spark):
 def test_worklists_and_patches(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# c\nx.svs\n\n y.svs \n")
     got = files.read_worklist(spark, [str(tmp_path / "a.txt")]).collect()
-    assert [(r.item, r.list_name, r.line_no) for r in got] == [("x.svs", "a.txt", 2), ("y.svs", "a.txt", 4)]
+    assert sorted((r.item, r.list_name, r.line_no) for r in got) == [("x.svs", "a.txt", 2), ("y.svs", "a.txt", 4)]
     (tmp_path / "p.csv").write_text("item,annotation\nx.svs,x.xml\ny.svs,\n")
     good, bad = files.read_pair_worklist(spark, [str(tmp_path / "p.csv")])
     assert good.count() == 1 and bad.count() == 1
@@ -200,3 +200,112 @@ def test_review_files_hold_all_contract_columns(spark, tmp_path):
     assert tuple(retry.columns) == RETRY_COLUMNS and len(RETRY_COLUMNS) == 11
     assert sorted((r.case_id, r.total_tokens) for r in flat.collect()) == [("a", "7"), ("b", None)]
     assert [r.case_id for r in retry.collect()] == ["b"]
+
+
+def test_worklists_in_splits(spark, tmp_path):
+    rng = random.Random(3)
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        lines = [rng.choice(["# note", "", f"slide{i}.svs", f"  long/{'x' * rng.randrange(200)}{i}.svs "]) for i in range(3000)]
+        (tmp_path / folder / "list.txt").write_text("\n".join(lines) + ("\n" if folder == "a" else ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = files.read_worklist(spark, [str(tmp_path / x / "list.txt") for x in "ab"])
+        got = sorted((r.path.split("/")[-2], r.line_no, r.item) for r in df.collect())
+        assert df.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(x, i + 1, line.strip()) for x in "ab" for i, line in enumerate((tmp_path / x / "list.txt").read_text().split("\n")) if line.strip() and not line.strip().startswith("#")]
+    assert got == sorted(want)
+    counts = files.worklist_counts(df).collect()
+    assert [(r.list_name, r.n) for r in counts] == [("list.txt", sum(w[0] == x for w in want)) for x in "ab"]
+
+
+def test_read_points_prefers_the_root(spark, tmp_path):
+    for at, x in (("c1/r1/bboxes/0_0_9_9/root", 1), ("c1/r1/bboxes/0_0_9_9/rot_90", 2), ("c1/r1/bboxes/1_0_9_9/rot_90", 3)):
+        (tmp_path / at).mkdir(parents=True)
+        (tmp_path / at / "points.json").write_text('{"classes":{" Tissue":[{"point_l0":[%d,5]},{"vlm_index":3}]}}' % x)
+    got = sorted((r.region, r.source, r.label, r.x, r.y) for r in files.read_points(spark, str(tmp_path)).collect())
+    assert got == [("0_0_9_9", "root", "tissue", 1, 5), ("1_0_9_9", "rotation", "tissue", 3, 5)]
+
+
+def test_artifact_catalog(spark, tmp_path):
+    at = tmp_path / "case7" / "run1" / "bboxes" / "1_2_30_40"
+    at.mkdir(parents=True)
+    (at / "metadata.json").write_text("{}")
+    (row,) = files.artifact_catalog(spark, str(tmp_path)).collect()
+    assert (row["name"], row.length, row.case_id, row.run_id, row.region, row.x2) == ("metadata.json", 2, "case7", "run1", "1_2_30_40", 30)
+
+
+def test_progress(spark):
+    df = spark.createDataFrame([("x", True, False, "2024-01-01 00:00:00"), ("y", True, False, "2024-01-01 00:00:10"), ("z", True, True, "2024-01-01 09:00:00"), (None, True, False, None), (None, False, False, None)], "label string, k boolean, r boolean, t string")
+    row = votes.progress_summary(df, F.col("k"), F.col("r"), F.col("t")).first()
+    assert (row.kept, row.skipped, row.done, row.resumed, row.new, row.percent, row.rate, row.eta_seconds) == (4, 1, 3, 1, 3, 75.0, 0.2, 5.0)
+    row = votes.progress_summary(df.filter("NOT k"), F.col("k"), F.col("r"), F.col("t")).first()
+    assert (row.percent, row.rate, row.eta_seconds) == (100.0, 0.0, 0.0)
+
+
+def test_progress_streams_in_two_runs(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = spark.createDataFrame([("a", i, f"2024-01-01 00:00:{10 * i:02d}") for i in range(4)] + [("b", 1, "2024-01-01 00:00:00")], "run string, patch long, ts string")
+    totals = spark.createDataFrame([("a", 8), ("b", 1)], "run string, total long")
+    got = []
+    for part in ("patch < 2", "patch >= 1"):  # patch 1 arrives in both runs
+        rows.filter(part).write.mode("append").parquet(source)
+        stream_progress(spark, source, rows.schema, totals, target, state, "run", "patch", "ts").awaitTermination(120)
+        got.append({r.run: (r.done, r.total, r.percent, round(r.rate, 3), round(r.eta_seconds, 3)) for r in latest_progress(spark, target, "run").collect()})
+    assert got == [{"a": (2, 8, 25.0, 0.2, 30.0), "b": (1, 1, 100.0, 0.0, 0.0)}, {"a": (4, 8, 50.0, 0.133, 30.0), "b": (1, 1, 100.0, 0.0, 0.0)}]
+
+
+def test_whole_json_objects(spark):
+    texts = ['{"a":1}', '{"a":1} tail', '{"a":1}{"b":2}', '{"b": 2, "a": [1.50, {"z":null, "y":"é"}]}', '{"a":1},"b":{}', '{"a":1}}', "{}", "[1]", '{"a":NaN}', '{"a":1,"a":2}', "{'a':1}", 'no {"in": {"x":"{"}} more', "{" * 5000, None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.parsed for r in replies.parse_relaxed_json(df).orderBy("i").collect()]
+    assert got[:7] == ['{"a":1}', '{"a":1}', '{"a":1}', '{"a":[1.5,{"y":"é","z":null}],"b":2}', '{"a":1}', '{"a":1}', "{}"]
+    assert got[7:] == [None, '{"a":null}', '{"a":2}', None, '{"in":{"x":"{"}}', None, None, None]
+
+
+def test_tournament(spark):
+    rng = random.Random(8)
+    rows = [(g, f"c{i % 4}", i, rng.random()) for g, n in ((1, 300), (2, 20), (3, 75)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, c string, i long, s double")
+    want = set()
+    for g in (1, 2, 3):
+        pool = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))
+        while len(pool) > 25:
+            calls = -(-len(pool) // 25)
+            per = min(3, max(1, 25 // (calls * 4)))
+            over, more = divmod(calls * 25 - len(pool), calls - 1)
+            start, kept = 0, set()
+            for w in range(calls):
+                part = pool[start : start + 25]
+                for c in {r[1] for r in part}:
+                    kept |= set(sorted((r for r in part if r[1] == c), key=lambda r: (-r[3], r[2]))[:per])
+                start += 25 - over - (w < more)
+            pool = [r for r in pool if r in kept] if len(kept) < len(pool) else pool[:25]
+        for c in {r[1] for r in pool}:
+            want |= set(sorted((r for r in pool if r[1] == c), key=lambda r: (-r[3], r[2]))[:3])
+    assert {(r.g, r.c, r.i, r.s) for r in select.tournament(df, "g", "c", "i", "s", 3, 25).collect()} == want
+    everything = select.tournament(df, "g", "c", "i", "s", 3, 25, ranker=lambda pdf, k: pdf)  # a ranker that drops nothing: pools are cut
+    assert {r.g: r.n for r in everything.groupBy("g").agg(F.count("*").alias("n")).collect()} == {1: 25, 2: 20, 3: 25}
+    assert select.tournament(df, "g", "c", "i", "s", 3, 25, ranker=lambda pdf, k: pdf.head(0)).count() == 0
+    first = select.tournament(df.filter("g = 3"), "g", "c", "i", "s", 5, 25, first_k=1)
+    assert first.count() <= 12
+
+
+def test_diverse_items_are_those_of_the_pairs(spark):
+    rng = random.Random(9)
+    rows = [(i % 3, i, [rng.random() for _ in range(5)]) for i in range(40)] + [(7, 100, [1.0] * 5), (8, 101, [0.5] * 5), (8, 102, [0.5] * 5)]
+    df = spark.createDataFrame(rows, "g long, i long, v array<double>")
+    pairs = select.similarity_pairs(df, "g", "i", "v")
+    got = sorted(tuple(r) for r in select.diverse_items(df, 4, "g", "i", "v").collect())
+    assert [r for r in got if r[0] != 7] == sorted(tuple(r) for r in select.diverse_topk(pairs, 4, "g").collect())
+    assert [r for r in got if r[0] == 7] == [(7, 100, 1)]
+
+
+def test_mask_delta_counts_components(spark):
+    old = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 0, 2), (1, 5, 5), (1, 9, 9), (1, 9, 8)], "slide long, r long, c long")
+    new = spark.createDataFrame([(1, 0, 0), (1, 0, 2), (2, 4, 4)], "slide long, r long, c long")
+    got = {r.slide: r.asDict() for r in mask.mask_delta(old, new, ["slide"]).collect()}
+    assert [got[1][k] for k in ("before_cells", "after_cells", "added", "removed", "components_before", "components_after", "small_components", "small_cells")] == [6, 2, 0, 4, 3, 2, 2, 3]
+    assert [got[2][k] for k in ("before_cells", "after_cells", "added", "components_before", "components_after", "small_components")] == [0, 1, 1, 0, 1, 0]
