@@ -104,7 +104,7 @@ def _grid(groups: DataFrame, rows: Column | int, cols: Column | int) -> DataFram
     return out.withColumn("c", F.explode(F.sequence(F.lit(0), (lit(cols) - 1).cast("int")))).withColumns({"r": F.col("r").cast("long"), "c": F.col("c").cast("long")})
 
 
-def close_mask(cells: DataFrame, keys: list[str], rows: int, cols: int, k: int = 3) -> DataFrame:
+def close_mask(cells: DataFrame, keys: list[str], rows: int | str, cols: int | str, k: int = 3) -> DataFrame:
     """Binary closing with a k x k footprint; outside the grid counts as set.
 
     A cell is set if every place of its window is outside, near the edge, or has
@@ -115,7 +115,14 @@ def close_mask(cells: DataFrame, keys: list[str], rows: int, cols: int, k: int =
     return _placed(T.closed(cells, keys, rows, cols, p), cells, keys)
 
 
-def fill_holes(cells: DataFrame, keys: list[str], rows: int, cols: int, n: int = 10, connectivity: int = 4) -> DataFrame:
+def _longest(cells: DataFrame, rows: int | str, cols: int | str) -> int:
+    """Rows or columns of the largest grid."""
+    if isinstance(rows, int) and isinstance(cols, int):
+        return max(rows, cols)
+    return cells.agg(F.max(F.greatest(T.size_of(rows), T.size_of(cols)))).first()[0] or 0
+
+
+def fill_holes(cells: DataFrame, keys: list[str], rows: int | str, cols: int | str, n: int = 10, connectivity: int = 4) -> DataFrame:
     """Cells and enclosed background components of up to n cells; n of 0 or less fills all.
 
     Background is laid out inside tasks only; what cannot be a hole leaves them
@@ -123,10 +130,10 @@ def fill_holes(cells: DataFrame, keys: list[str], rows: int, cols: int, n: int =
     """
     own = cells.select(*keys, "r", "c")
     named = T.gaps(cells, keys, rows, cols, n + 1 if n > 0 else 0, connectivity)
-    roots = None
-    if max(rows, cols) > T.SIDE:
+    roots, longest = None, _longest(cells, rows, cols)
+    if longest > T.SIDE:
         named = cut(named)
-        roots = cut(T.roots(named, keys, connectivity, max(rows, cols)))
+        roots = cut(T.roots(named, keys, connectivity, longest))
     shut = named.filter("NOT open")
     if roots is not None:
         bad = _rooted(named.select(*keys, "piece", "open").distinct(), roots, keys).groupBy(*keys, "root").agg(F.bool_or("open").alias("_open"))
@@ -135,10 +142,11 @@ def fill_holes(cells: DataFrame, keys: list[str], rows: int, cols: int, n: int =
     return own.unionByName(_placed(shut, cells, keys))
 
 
-def clean_mask(cells: DataFrame, editable: DataFrame | None, keys: list[str], rows: int, cols: int, small: int = 3, k: int = 3, holes: int = 10, connectivity: int = 4) -> DataFrame:
+def clean_mask(cells: DataFrame, editable: DataFrame | None, keys: list[str], rows: int | str, cols: int | str, small: int = 3, k: int = 3, holes: int = 10, connectivity: int = 4) -> DataFrame:
     """Small components go, gaps close, holes fill; each step changes editable cells only (null: all)."""
     now = cells.select(*keys, "r", "c")
-    steps = [lambda m: remove_small(m, keys, small, connectivity, max(rows, cols)), lambda m: close_mask(m, keys, rows, cols, k), lambda m: fill_holes(m, keys, rows, cols, holes, connectivity)]
+    longest = _longest(now, rows, cols)
+    steps = [lambda m: remove_small(m, keys, small, connectivity, longest), lambda m: close_mask(m, keys, rows, cols, k), lambda m: fill_holes(m, keys, rows, cols, holes, connectivity)]
     for step in steps:
         new = step(now)
         if editable is not None:

@@ -4,7 +4,8 @@ A tile holds at most ``SIDE * SIDE`` cells, whatever a grid's size. What spans
 tiles is settled on a far smaller graph of pieces that touch across a border,
 in blocks of tiles that grow by ``GROUP`` a level, so the number of rounds
 follows the logarithm of a grid's extent and no join is keyed by a component.
-Cells without r or c are left out.
+Cells without r or c are left out. A grid's rows and columns are numbers, or
+names of two of the key columns where grids differ.
 """
 
 from __future__ import annotations
@@ -67,14 +68,18 @@ def tiles(cells: DataFrame, keys: list[str], halo: int = 0, every: DataFrame | N
     return at.groupBy(*keys, "tr", "tc").agg(F.collect_set("cell").alias("cells"))
 
 
-def every_tile(groups: DataFrame, rows: int, cols: int) -> DataFrame:
+def size_of(n: int | str) -> Column:
+    return F.col(n) if isinstance(n, str) else F.lit(n)
+
+
+def every_tile(groups: DataFrame, rows: int | str, cols: int | str) -> DataFrame:
     """All tiles of a grid for each row of ``groups``."""
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // SIDE).cast("long")))
-    return groups.withColumn("tr", upto(rows)).withColumn("tc", upto(cols))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size_of(n) - 1) / SIDE)))
+    return groups.filter((size_of(rows) > 0) & (size_of(cols) > 0)).withColumn("tr", upto(rows)).withColumn("tc", upto(cols))
 
 
-def _mapped(rows: DataFrame, keys: list[str], out: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]]) -> DataFrame:
-    """(keys, out): ``work`` applied to tile corners and to each cell's tile and place; gives the tile of each new row, and its columns."""
+def _mapped(rows: DataFrame, keys: list[str], out: str, work: Callable[..., tuple[np.ndarray, dict[str, np.ndarray]]], *sizes: int | str) -> DataFrame:
+    """(keys, out): ``work`` applied to tile corners, to each cell's tile and place, and to ``sizes`` a tile; gives the tile of each new row, and its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -84,7 +89,8 @@ def _mapped(rows: DataFrame, keys: list[str], out: str, work: Callable[[np.ndarr
                 cells, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
                 tr, tc = (b.column(len(keys) + i).to_numpy(zero_copy_only=False) * SIDE for i in (0, 1))
                 r, c = (cells.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                tile, made = work(tr, tc, np.repeat(np.arange(len(size)), size), r, c)
+                given = [b.column(keys.index(n)).to_numpy(zero_copy_only=False) if isinstance(n, str) else np.full(len(tr), n) for n in sizes]
+                tile, made = work(tr, tc, np.repeat(np.arange(len(size)), size), r, c, *given)
                 if len(tile):
                     at = pa.array(tile)
                     yield pa.record_batch([*[b.column(i).take(at) for i in range(len(keys))], *map(pa.array, made.values())], [*keys, *made])
@@ -119,7 +125,7 @@ def pieces(cells: DataFrame, keys: list[str], connectivity: int = 4) -> DataFram
     return _mapped(tiles(cells, keys), keys, "r long, c long, piece long, n_piece long", work)
 
 
-def gaps(cells: DataFrame, keys: list[str], rows: int, cols: int, least: int, connectivity: int = 4) -> DataFrame:
+def gaps(cells: DataFrame, keys: list[str], rows: int | str, cols: int | str, least: int, connectivity: int = 4) -> DataFrame:
     """(keys, r, c, piece, n_piece, open): pieces of cells that are not set, on a grid of each key that has one.
 
     A piece is ``open`` if it touches the grid's edge or has ``least`` cells or
@@ -128,10 +134,9 @@ def gaps(cells: DataFrame, keys: list[str], rows: int, cols: int, least: int, co
     """
     steps = _FOUR if connectivity == 4 else _EIGHT
 
-    def work(tr, tc, tile, r, c):
-        free = np.zeros((len(tr), SIDE, SIDE), dtype=bool)
-        free[(tr[:, None] + np.arange(SIDE) < rows)[:, :, None] & (tc[:, None] + np.arange(SIDE) < cols)[:, None, :]] = True
-        inside = (r >= 0) & (r < rows) & (c >= 0) & (c < cols)
+    def work(tr, tc, tile, r, c, rows, cols):
+        free = (tr[:, None] + np.arange(SIDE) < rows[:, None])[:, :, None] & (tc[:, None] + np.arange(SIDE) < cols[:, None])[:, None, :]
+        inside = (r >= 0) & (r < rows[tile]) & (c >= 0) & (c < cols[tile])
         free[tile[inside], (r - tr[tile])[inside], (c - tc[tile])[inside]] = False
         tile, r, c = np.nonzero(free)
         at_border = (r == 0) | (r == SIDE - 1) | (c == 0) | (c == SIDE - 1)
@@ -139,16 +144,16 @@ def gaps(cells: DataFrame, keys: list[str], rows: int, cols: int, least: int, co
         first = _pieces(tile, r, c, tr, tc, steps)
         n = np.bincount(first, minlength=len(first))[first] if len(first) else first
         is_open = np.zeros(len(first), dtype=bool)
-        np.logical_or.at(is_open, first, (r == 0) | (r == rows - 1) | (c == 0) | (c == cols - 1))
+        np.logical_or.at(is_open, first, (r == 0) | (r == rows[tile] - 1) | (c == 0) | (c == cols[tile] - 1))
         is_open = is_open[first] | ((n >= least) if least > 0 else False)
         some = ~is_open | at_border
         return tile[some], {"r": r[some], "c": c[some], "piece": (r[first] * _HIGH + c[first])[some], "n_piece": n[some], "open": is_open[some]}
 
     of = tiles(cells, keys, every=every_tile(cells.select(*keys).distinct(), rows, cols))
-    return _mapped(of, keys, "r long, c long, piece long, n_piece long, open boolean", work)
+    return _mapped(of, keys, "r long, c long, piece long, n_piece long, open boolean", work, rows, cols)
 
 
-def closed(cells: DataFrame, keys: list[str], rows: int, cols: int, p: int) -> DataFrame:
+def closed(cells: DataFrame, keys: list[str], rows: int | str, cols: int | str, p: int) -> DataFrame:
     """(keys, r, c): binary closing with a window of ``p`` cells to each side; outside the grid, and near its edge, counts as set."""
     halo = 2 * p
     wide = SIDE + 2 * halo
@@ -161,22 +166,23 @@ def closed(cells: DataFrame, keys: list[str], rows: int, cols: int, p: int) -> D
             join(out, x.take(range(k, k + n), axis=axis), out=out)
         return out
 
-    def work(tr, tc, tile, r, c):
+    def work(tr, tc, tile, r, c, rows, cols):
         on = np.zeros((len(tr), wide, wide), dtype=bool)
-        inside = (r >= 0) & (r < rows) & (c >= 0) & (c < cols)
+        inside = (r >= 0) & (r < rows[tile]) & (c >= 0) & (c < cols[tile])
         on[tile[inside], (r - tr[tile] + halo)[inside], (c - tc[tile] + halo)[inside]] = True
         on = spread(spread(on, 1, np.logical_or), 2, np.logical_or)
         y, x = tr[:, None] + np.arange(-p, SIDE + p), tc[:, None] + np.arange(-p, SIDE + p)
-        on |= ((y < p) | (y >= rows - p))[:, :, None] | ((x < p) | (x >= cols - p))[:, None, :]
+        on |= ((y < p) | (y >= rows[:, None] - p))[:, :, None] | ((x < p) | (x >= cols[:, None] - p))[:, None, :]
         on = spread(spread(on, 1, np.logical_and), 2, np.logical_and)
         tile, r, c = np.nonzero(on)
         r, c = r + tr[tile], c + tc[tile]
-        some = (r < rows) & (c < cols) & (r >= 0) & (c >= 0)
+        some = (r < rows[tile]) & (c < cols[tile]) & (r >= 0) & (c >= 0)
         return tile[some], {"r": r[some], "c": c[some]}
 
     # a grid of at most 2p rows or columns is all near its edge
-    every = every_tile(cells.select(*keys).distinct(), rows, cols) if min(rows, cols) <= 2 * p else None
-    return _mapped(tiles(cells, keys, halo, every), keys, "r long, c long", work)
+    thin = (size_of(rows) <= 2 * p) | (size_of(cols) <= 2 * p)
+    every = every_tile(cells.select(*keys).distinct().filter(thin), rows, cols)
+    return _mapped(tiles(cells, keys, halo, every), keys, "r long, c long", work, rows, cols)
 
 
 def _touching(cells: DataFrame, keys: list[str], connectivity: int) -> DataFrame:
