@@ -5,9 +5,11 @@ for each host (``source``) in how many distinct documents a line occurs, removes
 lines above the limit and rejects documents that lose most of their words.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null
-source is a host of its own; repeated rows with one doc_id and text are one
-document and each gets the same row; ties do not occur (all limits are exact
-integers); an empty table gives an empty result; extra columns are ignored.
+source is a host of its own; rows that share a doc_id are one document where
+documents are counted, and rows without one are not counted; repeated rows get
+the same row each; very long texts are measured whole; ties do not occur (all
+limits are exact integers); an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -60,13 +62,19 @@ def line_profile(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(profile: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
-    """(source, h) of lines in more than ``max_docs`` distinct documents of one host."""
-    return (
-        profile.select("source", F.explode(F.array_distinct("lines.h")).alias("h"))
-        .groupBy("source", "h")
-        .agg(F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") > max_docs)
-    )
+    """(source, h) of lines in more than ``max_docs`` distinct documents of one host.
+
+    ``profile`` has one row a doc_id, source and text. Lines of ids with one
+    text of a host are counted as they are; those of the few ids with several
+    are first made distinct by id, so that no id counts twice.
+    """
+    rows = profile.filter(F.col("doc_id").isNotNull())
+    several = rows.groupBy("doc_id", "source").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col("doc_id").alias("_id"), F.col("source").alias("_host"))
+    same = (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_host"))
+    lines = lambda df: df.select("doc_id", "source", F.explode(F.array_distinct("lines.h")).alias("h"))
+    count = lambda df: df.groupBy("source", "h").agg(F.count("*").alias("n_docs"))
+    some = count(lines(rows.join(several, same, "left_anti"))).unionByName(count(lines(rows.join(several, same, "left_semi")).distinct()))
+    return some.groupBy("source", "h").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") > max_docs)
 
 
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:

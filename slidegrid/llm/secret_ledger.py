@@ -2,22 +2,27 @@
 
 Every text version is addressed by its SHA-256. A ledger row says that one blob
 was scanned under one version of one rule, with what was found. ``scan`` reads
-only pairs of blob and rule version that the ledger lacks; ``findings_by_path``
-joins findings back to every path (``doc_id``) that ever held a blob.
+only pairs of blob and rule version that the ledger lacks; ``update_ledger``
+keeps the ledger as a table that lasts from run to run and appends what is new;
+``findings_by_path`` joins findings back to every path (``doc_id``) that ever
+held a blob.
 
 Spans are whole matches, in code points, end exclusive. Edge cases: a null text
 is the empty blob; repeated rows share one blob and each row gets its findings;
-an empty table gives no rows; extra columns are ignored; a null doc_id is kept.
+very long texts are scanned whole; ties do not occur, as spans are ordered by
+start and rule; an empty table gives no rows; extra columns are ignored; a null
+doc_id is kept.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import materialize
+from .text import _store, shared_dir
 
 
 class Rule(NamedTuple):
@@ -86,6 +91,29 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return out.select("blob", "f.kind", "f.version", "f.spans")
 
 
+LEDGER = "blob binary, kind string, version int, spans " + _SPAN
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, or nothing where no update has been written yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(path)
+
+
+def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger at ``path`` after all pairs that it lacked were scanned and appended.
+
+    Each update is a table of its own below ``path``, written as a whole or not
+    at all; a run that is repeated finds its pairs there and scans none. One
+    writer at a time: two would append the same pairs.
+    """
+    spark = docs.sparkSession
+    _store(scan(docs, read_ledger(spark, path), rules), f"{path.rstrip('/')}/update-{uuid.uuid4().hex}")
+    return read_ledger(spark, path)
+
+
 def findings_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, found): every path with all findings of its blob, by start and rule order."""
     order = {r.kind: k for k, r in enumerate(rules)}
@@ -111,9 +139,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ledger = materialize(scan(docs), "secret-ledger")
-    return digest(findings_by_path(docs, ledger))
+    """A ledger of the base rules, brought up to date for the rules that came later, and its findings by path."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    update_ledger(docs, path, RULES[:3])
+    return digest(findings_by_path(docs, update_ledger(docs, path)))
 
 
 def _rule_sql(rule: Rule, rank: int) -> str:
