@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import materialize
+from .text import column, materialize, with_text
 
 #: A line in more distinct documents of one host than this is boilerplate.
 MAX_DOCS_PER_HOST = 20
@@ -103,6 +103,26 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left:
     )
 
 
+def without_frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
+    """``docs`` with all columns and rows, and texts without the lines that are frequent at their host.
+
+    Texts that lose nothing stay as they are, null ones too; ``n_chars``
+    follows the text where it is there.
+    """
+    keys = ["doc_id", "source", "text_key"]
+    once = materialize(line_profile(docs).groupBy(*keys).agg(F.first("lines").alias("lines")), "line-profile")
+    often = frequent_lines(once, max_docs).select(F.col("source").alias("host"), F.col("h").alias("_h"))
+    lines = once.select(*keys, F.explode(F.array_distinct("lines.h")).alias("h"))
+    gone = lines.join(often, (F.col("h") == F.col("_h")) & F.col("source").eqNullSafe(F.col("host"))).groupBy(*keys).agg(F.collect_set("h").alias("_gone"))
+    gone = gone.select(*[F.col(k).alias(f"_{k}") for k in keys], "_gone")
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), *[F.col(c).alias(f"_of_{c}") for c in ("doc_id", "source")], F.xxhash64(F.coalesce("text", F.lit(""))).alias("_of_text_key"))
+    match = [F.col(f"_of_{k}").eqNullSafe(F.col(f"_{k}")) for k in keys]
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    kept = F.filter(F.split(F.col("_row").getField("text"), "\n", -1), lambda x: (F.size(words(x)) == 0) | ~F.array_contains("_gone", F.xxhash64(F.array_join(words(x), " "))))
+    text = F.when(F.col("_gone").isNull(), F.col("_row").getField("text")).otherwise(F.array_join(kept, "\n"))
+    return rows.join(gone, match[0] & match[1] & match[2], "left").select(*with_text(docs, text))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -47,6 +47,14 @@ def test_lines_are_counted_by_distinct_ids(spark):
     got = [tuple(r) for r in quality_lines.quality_rules(docs).select("doc_id", "n_words", "kept", "removed_lines", "removed_words").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert {i for i, *_, n, _ in want if n} == {*range(100, 121), 1}
+    left = quality_lines.without_frequent_lines(docs.withColumns({"n_chars": F.length("text").cast("long"), "a.b": F.lit(1)}))
+    assert left.columns == ["doc_id", "text", "source", "n_chars", "a.b"]
+    cut = [(i, "\n".join(x for x in t.split("\n") if len(ids[host, " ".join(x.lower().split())]) <= quality_lines.MAX_DOCS_PER_HOST), host) for i, t, host in rows]
+    assert sorted(map(repr, ((r.doc_id, r.text, r.source) for r in left.collect()))) == sorted(map(repr, cut))
+    assert all(r.n_chars == len(r.text) for r in left.collect())
+    odd = spark.createDataFrame([(1, None, None), (2, "", "h"), (None, "x\n\n \n", None)], docs.schema)
+    assert sorted(map(repr, quality_lines.without_frequent_lines(odd).collect())) == sorted(map(repr, odd.collect()))
+    assert quality_lines.without_frequent_lines(docs.limit(0)).collect() == []
 
 
 def plain_counts(text):
