@@ -9,7 +9,9 @@ alone, position by position, so the result is that of the plain algorithm.
 
 Encoded words are kept from block to block, up to ``CACHE`` entries. Edge
 cases: a null or empty text has no ids; repeated rows are kept; an empty table
-gives no rows; extra columns are ignored; very long words are never kept.
+gives no rows; extra columns are ignored; very long texts are encoded whole,
+very long words are never kept; of equal pairs in a word the leftmost is merged
+first.
 """
 
 from __future__ import annotations

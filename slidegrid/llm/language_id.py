@@ -8,7 +8,9 @@ n-grams that occur and adding them up text by text.
 
 Edge cases: a text without a letter, or null, is ``und`` with score 1; ties go
 to the language first in name order; without any training row all is ``und``;
-repeated rows are kept; an empty table gives no rows; extra columns are ignored.
+very long texts are counted whole; repeated rows are kept; an empty table gives
+no rows; extra columns are ignored. The matrix has a column for each language
+that occurs in training, of which there are as many as distinct ``lang`` values.
 """
 
 from __future__ import annotations

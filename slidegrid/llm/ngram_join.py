@@ -24,8 +24,9 @@ the groups, not the number of their links.
 Edge cases: a text with fewer than five words has its word sequence as its only
 shingle; without words or text the set is empty and links with nothing; a
 repeated row links with its copies; rows of one doc_id with different texts are
-told apart; a null doc_id keeps its row and never names a group; an empty table
-gives no rows; extra columns are ignored.
+told apart; a null doc_id keeps its row and never names a group; very long
+texts are read whole; a share of exactly 75 percent links; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

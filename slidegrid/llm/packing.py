@@ -8,7 +8,8 @@ side by side and at most the last few windows of a group stay ill filled.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are
 packed as often as they occur; ties are packed in order of doc_id, then start;
-an empty table gives no rows; extra columns are ignored.
+very long texts are cut into full windows, whole; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,6 +199,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFra
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+    """The pieces of all ``docs`` in packed sequences, tokenised by the vocabulary at ``path``; edge cases as the module says."""
     return pack(materialize(cut_pieces(docs, path, window), "pieces"), window)
 
 

@@ -14,8 +14,9 @@ deepest, and the spans of the whole text are then reconciled: base spans stay,
 model spans that meet one go, model spans must pass a check of their kind.
 
 Edge cases: null and empty texts have no spans; ties between windows go to the
-earlier one; without any labelled window only base spans are reported; repeated
-rows are kept; an empty table gives no rows; extra columns are ignored.
+earlier one; without any labelled window only base spans are reported; very
+long texts are searched whole; repeated rows are kept; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,8 +21,9 @@ smallest document keeps each passage.
 
 Edge cases: words are split at ``[\\x20\\x09-\\x0D]`` and compared exactly; null,
 empty and short texts have no passages; rows that repeat a doc_id and text are
-one document; rows without a doc_id are left alone; an empty table gives no
-rows; extra columns are ignored.
+one document; rows without a doc_id are left alone; very long texts are read
+whole; of documents that tie in a passage the smallest doc_id keeps it; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ of every whole text and adds up each distinct hit once.
 
 Edge cases: null and empty texts have no features and score the model's bias;
 rows without a label are not learnt from; without both classes every score is
-0.5 (predicted 0); repeated rows are kept; an empty table gives no rows; extra
-columns are ignored.
+0.5 (predicted 0); very long texts are scored whole; a score equal to the
+threshold counts as toxic; repeated rows are kept; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ Edge cases: a null or empty text stores 64 zero bytes; equal texts give equal
 streams; bytes that are no transport stream read as no payload with ``ok``
 false, and so do empty or torn tables; a packet sent twice counts once; after
 lost packets the payload holds what arrived and ``ok`` is false; a null stream
-reads as null; repeated rows are kept; an empty table gives no rows; extra
-columns are ignored.
+reads as null; very long texts are stored whole, one text at a time; ties do
+not occur; repeated rows are kept; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
