@@ -30,11 +30,6 @@ LOCAL = 4096
 STEP = 4
 
 
-def _binned(df: DataFrame, size: int) -> DataFrame:
-    bins = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
-    return df.withColumn("bx", F.explode(bins("x1", "x2"))).withColumn("by", F.explode(bins("y1", "y2")))
-
-
 def has_area() -> Column:
     return F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
 
@@ -324,11 +319,19 @@ def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", or
     return merge(solid.join(large.select(key), key, "left_anti"), [key]).unionByName(merge(within, [key, *[f"r_{c}" for c in BOX]])).unionByName(alone.select(key, *BOX))
 
 
-def crop_pixels(pixels: DataFrame, boxes: DataFrame, key: str = "img", ident: str = "box", size: int = 64) -> DataFrame:
-    """Pixels inside each half-open box, with coordinates from the box corner."""
-    binned = _binned(boxes.withColumnRenamed(ident, "_box"), size)
-    cells = pixels.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
-    met = cells.join(binned, [key, "bx", "by"]).filter("x >= x1 AND x < x2 AND y >= y1 AND y < y2")
+def crop_pixels(pixels: DataFrame, boxes: DataFrame, key: str = "img", ident: str = "box", classes: list[int] | None = None) -> DataFrame:
+    """Pixels inside each half-open box, with coordinates from the box corner.
+
+    A box lies in four bins of its size class at most, whatever its size; a
+    pixel lies in one bin of each class that occurs.
+    """
+    solid = boxes.filter(has_area())
+    classes = size_classes(solid) if classes is None else classes
+    binned = _in_bins(solid.select(key, F.col(ident).alias("_box"), *BOX).withColumn("_kl", _size_class()), F.array("_kl"))
+    side = F.pow(F.lit(float(STEP)), F.col("_k"))
+    cells = pixels.withColumn("_k", F.explode(F.array(*map(F.lit, classes)).cast("array<int>")))
+    cells = cells.withColumns({"_bx": F.floor(F.col("x") / side), "_by": F.floor(F.col("y") / side)})
+    met = cells.join(binned, [key, "_k", "_bx", "_by"]).filter("x >= x1 AND x < x2 AND y >= y1 AND y < y2")
     rest = [c for c in pixels.columns if c not in (key, "x", "y")]
     return met.select(key, F.col("_box").alias(ident), (F.col("x") - F.col("x1")).alias("x"), (F.col("y") - F.col("y1")).alias("y"), *rest)
 

@@ -36,7 +36,7 @@ def patch_votes(regions: DataFrame, cells: DataFrame, size: int = 100, side: int
     name = F.create_map(*[F.lit(x) for k, v in CLASSES.items() for x in (v, k)])
     runs = cells.select("slide", centre("c").alias("x"), centre("r").alias("y"), (F.col("r") * side + F.col("c")).alias("run"), name[F.col("class_id").cast("int")].alias("label"))
     boxes = regions.select("slide", F.col("label").alias("region"), *[F.col(c).cast("long").alias(c) for c in geometry.BOX])
-    inside = overlap.crop_pixels(runs, boxes, "slide", "region", 128)
+    inside = overlap.crop_pixels(runs, boxes, "slide", "region")
     return inside.select("slide", "region", F.floor(F.col("y") / size).cast("int").alias("row"), F.floor(F.col("x") / size).cast("int").alias("col"), "run", "label")
 
 

@@ -108,7 +108,7 @@ def _(spark, d):
     p = X.images(spark, d)
     b = p.select("img").distinct().withColumn("box", F.explode(F.array(*map(F.lit, (0, 2, 4)))))
     b = b.withColumns({"x1": F.col("img") % 3, "y1": F.col("box")}).withColumns({"x2": F.col("x1") + 4, "y2": F.col("y1") + 3})
-    return O.crop_pixels(p.select("img", "x", "y", "r"), b, size=4).select("img", "box", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r")
+    return O.crop_pixels(p.select("img", "x", "y", "r"), b).select("img", "box", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r")
 
 
 _GRID = """g AS (SELECT slide, idx, "row", col, x1 + col * 16 AS px1, y1 + "row" * 16 AS py1, least(x1 + col * 16 + 16, x2) AS px2, least(y1 + "row" * 16 + 16, y2) AS py2

@@ -116,3 +116,16 @@ def test_doubles_and_names_of_columns(spark):
 def test_merge_in_order_takes_long_chains(spark):
     chain = [(i, 0, i + 2, 2) for i in range(3000)]
     assert overlap.merge_in_order(chain, 0.1) == [(0, 0, 3001, 2)]
+
+
+def test_crop_takes_boxes_of_any_size(spark):
+    rng = random.Random(11)
+    pixels = [(i % 2, rng.randrange(-100, 5000), rng.randrange(5000), i) for i in range(400)]
+    boxes = [(i % 2, i, x, y, x + w, y + h) for i in range(60) for x, y, w, h in [(rng.randrange(-50, 4000), rng.randrange(4000), rng.choice([0, 1, 5, 90, 4096, 100_000]), rng.choice([2, 64, 700, 90_000]))]]
+    df = spark.createDataFrame(pixels, "img long, x long, y long, v long").withColumn("extra", F.lit(1))
+    got = overlap.crop_pixels(df, spark.createDataFrame(boxes, "img long, box long, x1 long, y1 long, x2 long, y2 long"))
+    assert got.columns == ["img", "box", "x", "y", "v", "extra"]
+    want = [(k, b, x - x1, y - y1, v) for k, x, y, v in pixels for g, b, x1, y1, x2, y2 in boxes if g == k and x1 <= x < x2 and y1 <= y < y2]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(want)
+    none = spark.createDataFrame([], "img long, box long, x1 long, y1 long, x2 long, y2 long")
+    assert overlap.crop_pixels(df, none).collect() == []
