@@ -5,13 +5,11 @@ bidirectional LSTM with a linear-chain CRF on top, is trained in numpy from
 labelled spans: base spans found in at most ``TRAIN_WINDOWS`` windows of the
 corpus, together with copies of those windows in which the same data are
 written in ways that the patterns miss ("name at host dot org", numbers without
-a plus sign, dots in brackets). Every span the model may report holds a digit,
-an ``@``, or an "at" between signs that a dot follows within ``SPOKEN``
-characters (``sound``), so only the surroundings of such triggers are cut into
-windows; elsewhere nothing could be reported. Windows overlap
-by half; each character takes its label from the window in whose middle it lies
-deepest, and the spans of the whole text are then reconciled: base spans stay,
-model spans that meet one go, model spans must pass a check of their kind.
+a plus sign, dots in brackets). The model then decodes every whole text, in
+windows of ``SPAN`` characters of which neighbours share ``SHARED``; each
+character takes its label from the window in whose middle it lies deepest, and
+the spans of the whole text are reconciled: base spans stay, model spans that
+meet one go, model spans must pass a check of their kind (``sound``).
 
 Edge cases: null and empty texts have no spans; ties between windows go to the
 earlier one; without any labelled window only base spans are reported; very
@@ -35,7 +33,8 @@ from pyspark.sql import functions as F
 from .text import Scratch, column, tidy, trimmed, with_text
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, REACH = 96, 48, 24
+WINDOW, STRIDE, REACH, PROSE = 96, 48, 24, 1000  # windows to learn from
+SPAN, SHARED, PAD, LANES = 384, 64, 128, 512  # windows to decode
 TRAIN_WINDOWS, EPOCHS, BATCH, HIDDEN, EMBED, RATE = 1500, 6, 48, 20, 12, 0.02
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
@@ -45,12 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
-#: An "at" between signs and, within so many characters, a dot or its name.
-SPOKEN = 40
-_AT = rf"(?<=[^A-Za-z])[aA][tT](?=[^A-Za-z])(?=.{{0,{SPOKEN}}}?(?:\.|[dD][oO][tT]))"
-_SPOKEN = re.compile(_AT, re.DOTALL)
-#: Every value that ``sound`` accepts holds one of these.
-_TRIGGER = re.compile(rf"[0-9@]+|{_AT}", re.DOTALL)
+#: The windows to learn from lie round these, and every ``PROSE`` characters.
+_TRIGGER = re.compile(r"[0-9@]+|\b[aA][tT]\b")
 
 
 def luhn(digits: str) -> bool:
@@ -101,8 +96,8 @@ def sound(kind: int, value: str) -> bool:
     """What a model span of a kind must hold."""
     digits = _NOT_DIGIT.sub("", value)
     if kind == 0:
-        dotted = "." in value or "dot" in value.lower()
-        return (bool(_SPOKEN.search(value)) or "@" in value and dotted) and sum(c.isalnum() for c in value) >= 6
+        low = value.lower()
+        return ("@" in value or "at" in low) and ("." in value or "dot" in low) and sum(c.isalnum() for c in value) >= 6
     if kind == 1:
         parts = [p for p in _NOT_DIGIT.split(value) if p]
         return len(parts) == 4 and all(map(_small, parts))
@@ -131,7 +126,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the overlapping windows that cover all triggers and ``REACH`` characters beside them."""
+    """Starts of windows to learn from: over all triggers and ``REACH`` characters beside them, and here and there."""
     zones: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, z = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -143,7 +138,12 @@ def window_starts(text: str) -> list[int]:
     for a, z in zones:
         a -= min(a, (WINDOW - STRIDE) // 2)
         out += range(a, max(a + 1, z - (WINDOW - STRIDE) // 2), STRIDE)
-    return out
+    return sorted({*out, *range(0, len(text), PROSE)})
+
+
+def cuts(n: int) -> range:
+    """Starts of the windows in which a text of n characters is decoded."""
+    return range(0, max(1, n - SHARED), SPAN - SHARED)
 
 
 def _cut(code: np.ndarray, starts: list[int]) -> np.ndarray:
@@ -283,20 +283,72 @@ def fit(win: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     return Model(*m)
 
 
-def decode(m: Model, win: np.ndarray) -> np.ndarray:
-    """Best tags (B, T) of windows under the CRF."""
-    e = emissions(m, win)
-    t, b, _ = e.shape
-    score, back = e[0], np.empty((t, b, TAGS), dtype=np.int8)
+def _pass(table: np.ndarray, wh: np.ndarray, out: np.ndarray, codes_: np.ndarray, order: range, score: np.ndarray) -> None:
+    """Add what the hidden states of one direction give each tag to ``score`` (T, TAGS, B).
+
+    ``table`` holds the input gates of every code. Rows are gates and columns
+    windows, so that every step works on whole blocks of memory; sigmoids are
+    1 / (1 + exp(-x)), and tanh x is 2 sigmoid(2 x) - 1.
+    """
+    sign = np.repeat(np.float32([-1, -1, -1, -2]), HIDDEN)
+    table, wh, out = table * sign, np.ascontiguousarray((wh * sign).T), np.ascontiguousarray(out.T)
+    b = codes_.shape[1]
+    z, part = np.empty((4 * HIDDEN, b), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
+    h, c, u = (np.zeros((HIDDEN, b), np.float32) for _ in range(3))
+    i, f, o, g = z.reshape(4, HIDDEN, b)
+    for k in order:
+        np.take(table, codes_[k], axis=0, out=part, mode="clip")
+        np.matmul(wh, h, out=z)
+        np.add(z, part.T, out=z)
+        np.exp(z, out=z)
+        np.add(z, 1, out=z)
+        np.divide(1, z, out=z)
+        np.multiply(g, 2, out=g)
+        np.subtract(g, 1, out=g)
+        np.multiply(c, f, out=c)
+        np.multiply(i, g, out=u)
+        np.add(c, u, out=c)
+        np.multiply(c, -2, out=u)
+        np.exp(u, out=u)
+        np.add(u, 1, out=u)
+        np.divide(2, u, out=u)
+        np.subtract(u, 1, out=u)
+        np.multiply(o, u, out=h)
+        score[k] += out @ h
+
+
+def best_tags(e: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Best path (T, B) through scores (T, TAGS, B) and transitions; ties go to the lower tag."""
+    t, _, b = e.shape
+    score = e.copy()
     for k in range(1, t):
-        all_ = score[:, :, None] + m.move
-        back[k] = all_.argmax(axis=1)
-        score = all_.max(axis=1) + e[k]
-    out = np.empty((t, b), dtype=np.int64)
-    out[-1] = score.argmax(axis=1)
+        score[k] += (score[k - 1][:, None] + move[:, :, None]).max(axis=0)
+    out = np.empty((t, b), dtype=np.int8)
+    out[-1] = score[-1].argmax(axis=0)
     for k in range(t - 1, 0, -1):
-        out[k - 1] = back[k][np.arange(b), out[k]]
-    return out.T
+        out[k - 1] = (score[k - 1] + move[:, out[k]]).argmax(axis=0)
+    return out
+
+
+def decode(m: Model, win: np.ndarray) -> np.ndarray:
+    """Best tags (B, T) of windows under the CRF.
+
+    A run of tags other than 0 gains at most its scores over those of tag 0 and
+    twice the best transition for each character. Where this is below 0 at all
+    characters of a window, 0 throughout is its best path.
+    """
+    cols = np.ascontiguousarray(win.T, dtype=np.intp)
+    e = np.empty((*cols.shape[:1], TAGS, cols.shape[1]), dtype=np.float32)
+    e[:] = m.out_bias[:, None]
+    with np.errstate(over="ignore"):
+        for d, order in enumerate((range(len(cols)), range(len(cols) - 1, -1, -1))):
+            _pass(m.embed @ m.wx[d] + m.bias[d], m.wh[d], m.out[d * HIDDEN : (d + 1) * HIDDEN], cols, order, e)
+    most = 2 * max(0.0, float((m.move - m.move[0, 0]).max())) + 0.1  # with room for rounding
+    open_ = np.flatnonzero((e[:, 1:].max(axis=1) - e[:, 0] + most >= 0).any(axis=0))
+    out = np.zeros(win.shape, dtype=np.int64)
+    if len(open_):
+        out[open_] = best_tags(np.ascontiguousarray(e[:, :, open_]), m.move).T
+    return out
 
 
 # --- labelled windows -------------------------------------------------------
@@ -367,7 +419,7 @@ def train(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> Model | None:
             yield pa.record_batch([pa.array([pickle.dumps(fit(win, tags.astype(np.int64)))], pa.binary())], ["model"])
 
     with Scratch(docs.sparkSession) as tables:
-        some = docs.filter("text RLIKE '[0-9@]|[aA][tT]'").select("text").mapInArrow(tidy(run), "rank long, codes binary, tags binary, labelled boolean")
+        some = docs.select("text").mapInArrow(tidy(run), "rank long, codes binary, tags binary, labelled boolean")
         some = tables.put(some.distinct(), "windows")
         best = [some.filter(F.col("labelled") == has).orderBy("rank", "codes", "tags").limit(n) for has, n in most.items()]
         # a bounded number of windows, so one task fits the model
@@ -391,39 +443,44 @@ def _joined(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def label_texts(texts: list[str], model: Model) -> list[np.ndarray]:
+    """The tag of every character of whole texts, none of them empty.
+
+    Windows are filled up to a multiple of ``PAD`` and decoded with others of
+    their length; where two overlap, each gives the half that it holds deeper.
+    """
+    rows: dict[int, list] = {}
+    for i, t in enumerate(texts):
+        code = codes(t)
+        for s in cuts(len(t)):
+            part = code[s : s + SPAN]
+            rows.setdefault(-(-len(part) // PAD) * PAD, []).append((i, s, part))
+    out = [np.zeros(len(t), dtype=np.int8) for t in texts]
+    for size, all_ in rows.items():
+        for a in range(0, len(all_), LANES):
+            some = all_[a : a + LANES]
+            win = np.zeros((len(some), size), dtype=np.uint8)
+            for row, (_, _, part) in zip(win, some, strict=True):
+                row[: len(part)] = part
+            for row, (i, s, part) in zip(decode(model, win), some, strict=True):
+                lo, hi = s and SHARED // 2, len(part)
+                if s + hi < len(texts[i]):
+                    hi = SPAN - SHARED // 2
+                out[i][s + lo : s + hi] = row[lo:hi]
+    return out
+
+
 def find_spans(texts: list[str], model: Model | None) -> list[tuple[list, list]]:
     """(base, added) spans of each text."""
-    base = [base_spans(t) for t in texts]
-    added: list[list] = [[] for _ in texts]
-    starts = [window_starts(t) if model is not None else [] for t in texts]
-    windows, owner = [], []
-    for i, s in enumerate(starts):
-        if s:
-            windows.append(_cut(codes(texts[i]), s))
-            owner += [(i, x) for x in s]
-    if not owner:
-        return list(zip(base, added, strict=True))
-    win, back = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
-    tags = np.concatenate([decode(model, win[a : a + 512]) for a in range(0, len(win), 512)])[back.reshape(-1)]
-    depth = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1
-    at = 0
-    while at < len(owner):
-        i, to = owner[at][0], at
-        while to < len(owner) and owner[to][0] == i:
-            to += 1
-        lo = owner[at][1]
-        label = np.zeros(owner[to - 1][1] + WINDOW - lo, dtype=np.int64)
-        deep = np.zeros(len(label), dtype=np.int64)
-        for (_, s), row in zip(owner[at:to], tags[at:to], strict=True):
-            part = slice(s - lo, s - lo + WINDOW)
-            more = depth > deep[part]
-            label[part][more], deep[part][more] = row[more], depth[more]
-        for s, kind, e in _joined(label):
-            s, e = s + lo, min(e + lo, len(texts[i]))
-            if s < e and not any(s < z and a < e for a, _, z in base[i]) and sound(kind, texts[i][s:e]):
-                added[i].append((s, kind, e))
-        at = to
-    return list(zip(base, added, strict=True))
+    distinct = [t for t in dict.fromkeys(texts) if t]
+    found = {t: (base_spans(t), []) for t in ["", *distinct]}
+    if model is not None:
+        for t, label in zip(distinct, label_texts(distinct, model), strict=True):
+            base, added = found[t]
+            for s, kind, e in _joined(label):
+                if not any(s < z and a < e for a, _, z in base) and sound(kind, t[s:e]):
+                    added.append((s, kind, e))
+    return [found[t] for t in texts]
 
 
 def _text(spans: list[tuple[int, int, int]]) -> str:

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -291,15 +292,38 @@ def test_op6_redacts(spark):
     assert out[0].text == "mail <email>, <ip>" and out[0].n_chars == len(out[0].text) and out[1].text is None
 
 
-def test_op6_windows_cover_what_may_be_reported():
-    random.seed(16)
-    values = ["jane at acme.org", "Jane At Acme Dot org", "jane_at_acme_dot_org", "jane at mail.acme dot org", "jane AT acme dot(org)"]
-    values += ["".join(random.choices(["at", "At", "aT", "dot", "DOT", ".", "@", "ab", "xyz", "_", " ", "(", "1", "22"], k=8)) for _ in range(3000)]
-    for v in values:
-        if any(pii.sound(k, v) for k in range(len(pii.KINDS))):
-            t = f"{'qu ' * 60}{v}{' qu' * 60}"
-            covered = {x for s in pii.window_starts(t) for x in range(s, s + pii.WINDOW)}
-            assert covered & set(range(180, 180 + len(v))), v
+def test_op6_best_path():
+    # the fast decoder against the emissions that were trained and every path
+    m, rng = pii.fresh(3), np.random.default_rng(3)
+    m = m._replace(move=rng.standard_normal(m.move.shape).astype(np.float32), out=m.out * 4)
+    win = rng.integers(0, pii.VOCAB, (40, 4))
+    e, got = pii.emissions(m, win), pii.decode(m, win)
+    for r in range(len(win)):
+        worth = lambda p: sum(float(e[k, r, x]) for k, x in enumerate(p)) + sum(float(m.move[x, y]) for x, y in zip(p, p[1:]))  # noqa: E731, B023
+        assert worth(got[r].tolist()) >= max(map(worth, itertools.product(range(pii.TAGS), repeat=4))) - 1e-3
+    # windows told to hold nothing without a search hold nothing with one
+    shy = m._replace(out_bias=np.array([9.0] + [0] * (pii.TAGS - 1), dtype=np.float32), move=m.move / 4)
+    win = rng.integers(0, pii.VOCAB, (60, 96))
+    e = pii.emissions(shy, win)
+    assert (pii.decode(shy, win) == pii.best_tags(np.ascontiguousarray(e.transpose(0, 2, 1)), shy.move).T).mean() > 0.999
+
+
+def test_op6_labels_whole_texts():
+    # every character of texts of all lengths, window by window
+    m, rng = pii.fresh(5), random.Random(5)
+    m = m._replace(out=m.out * 3)
+    texts = ["".join(rng.choices("ab @.19at\né", k=n)) for n in (1, 63, 64, 65, 127, 128, 383, 384, 385, 448, 449, 704, 768, 769, 3000)]
+    for t, got in zip(texts, pii.label_texts(texts, m), strict=True):
+        label, deep = np.zeros(len(t), dtype=int), np.full(len(t), -1)
+        for s in range(0, max(1, len(t) - pii.SHARED), pii.SPAN - pii.SHARED):
+            part = pii.codes(t)[s : s + pii.SPAN]
+            win = np.zeros((1, -(-len(part) // pii.PAD) * pii.PAD), dtype=np.uint8)
+            win[0, : len(part)] = part
+            for k, tag in enumerate(pii.decode(m, win)[0, : len(part)].tolist()):
+                d = min(k if s else len(t), len(part) - 1 - k if s + len(part) < len(t) else len(t))
+                if d > deep[s + k]:
+                    label[s + k], deep[s + k] = tag, d
+        assert (label == got).mean() > 0.999 and label.any()
 
 
 def test_op6_trains_on_rare_labels(spark, monkeypatch):

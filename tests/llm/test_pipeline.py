@@ -148,13 +148,13 @@ def test_pii(stages):
 def plain_spans(t, model):
     """Windows one by one, each character labelled by the window in whose middle it lies deepest."""
     base, label, deep = pii.base_spans(t), {}, {}
-    for s in pii.window_starts(t):
-        code = np.zeros((1, pii.WINDOW), dtype=np.uint8)
-        part = pii.codes(t[s : s + pii.WINDOW])
+    for s in range(0, max(1, len(t) - pii.SHARED), pii.SPAN - pii.SHARED) if t else ():
+        part = pii.codes(t[s : s + pii.SPAN])
+        code = np.zeros((1, -(-len(part) // pii.PAD) * pii.PAD), dtype=np.uint8)
         code[0, : len(part)] = part
-        for k, tag in enumerate(pii.decode(model, code)[0].tolist()):
-            d = min(k, pii.WINDOW - 1 - k)
-            if s + k < len(t) and d > deep.get(s + k, -1):
+        for k, tag in enumerate(pii.decode(model, code)[0, : len(part)].tolist()):
+            d = min(k if s else len(t), len(part) - 1 - k if s + len(part) < len(t) else len(t))
+            if d > deep.get(s + k, -1):
                 label[s + k], deep[s + k] = tag, d
     more, p = [], 0
     while p < len(t):
