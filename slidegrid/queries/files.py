@@ -205,11 +205,15 @@ def _(spark, d):
     return found.groupBy(part("source"), part("lang")).agg(F.count("*").alias("n_files"), F.floor(F.sum("length") / 2).alias("n_lines"))
 
 
-@_add("d22_worklist_counts", "SELECT count(*) AS n FROM documents GROUP BY source")
+@_add("d22_worklist_counts", "SELECT source AS list_name, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, d):
     path = folder(spark)
-    _a_file_each(X.table(spark, d, "documents").select("source", F.concat(F.lit("doc"), "doc_id").alias("value")), path, ["source"])
-    return S.worklist_counts(S.read_worklist(spark, [path])).select("n")
+    # folders are named by the bytes of a source in hex, so that null, empty and odd names stay apart
+    name = F.concat(F.lit("x"), F.hex(F.encode("source", "utf-8"))).alias("list")
+    X.table(spark, d, "documents").select(name, F.concat(F.lit("doc"), "doc_id").alias("value")).write.partitionBy("list").text(path)
+    files = S.worklist_counts(S.read_worklist(spark, [path]))
+    of = F.decode(F.unhex(F.nullif(F.regexp_extract("path", "/list=x([0-9A-F]*)/", 1), F.when(~F.col("path").contains("/list=x"), F.lit("")))), "utf-8")
+    return files.groupBy(of.alias("list_name")).agg(F.sum("n").alias("n"))
 
 
 @_add("j3_progress", "SELECT user_id, count(*) AS done, any_value(total) AS total, CAST(floor(100.0 * count(*) / any_value(total) * 1e6 + 0.5) AS BIGINT) AS percent, CAST(floor(CASE WHEN max(ts) > min(ts) THEN count(*) / (epoch(max(ts)) - epoch(min(ts))) ELSE 0 END * 1e6 + 0.5) AS BIGINT) AS rate FROM events JOIN (SELECT user_id, 2 * count(*) AS total FROM events GROUP BY 1) USING (user_id) GROUP BY 1")

@@ -309,3 +309,12 @@ def test_mask_delta_counts_components(spark):
     got = {r.slide: r.asDict() for r in mask.mask_delta(old, new, ["slide"]).collect()}
     assert [got[1][k] for k in ("before_cells", "after_cells", "added", "removed", "components_before", "components_after", "small_components", "small_cells")] == [6, 2, 0, 4, 3, 2, 2, 3]
     assert [got[2][k] for k in ("before_cells", "after_cells", "added", "components_before", "components_after", "small_components")] == [0, 1, 1, 0, 1, 0]
+
+
+def test_worklist_counts_keep_the_names_of_lists(spark, tmp_path):
+    from slidegrid.queries import QUERIES
+
+    rows = [(1, "a"), (2, "a"), (3, "b/c=d e%"), (4, ""), (5, None), (6, "__HIVE_DEFAULT_PARTITION__")]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.list_name: r.n for r in QUERIES["d22_worklist_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 2, "b/c=d e%": 1, "": 1, None: 1, "__HIVE_DEFAULT_PARTITION__": 1}
