@@ -26,6 +26,8 @@ from .geometry import BOX
 
 #: Boxes that one task merges at once.
 LOCAL = 4096
+#: Groups of at most so many boxes are merged side by side, as rows of padded arrays of about so many numbers.
+SMALL, NUMBERS = 512, 1 << 15
 #: Bins of a size class have sides of this to the power of the class.
 STEP = 4
 
@@ -125,11 +127,13 @@ def disjoint_hulls(low: np.ndarray, high: np.ndarray, ident: np.ndarray) -> tupl
     return out_low[:n], out_high[:n], name[:n]
 
 
-def _by_group(df: DataFrame, by: list[str], key: str, order: list[str], fields: list[str], merge: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+def _by_group(df: DataFrame, by: list[str], key: str, order: list[str], fields: list[str], merge: Callable[..., tuple[np.ndarray, ...]], many: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
     """(key, fields): what ``merge`` makes of the arrays of ``fields`` of each group, its rows sorted by ``order`` and then by ``fields``.
 
     Groups travel as one list each and many to a batch, so that a small group
-    costs no call of its own.
+    costs no call of its own: groups of about the same size are given together
+    to ``many``, as padded arrays of one row a group and the sizes, if their
+    numbers allow it; it gives the row of each result, and its fields.
     """
     kinds = [df.schema[c].dataType for c in fields]
     wide = [F.col(c).cast("long" if isinstance(t, T.IntegralType) else "double" if isinstance(t, T.NumericType) else t).alias(f"_{c}") for c, t in zip(fields, kinds, strict=True)]
@@ -140,15 +144,74 @@ def _by_group(df: DataFrame, by: list[str], key: str, order: list[str], fields:
         for b in batches:
             rows, size = b.column(1).flatten(), b.column(1).value_lengths().to_numpy(zero_copy_only=False)
             columns, ends = [rows.field(f"_{c}").to_numpy(zero_copy_only=False) for c in fields], np.cumsum(size)
-            made = [merge(*[c[z - n : z] for c in columns]) for z, n in zip(ends, size, strict=True)]
+            alike = np.argsort(size, kind="stable")
+            few = int((size <= SMALL).sum()) if _side_by_side(columns) else 0
+            made, at = [], 0
+            while at < few:
+                which = alike[at : min(few, at + max(1, NUMBERS // int(size[alike[at]])))]
+                place = (ends - size)[which][:, None] + np.arange(size[which].max())
+                inside = place < ends[which][:, None]
+                who, *out = many(*[c[np.where(inside, place, 0)] for c in columns], inside)
+                made.append((which[who], *out))
+                at += len(which)
+            for i in alike[few:]:
+                out = merge(*[c[ends[i] - size[i] : ends[i]] for c in columns])
+                made.append((np.full(len(out[0]), i), *out))
             if made:
-                who = b.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made])))
-                yield pa.record_batch([who, *[pa.array(np.concatenate(c)) for c in zip(*made, strict=True)]], names)
+                who, *out = map(np.concatenate, zip(*made, strict=True))
+                yield pa.record_batch([b.column(0).take(pa.array(who)), *map(pa.array, out)], names)
 
     schema = T.StructType([df.schema[key], *[T.StructField(c, w) for c, w in zip(fields, [f.dataType for f in df.select(*wide).schema], strict=True)]])
     return lists.mapInArrow(run, schema).select(key, *[F.col(c).cast(t).alias(c) for c, t in zip(fields, kinds, strict=True)])
 
 
+def _side_by_side(columns: list[np.ndarray]) -> bool:
+    """Whether arrays of numbers give what plain numbers would: finite, and integers with exact areas as doubles."""
+    corners = columns[:4]
+    if any(c.dtype.kind not in "if" for c in columns) or any(not np.isfinite(c).all() for c in corners):
+        return False
+    return all(c.dtype.kind == "f" or not len(c) or (c.min() > -(1 << 25) and c.max() < 1 << 25) for c in corners)
+
+
+def hulls_side_by_side(x1, y1, x2, y2, ident, inside):
+    """Row and fields of the hulls of ``disjoint_hulls`` for many groups: rows of boxes, of which those ``inside`` count.
+
+    In each round a hull goes to the first hull of its row that it meets.
+    """
+    low, high = np.stack((x1, y1)), np.stack((x2, y2))
+    group, done = np.arange(len(ident)), []
+    while len(group):
+        n = ident.shape[1]
+        meet = inside[:, :, None] & inside[:, None, :]
+        for a, b in zip(low, high, strict=True):
+            ahead = a[:, :, None] < b[:, None, :]
+            meet &= ahead & ahead.swapaxes(1, 2)
+        to = np.where(inside, meet.argmax(axis=2), np.arange(n)) + n * np.arange(len(group))[:, None]
+        settled = (to == np.arange(to.size).reshape(to.shape)).all(axis=1)
+        if settled.any():
+            row, at = np.nonzero(inside & settled[:, None])
+            done.append((group[row], *(v[row, at] for v in (*low, *high, ident))))
+            still = ~settled
+            group, inside, ident, low, high = group[still], inside[still], ident[still], low[:, still], high[:, still]
+            to = to[still]
+            if not len(group):
+                break
+            to = to % n + n * np.arange(len(group))[:, None]
+        to = to.ravel()
+        while (to[to] != to).any():
+            to = to[to]
+        low, high, ident = low.copy(), high.copy(), ident.copy()
+        some = np.flatnonzero(inside.ravel() & (to != np.arange(to.size)))
+        for flat, least in ((low[0], np.minimum), (low[1], np.minimum), (high[0], np.maximum), (high[1], np.maximum), (ident, np.minimum)):
+            # rows of a plane are contiguous, so that this writes into it
+            least.at(flat.reshape(-1), to[some], flat.reshape(-1)[some])
+        inside = inside & (to == np.arange(to.size)).reshape(inside.shape)
+        first = np.argsort(~inside, axis=1, kind="stable")[:, : inside.sum(axis=1).max()]
+        take = lambda v: np.take_along_axis(v, first, axis=1)  # noqa: B023, E731
+        inside, ident, low, high = take(inside), take(ident), np.stack([*map(take, low)]), np.stack([*map(take, high)])
+    return tuple(map(np.concatenate, zip(*done, strict=True)))
+
+
 def _hulls_of(x1, y1, x2, y2, ident):
     low, high, name = disjoint_hulls(np.stack((x1, y1), axis=1), np.stack((x2, y2), axis=1), ident)
     return low[:, 0], low[:, 1], high[:, 0], high[:, 1], name
@@ -169,7 +232,7 @@ def _merge_pieces(boxes: DataFrame, large: DataFrame, key: str, ident: str, loca
     cells = boxes.join(large, key).select(*boxes.columns, place("x1").alias("_px"), place("y1").alias("_py"))
     shares = cells.groupBy(*at).agg(F.ceil(F.count("*") / local).cast("int").alias("_shares"))
     dealt = cells.join(shares, at).withColumn("_share", F.pmod(F.xxhash64(*BOX, ident), F.col("_shares")))
-    return _by_group(dealt, [*at, "_share"], key, [], [*BOX, ident], _hulls_of)
+    return _by_group(dealt, [*at, "_share"], key, [], [*BOX, ident], _hulls_of, hulls_side_by_side)
 
 
 def _changed_rounds(hulls: DataFrame, key: str, ident: str, rounds: int) -> DataFrame:
@@ -210,7 +273,7 @@ def merge_boxes_any(boxes: DataFrame, key: str = "slide", ident: str = "idx", ro
     """
     names = [key, ident, *BOX]
     solid, alone = _sides(boxes.select(*names), key, ident)
-    whole = lambda df: _by_group(df, [key], key, [], [*BOX, ident], _hulls_of)
+    whole = lambda df: _by_group(df, [key], key, [], [*BOX, ident], _hulls_of, hulls_side_by_side)
     large = cut(_large(solid, key, local))
     if large.isEmpty():
         return whole(solid).select(*names).unionByName(alone)
@@ -293,6 +356,47 @@ def merge_in_order(boxes: list[tuple], threshold: float) -> list[tuple]:
         boxes = turned
 
 
+def merge_side_by_side(x1, y1, x2, y2, inside, threshold: float):
+    """Row and corners of the hulls of ``merge_in_order`` for many groups: rows of boxes in their order, of which those ``inside``, from the left, count.
+
+    A turn is a fold: each box goes into the first hull of its row that it
+    overlaps enough, or opens one.
+    """
+    kinds, boxes = [v.dtype for v in (x1, y1, x2, y2)], np.stack((x1, y1, x2, y2)).astype(np.float64)
+    size, group, done = inside.sum(axis=1), np.arange(len(inside)), []
+    while len(group):
+        hulls, area, count = np.zeros_like(boxes), np.zeros(boxes.shape[1:]), np.zeros(len(group), dtype=np.int64)
+        for t in range(boxes.shape[2]):
+            box, most = boxes[:, :, t], int(count.max())
+            own = (box[2] - box[0]) * (box[3] - box[1])
+            h = hulls[:, :, :most]
+            wide = np.minimum(h[2], box[2][:, None]) - np.maximum(h[0], box[0][:, None])
+            high = np.minimum(h[3], box[3][:, None]) - np.maximum(h[1], box[1][:, None])
+            # places without a hull are empty boxes of area 0
+            whole = np.minimum(area[:, :most], own[:, None])
+            share = np.divide(wide * high, whole, out=np.zeros_like(wide), where=(wide > 0) & (high > 0) & (whole > 0))
+            enough = (share > 0) & (share >= threshold)
+            first = enough.argmax(axis=1) if most else count
+            here = np.arange(len(group))
+            taken = enough[here, first] if most else np.zeros(len(group), dtype=bool)
+            there = t < size
+            g, k = here[taken & there], first[taken & there]
+            for c, join in ((0, np.minimum), (1, np.minimum), (2, np.maximum), (3, np.maximum)):
+                hulls[c, g, k] = join(hulls[c, g, k], box[c, g])
+            area[g, k] = (hulls[2, g, k] - hulls[0, g, k]) * (hulls[3, g, k] - hulls[1, g, k])
+            g = here[~taken & there]
+            hulls[:, g, count[g]] = box[:, g]
+            area[g, count[g]] = own[g]
+            count[g] += 1
+        settled = count == size
+        row, at = np.nonzero((np.arange(boxes.shape[2]) < count[:, None]) & settled[:, None])
+        done.append((group[row], *(v[row, at] for v in hulls)))
+        group, size = group[~settled], count[~settled]
+        boxes = hulls[:, ~settled, : int(size.max(initial=0))]
+    who, *out = map(np.concatenate, zip(*done, strict=True))
+    return who, *(v.astype(k) for v, k in zip(out, kinds, strict=True))
+
+
 def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", order: tuple[str, ...] = ("rot", "idx"), ident: str = "idx", rounds: int = 50, local: int = LOCAL) -> DataFrame:
     """(key, x1..y2): hulls by the threshold rule, in pinned order.
 
@@ -308,14 +412,15 @@ def merge_boxes(boxes: DataFrame, threshold: float = 0.2, key: str = "slide", or
         rows = merge_in_order(list(zip(x1.tolist(), y1.tolist(), x2.tolist(), y2.tolist(), strict=True)), threshold)
         return tuple(np.array(c, dtype=v.dtype) for c, v in zip(zip(*rows, strict=True), (x1, y1, x2, y2), strict=True))
 
-    merge = lambda df, by: _by_group(df, by, key, [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], list(BOX), run)
+    many = lambda *rows: merge_side_by_side(*rows, threshold)
+    merge = lambda df, by: _by_group(df, by, key, [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], list(BOX), run, many)
     large = cut(_large(solid, key, local))
     if large.isEmpty():
         return merge(solid, [key]).unionByName(alone.select(key, *BOX))
-    many = solid.join(large.select(key), key, "left_semi")
-    hulls = cut(merge_boxes_any(many, key, ident, rounds, local).select(key, *BOX))
+    crowded = solid.join(large.select(key), key, "left_semi")
+    hulls = cut(merge_boxes_any(crowded, key, ident, rounds, local).select(key, *BOX))
     # a box lies in one hull as a whole, and hulls do not overlap
-    within = range_join(many, hulls, [key])
+    within = range_join(crowded, hulls, [key])
     return merge(solid.join(large.select(key), key, "left_anti"), [key]).unionByName(merge(within, [key, *[f"r_{c}" for c in BOX]])).unionByName(alone.select(key, *BOX))
 
 

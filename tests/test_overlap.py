@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,29 @@ def test_crop_takes_boxes_of_any_size(spark):
     assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(want)
     none = spark.createDataFrame([], "img long, box long, x1 long, y1 long, x2 long, y2 long")
     assert overlap.crop_pixels(df, none).collect() == []
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.float64])
+def test_groups_side_by_side_give_what_each_gives_alone(kind):
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 40, 90, 128, 128, 129]
+    inside = np.arange(max(sizes)) < np.array(sizes)[:, None]
+    x1, y1 = (rng.integers(0, 300, inside.shape).astype(kind) for _ in range(2))
+    x2, y2 = x1 + rng.integers(5, 40, inside.shape), y1 + rng.integers(5, 40, inside.shape)
+    ident = rng.permutation(inside.size).reshape(inside.shape)
+    who, *got = overlap.hulls_side_by_side(x1, y1, x2, y2, ident, inside)
+    for i, n in enumerate(sizes):
+        want = overlap._hulls_of(*(v[i, :n] for v in (x1, y1, x2, y2, ident)))
+        assert sorted(zip(*(v[who == i].tolist() for v in got), strict=True)) == sorted(zip(*(v.tolist() for v in want), strict=True))
+    for threshold in (0.0, 0.2, 0.5, 1.1):
+        who, *got = overlap.merge_side_by_side(x1, y1, x2, y2, inside, threshold)
+        for i, n in enumerate(sizes):
+            want = overlap.merge_in_order(list(zip(*(v[i, :n].tolist() for v in (x1, y1, x2, y2)), strict=True)), threshold)
+            assert list(zip(*(v[who == i].tolist() for v in got), strict=True)) == want
+
+
+def test_numbers_that_stay_exact_side_by_side():
+    assert overlap._side_by_side([np.array([1, 2])] * 5)
+    assert not overlap._side_by_side([np.array([1, 1 << 40])] * 5)
+    assert not overlap._side_by_side([np.array([1.0, np.inf])] * 4)
+    assert not overlap._side_by_side([*[np.array([1, 2])] * 4, np.array(["a", "b"], dtype=object)])
