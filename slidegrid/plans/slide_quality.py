@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog, geometry, mask, overlap, votes
@@ -14,6 +14,11 @@ NA = 9
 SPAN = 1000
 
 
+def mean_in_millionths(c: str) -> Column:
+    """The mean, halves up; rounded to 12 digits first, so that a half stays one in whatever order the doubles are added."""
+    return F.floor(F.round(F.avg(c), 12) * 1e6 + 0.5)
+
+
 def slide_regions(boxes: DataFrame, padding: float = 0.25) -> DataFrame:
     """Merged, numbered regions of each slide in the upright view."""
     upright = geometry.rotate_box_to_upright(boxes.withColumns({c: F.col(c).cast("double") for c in geometry.BOX}))
@@ -73,6 +78,6 @@ def slide_quality(boxes: DataFrame, cells: DataFrame, size: int = 100, side: int
     n = SPAN // size
     whole = mask.assemble_slide_mask(values, regions.withColumnRenamed("label", "region"), "slide", "region", size, n, n)
     painted = whole.groupBy("slide").agg(F.count_if(F.col("value") == 2).alias("mask_tissue"), F.count_if(F.col("value") == 1).alias("mask_artifact"), F.count("*").alias("mask_cells"))
-    tally = patches.groupBy("slide").agg(F.count_distinct("region").alias("n_regions"), F.count("*").alias("n_patches"), F.count_if("kept").alias("n_kept"), F.floor(F.avg("fg_ratio") * 1e6 + 0.5).alias("mean_ratio"))
+    tally = patches.groupBy("slide").agg(F.count_distinct("region").alias("n_regions"), F.count("*").alias("n_patches"), F.count_if("kept").alias("n_kept"), mean_in_millionths("fg_ratio").alias("mean_ratio"))
     out = tally.join(delta, "slide", "left").join(painted, "slide", "left")
     return out.fillna(0, [c for c in out.columns if c not in ("slide", "mean_ratio")])

@@ -318,3 +318,40 @@ def test_worklist_counts_keep_the_names_of_lists(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.list_name: r.n for r in QUERIES["d22_worklist_counts"](spark, str(tmp_path)).collect()}
     assert got == {"a": 2, "b/c=d e%": 1, "": 1, None: 1, "__HIVE_DEFAULT_PARTITION__": 1}
+
+
+def test_pairs_in_blocks_are_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(g, i, [rng.random() for _ in range(5)]) for g in ("p", "q") for i in range(40 if g == "p" else 1)]
+    rows += [("p", 100, [0.5, None, 0.1, 0.2, 0.3]), ("p", 101, [0.5]), ("p", 102, None), ("p", 103, [float("nan"), 0.1, 0.1, 0.1, 0.1]), ("p", 3, [0.2] * 5), (None, 5, [0.1] * 5), (None, 6, [0.1] * 5)]
+    df = spark.createDataFrame(rows, "g string, i long, v array<double>")
+    plain = df.selectExpr("g", "i AS a", "v").join(df.selectExpr("g", "i AS b", "v AS w"), "g").filter("a < b")
+    plain = plain.selectExpr("g", "a", "b", "aggregate(zip_with(v, w, (x, y) -> least(x, y)), 0D, (t, x) -> t + x) AS sim")
+    want = sorted(map(repr, plain.collect()))
+    for block in (7, 1000):
+        assert sorted(map(repr, select.similarity_pairs(df, "g", "i", "v", block).collect())) == want
+
+
+def test_cohesion_of_items_is_that_of_their_pairs(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(g, i, [rng.random() for _ in range(6)]) for g in (1, 2) for i in range(11 * g)] + [(3, 1, [0.5] * 6)], "g int, i long, v array<double>")
+    want = select.selection_cohesion(select.similarity_pairs(df, "g", "i", "v"), df.select("g", F.col("i").alias("id")), "g")
+    got = {r.g: r.cohesion for r in select.cohesion_of_items(df, "g", "i", "v").collect()}
+    assert got == pytest.approx({r.g: r.cohesion for r in want.collect()}, abs=1e-12)
+
+
+def test_choice_and_cohesion_queries_form_no_pairs(spark, monkeypatch):
+    from slidegrid.queries import QUERIES
+
+    monkeypatch.setattr(select, "similarity_pairs", None)
+    assert QUERIES["f7_diverse_topk_of_pairs"](spark, "/root/testdata/sf0.001").count() > 0
+    assert QUERIES["d23_selection_cohesion"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_mean_of_a_half_does_not_depend_on_order(spark):
+    from slidegrid.plans.slide_quality import mean_in_millionths
+
+    rng, values = random.Random(1), [1 / 9] * 27 + [1 / 6] * 12 + [0.5] + [0.0] * 24
+    orders = [(k, x) for k in range(40) for x in rng.sample(values, len(values))]
+    got = spark.createDataFrame(orders, "k int, x double").coalesce(1).groupBy("k").agg(mean_in_millionths("x").alias("m")).collect()
+    assert {r.m for r in got} == {85938}
