@@ -13,6 +13,8 @@ from . import fixtures as X
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: Annotations of one XML file at most, of about 350 bytes each.
+ANNOTATIONS = 100_000
 
 
 def _add(name: str, sql: str):
@@ -55,7 +57,8 @@ def _(spark, d):
     group = F.when(F.col("slide") % 5 > 0, "tissue").otherwise("other")
     points = F.struct(F.concat(point(F.col("x1"), F.col("y1")), odd, second).alias("Coordinate"))
     rows = X.boxes(spark, d).select(F.col("idx").alias("_Name"), kind.alias("_Type"), group.alias("_PartOfGroup"), points.alias("Coordinates"))
-    rows.write.format("xml").option("rowTag", "Annotation").option("rootTag", "Annotations").save(path)
+    # a file of XML is read by one task, so a file holds a bounded number of annotations, whatever a writing task holds
+    rows.write.format("xml").option("rowTag", "Annotation").option("rootTag", "Annotations").option("maxRecordsPerFile", ANNOTATIONS).save(path)
     out = S.read_annotations(spark, path, "tissue")
     return out.select(F.col("name").cast("long").alias("idx"), "x1", "y1", "x2", "y2", "n_points")
 

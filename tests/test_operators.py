@@ -355,3 +355,11 @@ def test_mean_of_a_half_does_not_depend_on_order(spark):
     orders = [(k, x) for k in range(40) for x in rng.sample(values, len(values))]
     got = spark.createDataFrame(orders, "k int, x double").coalesce(1).groupBy("k").agg(mean_in_millionths("x").alias("m")).collect()
     assert {r.m for r in got} == {85938}
+
+
+def test_annotation_files_stay_small(spark, monkeypatch):
+    from slidegrid.queries import files as queries
+
+    monkeypatch.setattr(queries, "ANNOTATIONS", 500)
+    found = queries.QUERIES["a3_read_annotations"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert len(found) >= 6000 / 500
