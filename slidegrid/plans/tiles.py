@@ -23,7 +23,7 @@ from .fixpoint import cut
 #: Cells of a tile's side, and blocks of a level along the side of one of the next.
 SIDE, GROUP = 64, 16
 #: Tiles that are worked on at once.
-AT_ONCE = 512
+AT_ONCE = 64
 _FOUR, _EIGHT = ((0, 1), (1, 0)), ((0, 1), (1, 0), (1, 1), (1, -1))
 _HIGH = 1 << 32
 
