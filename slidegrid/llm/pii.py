@@ -5,11 +5,12 @@ bidirectional LSTM with a linear-chain CRF on top, is trained in numpy from
 labelled spans: base spans found in at most ``TRAIN_WINDOWS`` windows of the
 corpus, together with copies of those windows in which the same data are
 written in ways that the patterns miss ("name at host dot org", numbers without
-a plus sign, dots in brackets). The model then decodes every whole text, in
-windows of ``SPAN`` characters of which neighbours share ``SHARED``; each
-character takes its label from the window in whose middle it lies deepest, and
-the spans of the whole text are reconciled: base spans stay, model spans that
-meet one go, model spans must pass a check of their kind (``sound``).
+a plus sign, dots in brackets). The model, run by onnxruntime in the tasks,
+then decodes every whole text, in windows of ``SPAN`` characters of which
+neighbours share ``SHARED``; each character takes its label from the window in
+whose middle it lies deepest, and the spans of the whole text are reconciled:
+base spans stay, model spans that meet one go, model spans must pass a check of
+their kind (``sound``).
 
 Edge cases: null and empty texts have no spans; ties between windows go to the
 earlier one; without any labelled window only base spans are reported; very
@@ -19,6 +20,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import pickle
 import re
@@ -45,7 +47,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 #: The windows to learn from lie round these, and every ``PROSE`` characters.
-_TRIGGER = re.compile(r"[0-9@]+|\b[aA][tT]\b")
+_TRIGGER = re.compile(r"[0-9@aA](?:(?<=[0-9@])[0-9@]*|(?<=\b[aA])[tT]\b)")
 
 
 def luhn(digits: str) -> bool:
@@ -283,38 +285,67 @@ def fit(win: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     return Model(*m)
 
 
-def _pass(table: np.ndarray, wh: np.ndarray, out: np.ndarray, codes_: np.ndarray, order: range, score: np.ndarray) -> None:
-    """Add what the hidden states of one direction give each tag to ``score`` (T, TAGS, B).
+def _field(number: int, value: int | str | bytes) -> bytes:
+    """One field of a message in the wire format of ONNX files."""
 
-    ``table`` holds the input gates of every code. Rows are gates and columns
-    windows, so that every step works on whole blocks of memory; sigmoids are
-    1 / (1 + exp(-x)), and tanh x is 2 sigmoid(2 x) - 1.
+    def varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(raw)) + raw
+
+
+def onnx_file(m: Model) -> bytes:
+    """The emissions as ONNX: ``x`` (T, EMBED + 1, B), characters and a one for the bias, to ``e`` (T, TAGS, B).
+
+    One scan a direction. Rows are gates and columns windows, so that every
+    step works on whole blocks of memory.
     """
-    sign = np.repeat(np.float32([-1, -1, -1, -2]), HIDDEN)
-    table, wh, out = table * sign, np.ascontiguousarray((wh * sign).T), np.ascontiguousarray(out.T)
-    b = codes_.shape[1]
-    z, part = np.empty((4 * HIDDEN, b), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
-    h, c, u = (np.zeros((HIDDEN, b), np.float32) for _ in range(3))
-    i, f, o, g = z.reshape(4, HIDDEN, b)
-    for k in order:
-        np.take(table, codes_[k], axis=0, out=part, mode="clip")
-        np.matmul(wh, h, out=z)
-        np.add(z, part.T, out=z)
-        np.exp(z, out=z)
-        np.add(z, 1, out=z)
-        np.divide(1, z, out=z)
-        np.multiply(g, 2, out=g)
-        np.subtract(g, 1, out=g)
-        np.multiply(c, f, out=c)
-        np.multiply(i, g, out=u)
-        np.add(c, u, out=c)
-        np.multiply(c, -2, out=u)
-        np.exp(u, out=u)
-        np.add(u, 1, out=u)
-        np.divide(2, u, out=u)
-        np.subtract(u, 1, out=u)
-        np.multiply(o, u, out=h)
-        score[k] += out @ h
+
+    def tensor(name: str, a: np.ndarray) -> bytes:
+        return _field(5, b"".join(_field(1, n) for n in a.shape) + _field(2, 1) + _field(8, name) + _field(9, np.ascontiguousarray(a, dtype="<f4").tobytes()))
+
+    def node(kind: str, takes: str, gives: str, *how: bytes) -> bytes:
+        return _field(1, b"".join(_field(1, x) for x in takes.split()) + b"".join(_field(2, x) for x in gives.split()) + _field(4, kind) + b"".join(_field(5, x) for x in how))
+
+    def port(name: str, *dims: int | str) -> bytes:
+        shape = b"".join(_field(1, _field(1 if isinstance(d, int) else 2, d)) for d in dims)
+        return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, shape)))
+
+    number = lambda name, n: _field(1, name) + _field(3, n) + _field(20, 2)
+    numbers = lambda name, *n: _field(1, name) + b"".join(_field(8, x) for x in n) + _field(20, 7)
+    graph = _field(2, "emissions") + tensor("bias", m.out_bias[:, None])
+    for d in (0, 1):
+        step = node("Concat", "h x", "hx", number("axis", 0)) + node("MatMul", f"gates{d} hx", "z") + node("Split", "z", "zi zf zo zg", number("axis", 0))
+        step += node("Sigmoid", "zi", "i") + node("Sigmoid", "zf", "f") + node("Sigmoid", "zo", "o") + node("Tanh", "zg", "g")
+        step += node("Mul", "f c", "kept") + node("Mul", "i g", "new") + node("Add", "kept new", "c1") + node("Tanh", "c1", "t") + node("Mul", "o t", "h1") + node("Identity", "h1", "y")
+        step += _field(2, "step") + b"".join(_field(11, port(x, n, "b")) for x, n in (("h", HIDDEN), ("c", HIDDEN), ("x", EMBED + 1))) + b"".join(_field(12, port(x, HIDDEN, "b")) for x in ("h1", "c1", "y"))
+        body = _field(1, "body") + _field(6, step) + _field(20, 5)
+        graph += node("Scan", "zero zero x", f"h{d} c{d} y{d}", body, number("num_scan_inputs", 1), numbers("scan_input_directions", d), numbers("scan_output_directions", d))
+        graph += node("MatMul", f"out{d} y{d}", f"e{d}") + tensor(f"gates{d}", np.concatenate((m.wh[d], m.wx[d], m.bias[d][None])).T) + tensor(f"out{d}", m.out[d * HIDDEN : (d + 1) * HIDDEN].T)
+    graph += node("Add", "e0 e1", "both") + node("Add", "both bias", "e")
+    graph += _field(11, port("x", "t", EMBED + 1, "b")) + _field(11, port("zero", HIDDEN, "b")) + _field(12, port("e", "t", TAGS, "b"))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 14))
+
+
+@functools.lru_cache(maxsize=2)
+def _session(file: bytes):
+    """One for each Python worker and model, on one thread."""
+    import onnxruntime
+
+    how = onnxruntime.SessionOptions()
+    how.intra_op_num_threads = how.inter_op_num_threads = 1
+    how.log_severity_level = 3
+    return onnxruntime.InferenceSession(file, how, providers=["CPUExecutionProvider"])
+
+
+def scores(m: Model, win: np.ndarray) -> np.ndarray:
+    """``emissions`` as (T, TAGS, B), by onnxruntime."""
+    table = np.concatenate((m.embed, np.ones((VOCAB, 1), dtype=np.float32)), axis=1)
+    x = np.ascontiguousarray(table[win.T].transpose(0, 2, 1))
+    return _session(onnx_file(m)).run(None, {"x": x, "zero": np.zeros((HIDDEN, len(win)), dtype=np.float32)})[0]
 
 
 def best_tags(e: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -337,12 +368,7 @@ def decode(m: Model, win: np.ndarray) -> np.ndarray:
     twice the best transition for each character. Where this is below 0 at all
     characters of a window, 0 throughout is its best path.
     """
-    cols = np.ascontiguousarray(win.T, dtype=np.intp)
-    e = np.empty((*cols.shape[:1], TAGS, cols.shape[1]), dtype=np.float32)
-    e[:] = m.out_bias[:, None]
-    with np.errstate(over="ignore"):
-        for d, order in enumerate((range(len(cols)), range(len(cols) - 1, -1, -1))):
-            _pass(m.embed @ m.wx[d] + m.bias[d], m.wh[d], m.out[d * HIDDEN : (d + 1) * HIDDEN], cols, order, e)
+    e = scores(m, win)
     most = 2 * max(0.0, float((m.move - m.move[0, 0]).max())) + 0.1  # with room for rounding
     open_ = np.flatnonzero((e[:, 1:].max(axis=1) - e[:, 0] + most >= 0).any(axis=0))
     out = np.zeros(win.shape, dtype=np.int64)

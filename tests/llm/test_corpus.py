@@ -308,6 +308,22 @@ def test_op6_best_path():
     assert (pii.decode(shy, win) == pii.best_tags(np.ascontiguousarray(e.transpose(0, 2, 1)), shy.move).T).mean() > 0.999
 
 
+def test_op6_scores_by_onnxruntime():
+    # the file that tasks run gives what was trained, also for one window and one character
+    m, rng = pii.fresh(11), np.random.default_rng(11)
+    m = m._replace(bias=rng.standard_normal(m.bias.shape).astype(np.float32), out_bias=rng.standard_normal(pii.TAGS).astype(np.float32), wh=m.wh * 3)
+    for b, t in ((1, 1), (1, 50), (33, 7), (70, 384)):
+        win = rng.integers(0, pii.VOCAB, (b, t))
+        assert np.abs(pii.scores(m, win) - pii.emissions(m, win).transpose(0, 2, 1)).max() < 1e-4
+
+
+def test_op6_triggers():
+    # one search by first characters finds what its two forms do
+    random.seed(66)
+    for t in ("".join(random.choices("aAtT0@ .x_\n\u00e9", k=60)) for _ in range(2000)):
+        assert [m.span() for m in pii._TRIGGER.finditer(t)] == [m.span() for m in re.finditer(r"[0-9@]+|\b[aA][tT]\b", t)]
+
+
 def test_op6_labels_whole_texts():
     # every character of texts of all lengths, window by window
     m, rng = pii.fresh(5), random.Random(5)
