@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import chunks, tidy, trimmed
+from .text import chunks, tidy, trim, trimmed
 
 TRAIN_ROWS, TRAIN_CHARS = 6_000, 20_000
 BUCKET_BITS, ORDERS = 20, (4, 5, 7)
@@ -74,15 +74,16 @@ def _owned(at: np.ndarray, end: np.ndarray, order: int) -> tuple[np.ndarray, np.
 
 def distinct_hits(texts: list[str], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) pairs, each once, of n-grams that have a slot."""
-    found = []
+    found = [np.zeros(0, dtype=np.int64)]
     for a, z in chunks(texts):
+        some = []
         for order in ORDERS:
             h, end = grams(texts[a:z], order)
             at = np.flatnonzero(slot[h] >= 0)
-            if len(at):
-                own, inside = _owned(at, end, order)
-                found.append(((own[inside] + a) << 32) | slot[h[at[inside]]].astype(np.int64))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            own, inside = _owned(at, end, order)
+            some.append(((own[inside] + a) << 32) | slot[h[at[inside]]].astype(np.int64))
+        found.append(np.unique(np.concatenate(some)))  # a text lies in one chunk, so repeats go before chunks add up
+    pairs = np.concatenate(found)
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
@@ -93,10 +94,10 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     if not len(texts) or labels.min() == labels.max():
         return none
     count = np.zeros((2, 1 << BUCKET_BITS))
-    for a in range(0, len(texts), 200):  # counts first, so that the sample's n-grams are never all held
-        doc, bucket = distinct_hits(texts[a : a + 200], everything)
+    for a in range(0, len(texts), 50):  # counts first, so that the sample's n-grams are never all held
+        doc, bucket = distinct_hits(texts[a : a + 50], everything)
         for y in (0, 1):
-            count[y] += np.bincount(bucket[labels[a : a + 200][doc] == y], minlength=1 << BUCKET_BITS)
+            count[y] += np.bincount(bucket[labels[a : a + 50][doc] == y], minlength=1 << BUCKET_BITS)
     share = (count + ALPHA) / (count + ALPHA).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
     sure = np.abs(ratio) / np.sqrt((1 / (count + ALPHA)).sum(axis=0))
@@ -133,7 +134,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
     got = texts.join(F.broadcast(few), texts["doc_id"] == few["_id"]).select("doc_id", "text", "toxic").limit(rows).toPandas()
     got = got.sort_values(["doc_id", "text"])
-    return fit(got["text"].tolist(), got["toxic"].to_numpy())
+    texts, toxic = got["text"].tolist(), got["toxic"].to_numpy()
+    del got
+    try:
+        return fit(texts, toxic)
+    finally:
+        del texts, toxic
+        trim()  # the driver outlives the training by far
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

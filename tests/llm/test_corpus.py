@@ -308,6 +308,26 @@ def test_op6_best_path():
     assert (pii.decode(shy, win) == pii.best_tags(np.ascontiguousarray(e.transpose(0, 2, 1)), shy.move).T).mean() > 0.999
 
 
+def test_op2_training_leaves_no_memory(spark, monkeypatch):
+    # what the fit took goes back to the system, as the driver of a pipeline lives on
+    done = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: done.append("fit"))
+    monkeypatch.setattr(toxicity, "trim", lambda: done.append("trim"))
+    toxicity.train(make(spark, [(1, "a"), (2, "b")]), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
+    assert done == ["fit", "trim"]
+
+
+def test_op2_hits_of_many_chunks():
+    # each n-gram once a text, over chunks and orders, in order of text and slot
+    slot = np.arange(1 << toxicity.BUCKET_BITS, dtype=np.int32)
+    random.seed(2)
+    texts = ["", "a", *("".join(random.choices("ab c", k=n)) for n in (3, 900, 700_000, 5, 600_000, 40))]
+    doc, hit = toxicity.distinct_hits(texts, slot)
+    want = [(i, x) for i, t in enumerate(texts) for x in sorted({int(x) for n in toxicity.ORDERS for x in toxicity.grams([t], n)[0]})]
+    assert list(zip(doc.tolist(), hit.tolist())) == want
+    assert [len(x) for x in toxicity.distinct_hits([], slot)] == [0, 0]
+
+
 def test_op6_scores_by_onnxruntime():
     # the file that tasks run gives what was trained, also for one window and one character
     m, rng = pii.fresh(11), np.random.default_rng(11)
