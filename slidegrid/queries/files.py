@@ -153,7 +153,7 @@ def _(spark, d):
     whole = b.groupBy("case_no", "form").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slide", "idx", one.alias("js")))), lambda x: x.js), ",").alias("js"))
     named = F.col("form") % 3 == 0
     text = F.concat(F.when(named, '{"detected_regions":[').otherwise("["), "js", F.when(named, "]}").otherwise("]"))
-    _a_file_each(whole.select("case_no", "form", text.alias("value")), path, ["case_no", "form"])
+    _plain_files(whole.select(F.concat(F.lit("case_no="), "case_no", F.lit("/form="), "form", F.lit(".json")).alias("at"), text.alias("value")), path)
     out = S.read_regions(spark, path)
     at = {k: F.regexp_extract("path", rf"{k}=(\d+)", 1).cast("long").alias(k) for k in ("case_no", "form")}
     return out.select(*at.values(), "region", *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], "label")
@@ -180,19 +180,31 @@ def _(spark, d):
 
 
 def _plain_folders(spark, rows, path: str, folders: list[str]) -> None:
-    """One text file a row in folders that are named by values only, written in tasks through the file system of the path."""
+    """One text file a row in folders that are named by values only."""
+    _plain_files(rows.select(F.concat_ws("/", *folders, F.lit("points.json")).alias("at"), "value"), path)
+
+
+def _plain_files(rows, path: str) -> None:
+    """One text file for each row of (at, value), written in tasks through the file system of the path.
+
+    Spark's writers take milliseconds for a small file and commit all of them in the driver.
+    """
     import pyarrow.fs as pafs
 
     base = path.removeprefix("file:")
+    base = "file://" + base.removeprefix("//") if base.startswith("/") else base
 
     def put(batches):
+        fs, root = pafs.FileSystem.from_uri(base)
+        made = set()
         for b in batches:
-            for r in b.to_pylist():
-                at = "/".join([base, *[r[f] for f in folders]])
-                fs, where = pafs.FileSystem.from_uri("file://" + at) if at.startswith("/") else pafs.FileSystem.from_uri(at)
-                fs.create_dir(where, recursive=True)
-                with fs.open_output_stream(f"{where}/points.json") as out:
-                    out.write(r["value"].encode())
+            for at, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                where = f"{root}/{at}"
+                if (parent := where.rpartition("/")[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made = {parent}
+                with fs.open_output_stream(where) as out:
+                    out.write(value.encode())
             yield b.slice(0, 0)
 
     rows.mapInArrow(put, rows.schema).count()

@@ -363,3 +363,14 @@ def test_annotation_files_stay_small(spark, monkeypatch):
     monkeypatch.setattr(queries, "ANNOTATIONS", 500)
     found = queries.QUERIES["a3_read_annotations"](spark, "/root/testdata/sf0.001").inputFiles()
     assert len(found) >= 6000 / 500
+
+
+def test_files_of_rows_are_written_by_tasks(spark, tmp_path):
+    from slidegrid.queries.files import _plain_files
+
+    want = {f"case_no={i // 4}/form={i % 4}.json": f"[{i}] é\n" for i in range(40)} | {"top.json": ""}
+    rows = spark.createDataFrame(sorted(want.items()), "at string, value string").repartition(3)
+    for base in (f"file:{tmp_path}/a", f"file://{tmp_path}/b", f"{tmp_path}/c"):
+        _plain_files(rows, base)
+        at = tmp_path / base[-1]
+        assert {str(p.relative_to(at)): p.read_text() for p in at.rglob("*") if p.is_file()} == want
