@@ -81,7 +81,7 @@ def _(spark, d):
         F.when(F.col("x1") % 3 == 0, "tissue").otherwise("").alias("pred_label"), F.when(F.col("x1") % 3 == 1, "fold").otherwise("None").alias("pred_label_canonical"),
         F.concat(F.lit('{"tissue": '), F.col("x1") % 4, F.lit("}")).alias("class_votes"))
     raw.write.option("header", True).option("escape", '"').csv(path)
-    rows, _ = S.read_patch_results(spark, path)
+    rows, _ = S.patch_results(spark, path)
     return rows.select("patch_id", *[F.col(c).cast("long").alias(c) for c in ("row", "col", "wsi_x")], F.col("stage3_fg_ratio").alias("ratio"), F.col("stage3_kept").alias("kept"), F.col("pred_label").alias("label"), F.col("class_votes")["tissue"].cast("long").alias("votes"))
 
 

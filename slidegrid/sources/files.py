@@ -121,14 +121,21 @@ def typed_patch_results(raw: DataFrame, order: str) -> tuple[DataFrame, DataFram
     rows = raw.select(*[typed.get(c, get(c)).alias(c) for c in PATCH_COLUMNS], F.col(order).alias("_o"))
     rows = rows.withColumn("pred_label", F.coalesce("pred_label", "pred_label_canonical", F.lit("background")))
     bad = " OR ".join(f"{c} IS NULL" for c in _REQUIRED)
-    last = rows.filter(f"NOT ({bad})").withColumn("_n", F.row_number().over(Window.partitionBy("patch_id").orderBy(F.desc("_o")))).filter("_n = 1")
-    return last.drop("_n", "_o"), rows.filter(bad).drop("_o")
+    # a row without a next one is the last; a rank of 1 would be looked for before the shuffle too, by another sort of all rows
+    last = rows.filter(f"NOT ({bad})").withColumn("_next", F.lead(F.lit(1)).over(Window.partitionBy("patch_id").orderBy("_o"))).filter("_next IS NULL")
+    return last.drop("_next", "_o"), rows.filter(bad).drop("_o")
 
 
-def read_patch_results(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+def patch_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows and the malformed ones of the files in a folder."""
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
     raw = raw.withColumn("_order", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    good, bad = typed_patch_results(raw, "_order")
+    return typed_patch_results(raw, "_order")
+
+
+def read_patch_results(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Typed rows and the number of malformed ones, which takes a pass of its own."""
+    good, bad = patch_results(spark, path)
     return good, bad.count()
 
 

@@ -374,3 +374,12 @@ def test_files_of_rows_are_written_by_tasks(spark, tmp_path):
         _plain_files(rows, base)
         at = tmp_path / base[-1]
         assert {str(p.relative_to(at)): p.read_text() for p in at.rglob("*") if p.is_file()} == want
+
+
+def test_last_rows_of_patches_take_one_sort(spark):
+    rows = [("a", "1", "1", "old", 1), ("a", "1", "2", "new", 2), ("b", "1", "1", "only", 1), ("b", "nan", "1", "bad", 2)]
+    raw = spark.createDataFrame(rows, "patch_id string, row string, col string, pred_label string, at int")
+    good, bad = files.typed_patch_results(raw, "at")
+    assert sorted((r.patch_id, r.col, r.pred_label) for r in good.collect()) == [("a", 2, "new"), ("b", 1, "only")]
+    assert [r.pred_label for r in bad.collect()] == ["bad"]
+    assert good._jdf.queryExecution().sparkPlan().toString().count("WindowGroupLimit") == 0
