@@ -20,7 +20,6 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import pickle
 import re
@@ -124,7 +123,9 @@ def codes(text: str) -> np.ndarray:
     """One small code a character; every letter outside a-z is 2."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = _CODE[np.minimum(raw, 0x17F)]
-    return np.where((raw >= 0xC0) & (out == 3), 2, out).astype(np.uint8)
+    if not text.isascii():
+        out[(raw >= 0xC0) & (out == 3)] = 2
+    return out
 
 
 def window_starts(text: str) -> list[int]:
@@ -330,22 +331,23 @@ def onnx_file(m: Model) -> bytes:
     return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 14))
 
 
-@functools.lru_cache(maxsize=2)
-def _session(file: bytes):
-    """One for each Python worker and model, on one thread."""
+def session(m: Model):
+    """The emissions on one thread; its memory goes with it, as Python workers outlive their tasks."""
     import onnxruntime
 
     how = onnxruntime.SessionOptions()
     how.intra_op_num_threads = how.inter_op_num_threads = 1
     how.log_severity_level = 3
-    return onnxruntime.InferenceSession(file, how, providers=["CPUExecutionProvider"])
+    return onnxruntime.InferenceSession(onnx_file(m), how, providers=["CPUExecutionProvider"])
 
 
-def scores(m: Model, win: np.ndarray) -> np.ndarray:
-    """``emissions`` as (T, TAGS, B), by onnxruntime."""
-    table = np.concatenate((m.embed, np.ones((VOCAB, 1), dtype=np.float32)), axis=1)
-    x = np.ascontiguousarray(table[win.T].transpose(0, 2, 1))
-    return _session(onnx_file(m)).run(None, {"x": x, "zero": np.zeros((HIDDEN, len(win)), dtype=np.float32)})[0]
+def scores(m: Model, win: np.ndarray, by=None) -> np.ndarray:
+    """``emissions`` as (T, TAGS, B), by onnxruntime, in the session ``by``."""
+    table = np.concatenate((m.embed.T, np.ones((1, VOCAB), dtype=np.float32)))
+    x = np.empty((win.shape[1], EMBED + 1, len(win)), dtype=np.float32)
+    for to, at in zip(x, np.ascontiguousarray(win.T).astype(np.intp), strict=True):
+        np.take(table, at, axis=1, out=to, mode="clip")
+    return (by or session(m)).run(None, {"x": x, "zero": np.zeros((HIDDEN, len(win)), dtype=np.float32)})[0]
 
 
 def best_tags(e: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -361,19 +363,50 @@ def best_tags(e: np.ndarray, move: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(m: Model, win: np.ndarray) -> np.ndarray:
-    """Best tags (B, T) of windows under the CRF.
+def may_hold(e: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Windows of scores (T, TAGS, B) whose best path may leave tag 0.
 
-    A run of tags other than 0 gains at most its scores over those of tag 0 and
-    twice the best transition for each character. Where this is below 0 at all
-    characters of a window, 0 throughout is its best path.
+    Against 0 throughout, a run of other tags gains the scores over those of
+    tag 0, with a transition into each and one back to 0. ``most`` bounds the
+    gain of the runs that end at a character, with the best transition of each
+    tag; where no run can gain, 0 throughout is the best path.
     """
-    e = scores(m, win)
-    most = 2 * max(0.0, float((m.move - m.move[0, 0]).max())) + 0.1  # with room for rounding
-    open_ = np.flatnonzero((e[:, 1:].max(axis=1) - e[:, 0] + most >= 0).any(axis=0))
-    out = np.zeros(win.shape, dtype=np.int64)
-    if len(open_):
-        out[open_] = best_tags(np.ascontiguousarray(e[:, :, open_]), m.move).T
+    rel = move - move[0, 0]
+    first, on = (np.full((len(e), e.shape[2]), -np.inf, dtype=np.float32) for _ in range(2))
+    for k in range(1, TAGS):
+        over = e[:, k] - e[:, 0]
+        np.maximum(on, over + rel[1:, k].max(), out=on)
+        over[1:] += rel[0, k]  # none leads to the first character
+        np.maximum(first, over, out=first)
+    back = rel[1:, 0].max()
+    most = first[0]
+    top = most.copy()
+    for a, b in zip(first[1:], on[1:], strict=True):
+        most = np.maximum(a, most + b)
+        np.maximum(top, most, out=top)
+    return np.maximum(top + back, most) + 0.1 >= 0  # with room for rounding; none leads from the last one
+
+
+def decode(m: Model, win: np.ndarray) -> np.ndarray:
+    """Best tags (B, T) of windows under the CRF; paths are looked for together in the windows that may hold one."""
+    by, out = session(m), np.zeros(win.shape, dtype=np.int8)
+    rows, held = [], []
+
+    def close():
+        if rows:
+            out[np.concatenate(rows)] = best_tags(np.concatenate(held, axis=2), m.move).T
+            rows.clear()
+            held.clear()
+
+    for a in range(0, len(win), LANES):
+        e = scores(m, win[a : a + LANES], by)
+        some = np.flatnonzero(may_hold(e, m.move))
+        if len(some):
+            rows.append(a + some)
+            held.append(e[:, :, some])
+        if sum(map(len, rows)) >= LANES:
+            close()
+    close()
     return out
 
 
@@ -482,17 +515,15 @@ def label_texts(texts: list[str], model: Model) -> list[np.ndarray]:
             part = code[s : s + SPAN]
             rows.setdefault(-(-len(part) // PAD) * PAD, []).append((i, s, part))
     out = [np.zeros(len(t), dtype=np.int8) for t in texts]
-    for size, all_ in rows.items():
-        for a in range(0, len(all_), LANES):
-            some = all_[a : a + LANES]
-            win = np.zeros((len(some), size), dtype=np.uint8)
-            for row, (_, _, part) in zip(win, some, strict=True):
-                row[: len(part)] = part
-            for row, (i, s, part) in zip(decode(model, win), some, strict=True):
-                lo, hi = s and SHARED // 2, len(part)
-                if s + hi < len(texts[i]):
-                    hi = SPAN - SHARED // 2
-                out[i][s + lo : s + hi] = row[lo:hi]
+    for size, some in rows.items():
+        win = np.zeros((len(some), size), dtype=np.uint8)
+        for row, (_, _, part) in zip(win, some, strict=True):
+            row[: len(part)] = part
+        for row, (i, s, part) in zip(decode(model, win), some, strict=True):
+            lo, hi = s and SHARED // 2, len(part)
+            if s + hi < len(texts[i]):
+                hi = SPAN - SHARED // 2
+            out[i][s + lo : s + hi] = row[lo:hi]
     return out
 
 

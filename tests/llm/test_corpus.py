@@ -308,6 +308,37 @@ def test_op6_best_path():
     assert (pii.decode(shy, win) == pii.best_tags(np.ascontiguousarray(e.transpose(0, 2, 1)), shy.move).T).mean() > 0.999
 
 
+def test_op6_search_for_paths():
+    # only windows in which a run of tags can gain are searched, and every one whose best path holds a run is
+    rng, searched = np.random.default_rng(6), 0
+    for _ in range(40):
+        e = rng.standard_normal((6, pii.TAGS, 50)).astype(np.float32)
+        e[:, 0] += 3
+        move = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+        move[1:, 0] -= rng.integers(0, 4)
+        some = pii.may_hold(e, move)
+        assert not pii.best_tags(e, move)[:, ~some].any()
+        searched += int(some.sum())
+    assert 0 < searched < 2000
+    # one character over tag 0 is no run yet, as the way back costs more; at the last one there is no way back
+    e, move = np.zeros((5, pii.TAGS, 2), dtype=np.float32), np.zeros((pii.TAGS, pii.TAGS), dtype=np.float32)
+    e[:, 0] = 1
+    e[2, 3, 0] = e[4, 3, 1] = 2
+    move[1:, 0] = -2
+    assert pii.may_hold(e, move).tolist() == [False, True]
+    assert pii.best_tags(e, move).T.tolist() == [[0] * 5, [0, 0, 0, 0, 3]]
+
+
+def test_op6_many_windows(monkeypatch):
+    # windows that are scored and searched in several goes are labelled as each is by itself
+    monkeypatch.setattr(pii, "LANES", 7)
+    m, rng = pii.fresh(4), np.random.default_rng(4)
+    m = m._replace(out=m.out * 4)
+    win = rng.integers(0, pii.VOCAB, (40, 30)).astype(np.uint8)
+    got = pii.decode(m, win)
+    assert got.any() and all((pii.decode(m, win[r : r + 1])[0] == got[r]).all() for r in range(len(win)))
+
+
 def test_op2_training_leaves_no_memory(spark, monkeypatch):
     # what the fit took goes back to the system, as the driver of a pipeline lives on
     done = []
