@@ -141,16 +141,6 @@ class Tokens:
         return out
 
 
-_held: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    """One for each Python worker, which outlives a task."""
-    if path not in _held:
-        _held[path] = Tokens(path)
-    return _held[path]
-
-
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("deal", pa.int64())])
 
 
@@ -159,7 +149,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = E
     close = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, deal = tokens(path), 0
+        t, deal = Tokens(path), 0  # goes with the task, which its worker outlives
         for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             keys, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
             at = 0
@@ -177,7 +167,6 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = E
                         deal += 1
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
                 at = to
-        t.known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long")
 

@@ -489,6 +489,7 @@ def cut_copies(docs: DataFrame, least_words: int = 10) -> DataFrame:
                 out.append(_cut_text(t, [(c["start_word"], c["end_word"]) for c in spans or []], least_words))
         return pa.array(out, pa.string())
 
+    without = without.asNondeterministic()  # else the filter on its result calls it a second time, in a worker of its own
     rows = docs.select(F.struct(*map(column, docs.columns)).alias("_row")).withColumn("doc_id", F.col("_row.doc_id"))
     near, clear = split_by_ids(rows, "doc_id", spans)
     near = near.join(spans, "doc_id", "left")

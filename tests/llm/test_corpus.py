@@ -339,6 +339,15 @@ def test_op6_many_windows(monkeypatch):
     assert got.any() and all((pii.decode(m, win[r : r + 1])[0] == got[r]).all() for r in range(len(win)))
 
 
+def test_workers_keep_no_tables():
+    # a Python worker outlives its task; what a task leaves behind adds up over the stages of a pipeline
+    text.word_hashes([b"some words"])
+    assert text._powers
+    list(text.tidy(lambda batches: batches)(iter([1, 2])))
+    assert not text._powers
+    assert not hasattr(packing, "_held") and not hasattr(pii, "_session")
+
+
 def test_op2_training_leaves_no_memory(spark, monkeypatch):
     # what the fit took goes back to the system, as the driver of a pipeline lives on
     done = []

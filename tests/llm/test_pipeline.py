@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from slidegrid.llm import pii, toxicity
+from slidegrid.llm import pii, suffix_dedup, toxicity
 from slidegrid.llm.text import materialize
 
 DATA = "/root/testdata/sf0.001"
@@ -129,6 +129,13 @@ def test_suffix_dedup(stages):
     assert Counter(rows(after)) == want
 
 
+def test_texts_are_cut_once(stages):
+    # each call of a Python function in a plan takes a worker of its own beside the others of its task
+    before, _ = stages["suffix_dedup"]
+    plan = suffix_dedup.cut_copies(before)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_pii(stages):
     before, after = stages["pii"]
     model = pii.train(before)
