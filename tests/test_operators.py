@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,6 +334,44 @@ def test_pairs_in_blocks_are_all_pairs(spark):
         assert sorted(map(repr, select.similarity_pairs(df, "g", "i", "v", block).collect())) == want
 
 
+def test_pairs_of_floats_and_their_totals(spark):
+    rng = random.Random(6)
+    rows = [("p", i, [rng.random() for _ in range(4)], rng.random() + 0.5) for i in range(30)] + [("p", 50, [0.5, None, 0.1, 0.2], 1.5), ("p", 51, [0.25], 0.5), ("p", 52, [0.1] * 4, None)]
+    df = spark.createDataFrame(rows, "g string, i long, v array<float>, n double")
+    shares = df.selectExpr("g", "i", "transform(v, x -> double(x) / n) AS v")
+    want = sorted(map(repr, select.similarity_pairs(shares, "g", "i", "v", 7).collect()))
+    assert sorted(map(repr, select.similarity_pairs(df, "g", "i", "v", 7, total="n").collect())) == want
+
+
+def test_an_item_is_sent_to_few_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([("p", i, [i / 7, 1.0]) for i in range(200)], "g string, i long, v array<double>")
+    where = select.similarity_pairs(df, "g", "i", "v", 7).groupBy(F.spark_partition_id()).count().collect()
+    assert len(where) > 1 and sum(r["count"] for r in where) == 200 * 199 // 2
+
+    def sizes(by):
+        return lambda t: pa.table([t.column(by).slice(0, 1), pa.array([t.num_rows]), pa.array([t.num_rows]), pa.array([0.0])], [by, "a", "b", "sim"])
+
+    monkeypatch.setattr(select, "_block_pairs", sizes)
+    assert sum(r.a for r in select.similarity_pairs(df, "g", "i", "v", 7).collect()) == 3 * 200
+    monkeypatch.setattr(select, "VALUES", 40)
+    got = [r.a for r in select.similarity_pairs(df, "g", "i", "v").collect()]
+    assert sum(got) == 10 * 200 and max(got) < 2 * 40
+
+
+def test_pairs_of_blocks_in_tiles(monkeypatch):
+    monkeypatch.setattr(select, "TILE", 50)
+    rng = np.random.default_rng(5)
+    ids, v, late = rng.permutation(180) // 2 * 5, rng.random((180, 3)), rng.random(180) < 0.4
+    for same in (True, False):
+        names = ids if same else np.where(late, ids, ids + 1)
+        rows = {"g": ["p"] * 180, "_x": [0] * 180, "_y": [0 if same else 1] * 180, "_late": late & (not same), "id": names, "v": (v * 4).tolist(), "_sum": [4.0] * 180}
+        out = list(select._block_pairs("g")(iter(pa.table(rows).to_batches(70))))
+        met = [(i, j) for i in range(180) for j in range(180) if (names[i] < names[j] if same else late[j] and not late[i])]
+        want = sorted(("p", min(names[i], names[j]), max(names[i], names[j]), np.minimum(v[i], v[j]).tolist()) for i, j in met)
+        assert max(b.num_rows for b in out) <= 64 * 50
+        assert sorted(tuple(r.values()) for b in out for r in b.to_pylist()) == sorted((g, a, b, x + y + z) for g, a, b, (x, y, z) in want)
+
+
 def test_cohesion_of_items_is_that_of_their_pairs(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(g, i, [rng.random() for _ in range(6)]) for g in (1, 2) for i in range(11 * g)] + [(3, 1, [0.5] * 6)], "g int, i long, v array<double>")
